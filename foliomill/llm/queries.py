@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, mixing, quality_rules, sharding
+from foliomill.llm import decontam, jaccard_join, mixing, quality_rules, sharding
 from foliomill.llm.common import table
 
 SHARDS = 24
@@ -45,6 +45,11 @@ FROM copied
 """
 
 
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity of 0.9 or more."""
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -109,6 +114,7 @@ FROM norm_docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
+    "op4_jaccard_groups": op4_jaccard_groups,
     "op8_quality_rules": op8_quality_rules,
     "op10_benchmark_hits": op10_benchmark_hits,
 }
