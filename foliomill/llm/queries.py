@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, jaccard_join, mixing, quality_rules, sharding
-from foliomill.llm.common import table
+from foliomill.llm import decontam, jaccard_join, langid, mixing, quality_knn, quality_rules, sharding
+from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
 
@@ -50,6 +50,22 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels whose id bucket (of 5) is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.learn(docs, table(spark, sf_dir, "labels"), id_bucket(F.col("doc_id"), 5) != 0)
+    scored = quality_knn.classify(docs, model)
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose id bucket (of 4) is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    parsers = langid.learn(docs.select("doc_id", "lang", "text"), id_bucket(F.col("doc_id"), 4) != 2)
+    guessed = langid.predict(docs.select("doc_id", "text"), parsers)
+    return guessed.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -115,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
     "op4_jaccard_groups": op4_jaccard_groups,
+    "op5_quality_knn": op5_quality_knn,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op10_benchmark_hits": op10_benchmark_hits,
 }
