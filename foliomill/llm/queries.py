@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, jaccard_join, langid, mixing, quality_knn, quality_rules, sharding
+from foliomill.llm import decontam, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -97,6 +97,13 @@ FROM b
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose id bucket (of 5) is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(docs, id_bucket(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 5) == 1).alias("held_out"), *lm_score.SCORES)
+
+
 def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -134,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_knn": op5_quality_knn,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_benchmark_hits": op10_benchmark_hits,
 }
 
