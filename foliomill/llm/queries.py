@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding
+from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -45,6 +45,13 @@ FROM copied
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    rendered = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return rendered.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))
+
+
 def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.9 or more."""
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
@@ -137,6 +144,7 @@ FROM norm_docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
+    "op3_html_text": op3_html_text,
     "op4_jaccard_groups": op4_jaccard_groups,
     "op5_quality_knn": op5_quality_knn,
     "op7_language_id": op7_language_id,
