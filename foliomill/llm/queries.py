@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding
+from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding, suffix_dedup
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -65,6 +65,14 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs, 400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["length"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from documents whose id bucket (of 4) is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -147,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_jaccard_groups": op4_jaccard_groups,
     "op5_quality_knn": op5_quality_knn,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
