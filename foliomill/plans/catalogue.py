@@ -1,6 +1,8 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the document engine, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliomill.plans import enrichment, reading, state, structure, web
+
+QUERIES = {**structure.QUERIES, **reading.QUERIES, **enrichment.QUERIES, **web.QUERIES, **state.QUERIES}
+ORACLES = {**structure.ORACLES, **reading.ORACLES, **enrichment.ORACLES, **web.ORACLES, **state.ORACLES}
