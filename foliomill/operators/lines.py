@@ -172,7 +172,7 @@ def ocr_lines(raw: DataFrame) -> DataFrame:
     """Boxes of recognised text: (book_id, page_number, seq, pts: corner points, text, conf, page_w, page_h) as lines, without garbage."""
     from foliomill.functions.text import is_garbage
 
-    xs, ys = (F.transform("pts", lambda p, i=i: p[i]) for i in (0, 1))
+    xs, ys = F.transform("pts", lambda p: p[0]), F.transform("pts", lambda p: p[1])
     boxes = {"x1": F.array_min(xs), "y1": F.array_min(ys), "x2": F.array_max(xs), "y2": F.array_max(ys)}
     made = raw.where(F.size("pts") > 0).withColumns({**boxes, "text": strip(F.col("text")), "confidence": F.col("conf").cast("double"), "line_idx": F.col("seq").cast("long")})
     return made.where(~is_garbage(F.col("text"))).select(_LINE_COLUMNS)

@@ -156,7 +156,8 @@ def merged_fragments(fragments: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def assign_chapters(paragraphs: DataFrame) -> DataFrame:
     """Add heading flags and the chapter of each paragraph: `is_head`, `chapter_order`, `title`.
 
-    Without any heading a book is one chapter; non-blank text before the first one is the front matter.
+    Without any heading a book is one chapter; non-blank text before the first one is the front matter. Blank text
+    alone before it belongs to no chapter (-1).
     """
     order = _book().orderBy("para_idx")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
@@ -172,7 +173,7 @@ def assign_chapters(paragraphs: DataFrame) -> DataFrame:
     marked = marked.withColumn("__front", F.when(F.col("__heads") > 0, front).otherwise(0))
     return marked.withColumns(
         {
-            "chapter_order": F.when(F.col("__heads") == 0, 0).when(F.col("__nth") == 0, 0).otherwise(F.col("__nth") - 1 + F.col("__front")).cast("int"),
+            "chapter_order": F.when(F.col("__heads") == 0, 0).when(F.col("__nth") == 0, F.col("__front") - 1).otherwise(F.col("__nth") - 1 + F.col("__front")).cast("int"),
             "title": F.when(F.col("__heads") == 0, FULL_TEXT).when(F.col("__nth") == 0, FRONT_MATTER).otherwise(F.col("__title")),
         }
     ).drop("__nth", "__heads", "__title", "__front")
