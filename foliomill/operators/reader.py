@@ -112,3 +112,20 @@ def book_card(books: DataFrame) -> DataFrame:
             "chapter_label": F.when(F.col("total_chapters") > 0, F.concat(F.col("total_chapters"), F.lit(" chapters"))),
         }
     ).orderBy(F.desc("shown_at"), "book_id")
+
+
+def chapter_display(chapters: DataFrame, active: str = "translating") -> DataFrame:
+    """Add the 1-based `number` and `label` of chapters with a translate_status."""
+    label = F.when(F.col("translate_status") == "completed", "translated").when(F.col("translate_status") == "partial", "partly translated").when(F.col("translate_status") == active, "in progress").otherwise("waiting")
+    return chapters.withColumns({"number": F.col("chapter_order") + 1, "label": label})
+
+
+def merge_poll(loaded: DataFrame, updates: DataFrame, key: str = "paragraph_id") -> DataFrame:
+    """Loaded paragraphs with the status and translation of a newer snapshot, where that has them."""
+    newer = updates.select(key, F.col("status").alias("__s"), F.col("translation").alias("__t"))
+    return loaded.join(newer, key, "left").withColumns({"status": F.coalesce("__s", "status"), "translation": F.coalesce("__t", "translation")}).drop("__s", "__t")
+
+
+def api_fields(jobs: DataFrame) -> DataFrame:
+    """Job rows with the field names of progress events."""
+    return jobs.withColumnsRenamed({"total_paragraphs": "total", "completed_paragraphs": "completed", "failed_paragraphs": "failed"})

@@ -100,8 +100,21 @@ def highlight_boxes(spark: SparkSession, d: str) -> DataFrame:
     return frags.withColumn("box", box).select("book_id", "para_idx", "fragment_order", *[F.round(f"box.{c}", 6).alias(c) for c in ("left_pct", "top_pct", "width_pct", "height_pct")])
 
 
+def chapter_display(spark: SparkSession, d: str) -> DataFrame:
+    chapters, _, _ = structure(spark, d)
+    state = F.element_at(F.array(F.lit("completed"), F.lit("partial"), F.lit("pending"), F.lit("translating")), ((F.col("book_id") + F.col("chapter_order")) % 4 + 1).cast("int"))
+    return R.chapter_display(chapters.withColumn("translate_status", state)).select("book_id", "number", "title", "label")
+
+
+def polling_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as loaded paragraphs; every third turn has a newer snapshot."""
+    turns = X.table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("paragraph_id"), F.lit("pending").alias("status"), F.lit("").alias("translation"), "turn", "role")
+    newer = turns.where("turn % 3 = 0").select("paragraph_id", F.lit("completed").alias("status"), F.col("role").alias("translation"))
+    return R.merge_poll(turns.drop("turn", "role"), newer).select("paragraph_id", "status", "translation", R.translation_label(F.col("status"), F.col("translation")).alias("shown"))
+
+
 QUERIES = {
-    "reader_page_full": reader_page_full, "section_paragraphs": section_paragraphs, "fragments_nested_counts": fragments_nested_counts, "fragment_orders": fragment_orders, "reader_sections": reader_sections,
+    "chapter_display": chapter_display, "polling_merge": polling_merge, "reader_page_full": reader_page_full, "section_paragraphs": section_paragraphs, "fragments_nested_counts": fragments_nested_counts, "fragment_orders": fragment_orders, "reader_sections": reader_sections,
     "book_list": book_list, "book_detail": book_detail, "book_progress": book_progress, "highlight_boxes": highlight_boxes,
 }
 
@@ -118,6 +131,9 @@ page AS (SELECT n.*, coalesce(k, 0) AS n_fragments, coalesce(first_page, 1) AS t
   LEFT JOIN (SELECT book_id, para_idx, CAST(count(*) AS INT) AS k, arg_min(pdf_page_number, fragment_order) AS first_page FROM moved GROUP BY ALL) f ON n.book_id = f.book_id AND n.para_idx = f.para_idx WHERE row_idx >= {lo} AND row_idx < {hi})"""
 
 ORACLES = {
+    "chapter_display": f"""WITH {X.STRUCTURE_SQL} SELECT book_id, chapter_order + 1 AS number, title, CASE (book_id + chapter_order) % 4 WHEN 0 THEN 'translated' WHEN 1 THEN 'partly translated' WHEN 3 THEN 'in progress' ELSE 'waiting' END AS label FROM chapters""",
+    "polling_merge": """SELECT conv_id || '/' || turn AS paragraph_id, CASE WHEN turn % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN turn % 3 = 0 THEN role ELSE '' END AS translation,
+  CASE WHEN turn % 3 = 0 THEN role ELSE 'waiting for translation' END AS shown FROM conversations""",
     "reader_page_full": _FULL + _PAGE.format(part="book_id", lo=0, hi=50) + """ SELECT book_id, row_idx, chapter_order, paragraph_order, text, page_number AS page_start, page_end AS page_last, n_fragments, CAST(target_page AS INT) AS target_page,
   CASE WHEN page_end > page_number THEN 'P' || page_number || '–P' || page_end ELSE 'P' || page_number END AS label FROM page""",
     "section_paragraphs": _FULL + _PAGE.format(part="book_id, chapter_order", lo=1, hi=4) + " SELECT book_id, chapter_order, row_idx, text, page_number AS page_start, page_end AS page_last, n_fragments FROM page",

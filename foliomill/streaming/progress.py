@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliomill.operators.enrich import job_status
+from foliomill.operators.enrich import job_status, translate
 from foliomill.operators.store import upsert
 
 TERMINAL = ("completed", "failed", "partial")
@@ -65,6 +65,29 @@ def upsert_pages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def translate_stream(items: DataFrame, path: str, checkpoint: str, provider, cache: DataFrame, prompt: str = "", rows_order: str = "paragraph_order") -> StreamingQuery:
+    """Translate items as they arrive, one micro-batch at a time: results in path/results, one folder for each epoch.
+
+    Stopping the query pauses the job, starting it again from its checkpoint resumes it; how much one micro-batch holds is
+    the source's setting. An epoch that is run again overwrites its own folder. Texts that earlier epochs translated are
+    taken from their results.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        known = cache.select("source_hash", "translated_text", "status")
+        if epoch:
+            done = spark.read.option("recursiveFileLookup", "true").schema(_RESULTS).parquet(f"{path}/results").where(f"epoch < {epoch} AND status = 'completed'")
+            known = known.unionByName(done.select("source_hash", F.col("translation").alias("translated_text"), "status"))
+        results = translate(batch, known, provider, [rows_order], prompt).withColumn("epoch", F.lit(epoch).cast("long"))
+        results.write.mode("overwrite").parquet(f"{path}/results/e{epoch:09d}")
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_RESULTS = "job_id long, batch_no int, id string, source_hash string, translation string, cached boolean, error string, status string, message string, epoch long"
+
+
 def current_pages(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The latest complete version of such a table (below `before`), None if there is none."""
     jvm = spark._jvm

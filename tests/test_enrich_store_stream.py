@@ -109,3 +109,14 @@ def test_page_stream_resumes(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         G.upsert_pages(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted((r.page_number, r.text) for r in G.current_pages(spark, str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_translation_stream_resumes_with_its_own_cache(spark, tmp_path):
+    schema = "job_id long, id string, paragraph_order int, text string"
+    empty = spark.createDataFrame([], "source_hash string, translated_text string, status string")
+    for name, rows in (("x", [(1, "a", 0, "one"), (1, "b", 1, "boom")]), ("y", [(1, "c", 2, "one"), (1, "d", 3, "two")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        G.translate_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), make_provider(), empty).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "results")).orderBy("id").collect()
+    assert [(r.id, r.cached, r.status) for r in got] == [("a", False, "completed"), ("b", False, "completed"), ("c", True, "completed"), ("d", False, "completed")]
