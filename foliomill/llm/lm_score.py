@@ -38,7 +38,7 @@ CLASSES, MEMBERS = 32, 32
 SKIP_ROWS, PAIR_ROWS, MEMBER_ROWS = 2048, 8192, 4096
 CLASS_ROWS = 3 * SKIP_ROWS + PAIR_ROWS
 BLOCK_ROWS = 512
-BROADCAST_TOKENS = 8_000_000
+BROADCAST_TOKENS = 4_000_000
 BATCH_TOKENS = 1 << 15
 FLUSH_TOKENS = 1 << 21
 U = np.uint64
@@ -268,16 +268,18 @@ def _score(shared_model, shared_counts, text_at: int):
                     base = TaskContext.get().partitionId() << 40
                     made["key"] = base + row_no + np.arange(len(bounds) - 1)
                     row_no += len(bounds) - 1
-                    rare = ids < 0
                     lists = [np.unique(tokens[s:e], return_counts=True) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    rares = set(tokens[rare].tolist())
-                    made["distinct"] = [[{"token": int(np.int64(np.uint64(t).view(np.int64))), "tf": int(n), "rare": t in rares} for t, n in zip(v.tolist(), k.tolist(), strict=True)] for v, k in lists]
+                    token, tf = np.concatenate([v for v, _ in lists]), np.concatenate([n for _, n in lists])
+                    rare = _ids(token, frequent, order) < 0
+                    struct = pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(tf), pa.array(rare)], names=["token", "tf", "rare"])
+                    ends = np.concatenate([[0], np.cumsum([len(v) for v, _ in lists])])
+                    made["distinct"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
                 for k, v in made.items():
-                    cols.setdefault(k, []).extend(v.tolist() if isinstance(v, np.ndarray) else v)
-            kinds = {"distinct": pa.list_(pa.struct([("token", pa.int64()), ("tf", pa.int64()), ("rare", pa.bool_())])), **dict.fromkeys(("model_log", "log_c", "rare_log_c"), pa.float64())}
+                    cols.setdefault(k, []).append(v if isinstance(v, pa.Array) else pa.array(v))
             names = _COUNTED if shared_counts else _KEYED
             kept = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if i != text_at]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(cols.get(n, []), kinds.get(n, pa.int64())) for n in names], names=[n for n, _ in kept] + list(names))
+            if cols:
+                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.concat_arrays(cols[n]) for n in names], names=[n for n, _ in kept] + list(names))
 
     return run
 
