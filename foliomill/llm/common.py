@@ -35,25 +35,33 @@ def id_bucket(id_col: Column, buckets: int) -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    On a cluster `spark.checkpoint.dir` names a folder that the driver and all executors see. Only where
-    that setting is absent (tests, one machine) does the Hadoop default file system's /tmp serve.
+    On a cluster `spark.checkpoint.dir` names a folder that the driver and all executors see. Only on one
+    machine (tests), and if the setting is absent, does /tmp serve.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/foliomill-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/foliomill-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished query are of no use; Spark can drop them at once rather than with its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, "false")
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(_CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if df has no more than so many rows; looks at no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows

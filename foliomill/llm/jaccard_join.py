@@ -9,12 +9,12 @@ budgets add up to more than d, some segment of the two sets differs by no more t
 * A segment has budget 1 (equal subsets are looked up), or budget 2 (subsets that differ by one shingle are
   found too: the subset and each of its one-deletion neighbours are indexed), or budget 0 (passed over).
 * How many segments of a band have budget 2 follows from a cost model over the number of documents in each
-  band, counted over all documents. Budget 0 goes, document by document, to segments of under `MIN_TOKENS`
-  shingles, which many documents share; the set then goes on to further segments until its budgets suffice.
+  band, counted over all documents. Budget 0 goes, document by document, to segments of few shingles (of none, where
+  segments are small), which many documents share; the set then goes on to further segments until its budgets suffice.
   Both rules are sound: equal segments have equal sizes, and a set uses its segments in one fixed order.
-* A bucket's members are first compared with one of them only, then - if they are not yet all in one
-  component - across components. So a group of near copies is joined by few comparisons, never by all its
-  pairs, and yet no link between components is lost.
+* A bucket's members are compared with one of them, its head, only. Any two of them that are not yet in one component
+  may still be linked; `_across` finds those with prefix filters on what they share or do not share with the head.
+  So a group of near copies is joined without comparing all its pairs, and yet no link is lost.
 * Every comparison that counts is exact: both whole texts are cut into shingles again and intersected.
   Shingles are compared by 64-bit hashes.
 
@@ -41,7 +41,6 @@ from foliomill.llm import textbytes as tb
 from foliomill.llm.common import lower_ascii, saved, scratch_dir
 from foliomill.llm.graph import connected_components
 
-MIN_TOKENS = 3
 BAND_RATIO = 1.5
 U = np.uint64
 
@@ -55,6 +54,7 @@ class Scheme:
     high: int
     segments: int
     double: int  # so many segments, the first ones, have budget 2
+    least: int  # segments of fewer shingles have budget 0
 
 
 def band_limits(largest: int) -> list[tuple[int, int]]:
@@ -82,15 +82,18 @@ def scheme_for(band: int, low: int, high: int, docs: int, percent: int) -> Schem
     best = None
     for double in range(min(4, (need + 1) // 2) + 1):
         base = double + max(need - 2 * double, 0)
-        segments = base + (math.ceil(0.12 * base) + 2 if base > 8 else 0)
-        if segments == 0:
+        if base == 0:
             continue
+        least = 3 if low / base >= 5 else 2 if low / base >= 4 else 1
+        # Enough segments even where the smallest sets of the band leave some of them nearly empty.
+        few = sum(math.exp(-low / base) * (low / base) ** i / math.factorial(i) for i in range(least))
+        segments = base + (math.ceil(1.5 * few * base) + 2 if base > 8 else 0)
         tokens = typical / segments
         entries = segments + double * tokens
         chance = docs * math.exp(-2 * 0.95 * tokens) * (segments if base <= 8 else 0.05 * segments)
         cost = entries + 20 * chance
         if best is None or cost < best[0]:
-            best = (cost, Scheme(band, low, high, segments, double))
+            best = (cost, Scheme(band, low, high, segments, double, least))
     return best[1]
 
 
@@ -109,6 +112,7 @@ def _entries(tokens: np.ndarray, bounds: np.ndarray, rows: np.ndarray, schemes:
     sizes = np.diff(bounds)[rows]
     segs = np.array([s.segments for s in schemes])[which]
     doubles = np.array([s.double for s in schemes])[which]
+    leasts = np.array([s.least for s in schemes])[which]
     bands = np.array([s.band for s in schemes], np.uint64)[which]
     job = np.repeat(np.arange(len(rows)), sizes)
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -125,12 +129,13 @@ def _entries(tokens: np.ndarray, bounds: np.ndarray, rows: np.ndarray, schemes:
     place = np.arange(total) - base[:-1][owner]
     budget = np.where(place < doubles[owner], 2, 1)
     # A neighbour of one shingle fewer must still be indexed by its own set.
-    used = budget * (counts >= MIN_TOKENS + (budget == 2))
+    least = leasts[owner]
+    used = budget * (counts >= least + (budget == 2))
     running = np.cumsum(used)
     running -= np.concatenate([[0], running])[base[:-1][owner]]
     need = allowed(sizes, percent)[owner] + 1
     short = (running[base[1:] - 1] < allowed(sizes, percent) + 1)[owner]
-    emit = short | ((running - used < need) & (counts >= MIN_TOKENS))
+    emit = short | ((running - used < need) & (counts >= least))
     label = tb.mix(place.astype(np.uint64) + bands[owner] * U(0x100000001B3))
     exact = np.flatnonzero(emit)
     gone = np.flatnonzero((emit & (budget == 2))[seg])
@@ -144,16 +149,14 @@ def _lists(row: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
 
 
 def _sizes(k: int):
+    """Batches of (id, text) to (id, n_shingles, node)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
         for batch in batches:
-            for _, buf, offsets in tb.pieces(batch.column(0)):
-                starts, _, bounds = tb.words(buf, offsets)
-                n = np.diff(bounds)
-                n = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-                for band, c in zip(*np.unique(_bands_of(n[n > 0]), return_counts=True), strict=True):
-                    counts[int(band)] = counts.get(int(band), 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["band", "docs"])
+            for first, buf, offsets in tb.pieces(batch.column(1)):
+                _, bounds = _node_and_shingles(buf, offsets, k)
+                columns = [batch.column(0).slice(first, len(offsets) - 1), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(buf, offsets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node"])
 
     return run
 
@@ -167,7 +170,7 @@ def _bands_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def _index(k: int, percent: int, docs_in_band: dict[int, int]):
-    """Batches of (id, text) to (id, n_shingles, node, exact, gone). A node's second copy in a task has no entries."""
+    """Batches of texts to index entries (node, exact, gone). A node's second copy in a task has none."""
 
     def scheme(band: int) -> Scheme:
         return scheme_for(band, *_LIMITS[band], docs_in_band.get(band, 1), percent)
@@ -175,7 +178,7 @@ def _index(k: int, percent: int, docs_in_band: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for first, buf, offsets in tb.pieces(batch.column(1)):
+            for _, buf, offsets in tb.pieces(batch.column(0)):
                 n_rows = len(offsets) - 1
                 tokens, bounds = _node_and_shingles(buf, offsets, k)
                 sizes, nodes = np.diff(bounds), _nodes(buf, offsets)
@@ -195,34 +198,52 @@ def _index(k: int, percent: int, docs_in_band: dict[int, int]):
                             parts.append(_entries(tokens, bounds, some, [scheme(int(b)) for b in found], which, percent))
                 none = (np.zeros(0, np.int64), np.zeros(0, np.uint64)) * 2
                 exact_row, exact, gone_row, gone = (np.concatenate(x) for x in zip(none, *parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n_rows), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), _lists(exact_row, exact, n_rows), _lists(gone_row, gone, n_rows)],
-                    names=["id", "n_shingles", "node", "exact", "gone"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), _lists(exact_row, exact, n_rows), _lists(gone_row, gone, n_rows)], names=["node", "exact", "gone"])
 
     return run
 
 
-def _overlaps(k: int):
-    """Batches of (a, b, text_a, text_b) to (a, b, shared, size_a, size_b)."""
+def _overlaps(k: int, percent: int, prefixes: bool):
+    """Batches of (a, b, text_a, text_b) to (a, b, shared, size_a, size_b), and the prefixes that _across explains."""
+    alpha, beta = 100 + percent, 100 - percent
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, buf, offsets in tb.pieces(column):
+            tokens, bounds = _node_and_shingles(buf, offsets, k)
+            yield from (tokens[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+    def prefixes_of(a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        shared, union = int(known.sum()), len(a) + len(b) - int(known.sum())
+        near = far = b[:0]
+        strict = 0
+        new = b[~known]
+        if 100 * (union - shared) <= 3 * beta * union:
+            x = np.concatenate([new, a[~np.isin(a, b, assume_unique=True)]])
+            u, room = alpha * len(x) - beta * len(b), beta * len(a)
+            least = lambda other: max(-(-(u + other) // (2 * alpha)), 1)  # noqa: E731  shingles to share
+            strict = max(len(x) - least(room + 1) + 1, 0)
+            near = x[: strict if u <= room else max(len(x) - least(-room) + 1, 0)]
+        if 100 * (union - shared) > 2 * beta * union:
+            far = np.concatenate([new, b[known]])[: len(b) - -(-percent * len(b) // 100) + 1]
+        return near, far, strict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, size_a, size_b = [], [], []
             for at in range(0, batch.num_rows, 256):
-                n = min(256, batch.num_rows - at)
-                sides = []
-                for column in (batch.column(2), batch.column(3)):
-                    sets = []
-                    for _, buf, offsets in tb.pieces(column.slice(at, n)):
-                        tokens, bounds = _node_and_shingles(buf, offsets, k)
-                        sets += [tokens[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    sides.append(sets)
-                for a, b in zip(*sides, strict=True):
-                    shared.append(len(np.intersect1d(a, b, assume_unique=True)))
-                    size_a.append(len(a))
-                    size_b.append(len(b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, size_a, size_b))], names=["a", "b", "shared", "size_a", "size_b"])
+                part = batch.slice(at, 256)
+                counts, found = [], []
+                for a, b in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
+                    known = np.isin(b, a, assume_unique=True)
+                    counts.append((int(known.sum()), len(a), len(b)))
+                    if prefixes:
+                        found.append(prefixes_of(a, b, known))
+                columns = [part.column(0), part.column(1), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3))]
+                names = ["a", "b", "shared", "size_a", "size_b"]
+                if prefixes:
+                    short = lambda x: x.astype(np.uint32).view(np.int32)  # noqa: E731  equal shingles stay equal
+                    columns += [*(pa.array([short(f[j]) for f in found], pa.list_(pa.int32())) for j in (0, 1)), pa.array([f[2] for f in found], pa.int32())]
+                    names += ["near", "far", "strict"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -231,12 +252,16 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(lower_ascii(F.coalesce(text, F.lit("")))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, prefixes: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes with the sizes of their sets and of the intersection."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    sized = with_both.mapInArrow(_overlaps(k), "a binary, b binary, shared long, size_a long, size_b long")
-    return sized.where(f"100 * shared >= {percent} * (size_a + size_b - shared)").select("a", "b")
+    more = ", near array<int>, far array<int>, strict int" if prefixes else ""
+    return with_both.mapInArrow(_overlaps(k, percent, prefixes), f"a binary, b binary, shared long, size_a long, size_b long{more}")
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(f"100 * shared >= {percent} * (size_a + size_b - shared)").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -246,64 +271,86 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark)
-    texts_only = docs.select(F.col(text).alias("text"))
-    in_band = {r["band"]: r["docs"] for r in texts_only.mapInArrow(_sizes(k), "band int, docs long").groupBy("band").agg(F.sum("docs").alias("docs")).collect()}  # a few dozen bands
-
-    index = saved(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), _schema(docs, id_col)), folder, "index")
-    entry = lambda column, gone: index.select("node", "n_shingles", F.explode(column).alias("sig"), F.lit(gone).alias("gone"))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary"
+    slim = saved(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sizes(k), schema), folder, "slim")
+    band = F.size(F.filter(F.array(*[F.lit(h).cast("long") for h in _HIGHS.tolist()]), lambda h: h < F.col("n_shingles")))
+    in_band = {r["band"]: r["docs"] for r in slim.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # a few dozen bands
+
+    index = docs.select(F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), "node binary, exact array<long>, gone array<long>")
+    # One explode for both kinds of entries, so texts are indexed once.
+    kinds = F.concat(F.transform("exact", lambda x: F.struct(x.alias("sig"), F.lit(False).alias("gone"))), F.transform("gone", lambda x: F.struct(x.alias("sig"), F.lit(True).alias("gone"))))
+    entries = index.select("node", F.inline(kinds))
     in_bucket = W.partitionBy("sig").orderBy("gone", "node")
     so_far = in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)
     bucketed = (
-        entry("exact", False)
-        .union(entry("gone", True))
-        .withColumns({"head": F.first("node").over(so_far), "head_gone": F.first("gone").over(so_far), "head_size": F.first("n_shingles").over(so_far), "before": F.lag("node").over(in_bucket)})
+        entries.withColumns({"head": F.first("node").over(so_far), "head_gone": F.first("gone").over(so_far), "before": F.lag("node").over(in_bucket)})
         .where("NOT head_gone AND node <> head AND node <> before")
     )
-    members = saved(bucketed.select("sig", "gone", "node", "n_shingles", "head", "head_size"), folder, "members")
+    pairs = saved(bucketed.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs")
 
     # Texts of all nodes that share a bucket with another one, once each.
-    touched = members.select("node").union(members.select(F.col("head").alias("node"))).distinct()
-    texts = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = saved(texts, folder, "texts")
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    once = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = saved(once.join(touched, "node", "left_semi"), folder, "texts")
 
-    near = f"least(n_shingles, head_size) * 100 >= {percent} * greatest(n_shingles, head_size)"
-    first_pairs = saved(members.where(near).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), folder, "pairs-1")
-    links = saved(_verified(first_pairs, texts, k, percent), folder, "links-1")
+    compared = saved(_compared(pairs, texts, k, percent, prefixes=True), folder, "compared")
+    links = _links(compared, percent)
     parts = connected_components(links, folder, "parts-1")
-
-    more = _across(members, parts, first_pairs, percent)
-    more_pairs = saved(more, folder, "pairs-2")
-    more_links = saved(_verified(more_pairs, texts, k, percent), folder, "links-2")
+    more_pairs = saved(_across(compared, parts, touched, percent), folder, "pairs-2")
+    more_links = saved(_links(_compared(more_pairs, texts, k, percent), percent), folder, "links-2")
     if not more_links.isEmpty():
         parts = connected_components(links.union(more_links), folder, "parts-2")
 
     # Ids: the smallest of each node, then of each component.
-    of_node = index.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least_id"))
+    of_node = slim.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least_id"))
     rooted = of_node.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(of_root, "root").select("node", "component_id")
-    slim = index.select("id", "n_shingles", "node")
     return (
         slim.where("n_shingles > 0").join(named, "node").select(F.col("id").alias(id_col), "n_shingles", "component_id").union(slim.where("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id")))
     )
 
 
-def _schema(docs: DataFrame, id_col: str) -> str:
-    return f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary, exact array<long>, gone array<long>"
+def _across(compared: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one head that are in different components and may still be linked.
 
+    1 - similarity is a metric, so the distances of two linked members from their head differ by 1 - p at most. Hence both are
+    near (within 3 (1 - p)) or both are far (beyond 2 (1 - p)), or both are either.
 
-def _across(members: DataFrame, parts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket whose nodes are in different components, and that were not compared before."""
-    rows = members.select("sig", "gone", "node", "n_shingles").union(members.select("sig", F.lit(False), F.col("head"), F.col("head_size")).distinct())
-    rows = rows.join(parts.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
-    rows = rows.join(mixed, "sig", "left_semi")
-    # The largest component of a bucket need not be compared within itself: pairs start from all others.
-    by_root = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_root.groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    rows = rows.join(largest, "sig")
-    left = rows.where("root <> largest").select("sig", *[F.col(c).alias(f"{c}_l") for c in ("gone", "node", "n_shingles", "root")])
-    pairs = left.join(rows, "sig").where(
-        f"root <> root_l AND (root = largest OR node_l < node) AND NOT (gone AND gone_l) AND least(n_shingles, n_shingles_l) * 100 >= {percent} * greatest(n_shingles, n_shingles_l)"
+    * Near members differ from the head by x and y. They are linked if (100 + p) |x ^ y| <= (100 - p) (|a| + |b|), that is if
+      |x & y| >= (u(a) + u(b)) / (2 (100 + p)), where u = (100 + p) |x| - (100 - p) |a|. A member is linked with the head if
+      u <= (100 - p) |head|. Two members that are linked with it need no comparison; for two that are not ("strict"), and for one
+      of each, this bounds how many shingles of x and y must be shared, and so the prefix that must share one.
+    * Far members are linked if they share p (|a| + |b|) / (100 + p) shingles; a prefix of each must share one.
+
+    Prefixes start with what the head lacks, in the order of hashes, so what a whole group shares comes last. The first shared
+    shingle leaves room for the others on both sides, which cuts off nearly all chance agreements in the join itself.
+    """
+    alpha = 100 + percent
+    roots = parts.select("node", "root")
+    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_a", "size_b", "shared", "near", "far", "strict").join(roots, "node", "left")
+    rows = rows.withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("head")
+    nx = F.col("size_a") + F.col("size_b") - 2 * F.col("shared")
+    linked = 100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    rows = rows.join(several, "head", "left_semi").withColumns({"u": alpha * nx - (100 - percent) * F.col("size_b"), "nx": nx, "linked": linked})
+    entry = lambda kind, length, value: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), value.alias("need"))
+    entries = F.concat(
+        F.transform("far", entry(0, F.col("size_b"), 2 * percent * F.col("size_b"))),
+        F.transform(F.slice("near", F.lit(1), F.when(F.col("linked"), 0).otherwise(F.col("strict"))), entry(1, F.col("nx"), F.col("u"))),
+        F.transform("near", entry(2, F.col("nx"), F.col("u"))),
     )
-    return pairs.select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    keyed = rows.select("head", F.xxhash64("node").alias("node"), "root", "linked", F.inline(entries)).select(F.xxhash64("head", "kind", "token").alias("key"), "kind", "node", "root", "linked", "left", "need")
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    keyed = keyed.join(mixed, "key", "left_semi")
+    # The largest component of a key need not be compared within itself: pairs start from all others.
+    by_root = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = by_root.groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("largest"))
+    keyed = keyed.join(largest, "key")
+    one = keyed.where("CASE WHEN kind = 2 THEN linked ELSE root <> largest END").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need")])
+    fits = f"root <> root_1 AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1)) AND CASE WHEN kind = 2 THEN NOT linked ELSE root = largest OR node_1 < node END"
+    found = one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
+    named = nodes.select("node", F.xxhash64("node").alias("h"))
+    for k in (1, 2):
+        found = found.join(named.select(F.col("node").alias(f"n{k}"), F.col("h").alias(f"node_{k}")), f"node_{k}")
+    return found.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
