@@ -1,15 +1,18 @@
-"""Language-model scoring with a hashed maximum-entropy model.
-
-The probability of a token is that of its class given the words before it, times that of the token in its
-class. The `CLASSES * MEMBERS` most frequent training tokens are dealt to classes by rank; all others are in
-one more class, inside which the add-half unigram holds, so unseen tokens have a probability too. Class and
-member are softmax models over hashed features: the word before, the two words before as a bigram, and the
-skipped words two and three places before.
-
-Counts come from all training texts: they are summed within tasks, then shuffled by token. Training is one
-pass (or `rounds`) over all training texts: each task runs its own gradient updates from the shared weights, and the tasks'
-weights are averaged row by row, by how often each feature was seen. Scoring takes whole texts through the same
-features in numpy batches. What the driver holds is the model, whose size is fixed.
+"""Language-model scoring with a hashed maximum-entropy model over a tree of the whole training vocabulary.
+
+Every training token is a leaf of a binary tree of classes that halve the training frequency: the `HEAD` most frequent
+tokens get Shannon codes in the order of their counts, all others share what is left of the code space by their hash,
+with codes as long as their number asks for. At each node a logistic model chooses the branch, from the
+node's own frequency and from hashed features of the words before joined with the node: the word before, the skipped words two and
+three places before, and the two words before as a bigram. Tail tokens that fall on one leaf divide it by their
+counts. Tokens unseen in training keep the add-half unigram.
+
+Counts come from all training texts: they are summed within tasks, then shuffled by token. The weights are fitted in
+synchronous rounds: each task sums the gradients of its texts at shared weights, the sums of all tasks are added, and one
+damped Newton step follows, until the loss of the held-out texts (one in `HELD_OUT`, by a hash of their words) no longer
+improves by `LEAST_GAIN`; then the held-out texts' own gradient is added. A round is a sum over texts, so file layout
+and partitions change nothing but rounding. Tables grow with the roots of the numbers of tokens and types, since each task and the driver
+hold them; contexts that share a row share its weight.
 
 Token counts are broadcast while there are at most `BROADCAST_TOKENS` of them; beyond that, each text's distinct tokens
 are joined with the counts in a shuffle. Both ways give the same scores. Tokens are compared by 64-bit hashes of
@@ -22,7 +25,7 @@ unseen; equal rows give equal results; an empty table gives no rows; clashing co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,11 @@ from pyspark.sql import functions as F
 from foliomill.llm import textbytes as tb
 from foliomill.llm.common import saved, scratch_dir
 
-CLASSES, MEMBERS = 32, 32
-#: Rows of the feature tables: one word, skip of one, skip of two, bigram; and for members.
-SKIP_ROWS, PAIR_ROWS, MEMBER_ROWS = 2048, 8192, 4096
-CLASS_ROWS = 3 * SKIP_ROWS + PAIR_ROWS
-BLOCK_ROWS = 512
+#: Tokens with codes of their own; further bits of the codes of all others.
+HEAD, TAIL_ROOM = 1 << 16, 4
+HELD_OUT, LEAST_GAIN, DAMPING = 32, 1e-3, 4.0
+BLOCK_ROWS = 1 << 14
 BROADCAST_TOKENS = 4_000_000
-BATCH_TOKENS = 1 << 15
 FLUSH_TOKENS = 1 << 21
 U = np.uint64
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -47,15 +48,47 @@ END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: The flat class model of earlier versions, which only a test still makes, with `_softmax`.
+CLASSES, MEMBERS = 32, 32
+CLASS_ROWS, MEMBER_ROWS = 14336, 4096
+
+
 @dataclass
 class Model:
-    frequent: np.ndarray  # hashes in the order of their ids
+    frequent: np.ndarray
     class_bias: np.ndarray
     member_bias: np.ndarray
     class_rows: np.ndarray = field(default_factory=lambda: np.zeros((CLASS_ROWS, CLASSES + 1), np.float32))
     member_rows: np.ndarray = field(default_factory=lambda: np.zeros((2 * MEMBER_ROWS, MEMBERS), np.float32))
 
 
+@dataclass
+class Tree:
+    """Codes of the most frequent tokens (sorted by hash) and where those of others lie; node frequencies as logits; weights."""
+
+    frequent: np.ndarray
+    frequent_codes: np.ndarray
+    frequent_lengths: np.ndarray
+    span: tuple[int, int]
+    tail_bits: int
+    bias: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def bare(cls) -> Tree:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), (0, 1), 0, np.zeros(2, np.float32), np.zeros(2, np.float32))
+
+    def codes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code of each token, and its length in bits."""
+        first, last = self.span
+        codes = U(first) + (tb.mix(tokens + U(11)) % U(last - first))
+        lengths = np.full(len(tokens), self.tail_bits, np.int64)
+        at = _ids(tokens, self.frequent, np.arange(len(self.frequent)))
+        some = at >= 0
+        codes[some], lengths[some] = self.frequent_codes[at[some]], self.frequent_lengths[at[some]]
+        return codes, lengths
+
+
 def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each row and its end, and the bounds of rows."""
     starts, ends, bounds = tb.words(buf, offsets)
@@ -74,18 +107,12 @@ def _before(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_features(tokens: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Row of each feature in the class table; the words one and two before."""
+def contexts(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the features of each token: the word before, skips of one and two, and the two words before."""
     one = _before(tokens, bounds[:-1])
     two = _before(one, bounds[:-1])
     three = _before(two, bounds[:-1])
-    at = lambda x, rows, base: ((tb.mix(x) % U(rows)).astype(np.int32) + base)
-    return [at(one, SKIP_ROWS, 0), at(two + U(1), SKIP_ROWS, SKIP_ROWS), at(three + U(2), SKIP_ROWS, 2 * SKIP_ROWS), at(one * U(3) + two, PAIR_ROWS, 3 * SKIP_ROWS)], one, two
-
-
-def member_features(one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
-    c = classes.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-    return [(tb.mix(one + c) % U(MEMBER_ROWS)).astype(np.int32), (tb.mix(two + c + U(7)) % U(MEMBER_ROWS)).astype(np.int32) + MEMBER_ROWS]
+    return [tb.mix(one), tb.mix(two + U(1)), tb.mix(three + U(2)), tb.mix(one * U(3) + two)]
 
 
 def _ids(tokens: np.ndarray, known: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -107,28 +134,45 @@ def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.
     return z
 
 
-def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values, and their counts."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    return sorted_rows[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(rows)))
-
-
-class _Trainer:
-    """Gradient ascent on the log likelihood, each row with its own step size (Adagrad)."""
-
-    def __init__(self, table: np.ndarray, rate: float):
-        self.table, self.rate = table.copy(), rate
-        self.power = np.full(len(table), 1.0, np.float32)
-        self.seen = np.zeros(len(table), np.int64)
-
-    def update(self, gap: np.ndarray, rows: list[np.ndarray]) -> None:
-        for r in rows:
-            some, gradient, n = _sum_rows(r, gap)
-            self.power[some] += (gradient**2).sum(1)
-            self.table[some] += self.rate * gradient / np.sqrt(self.power[some])[:, None]
-            self.seen[some] += n
+def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.ndarray, ...] | None = None, second: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of each token's leaf. With sums (gradients, and curvatures in the first round), adds to those of each token's set."""
+    codes, lengths = tree.codes(tokens)
+    order = np.argsort(-lengths.astype(np.int8), kind="stable")
+    codes, lengths = codes[order], lengths[order]
+    features = [c[order] for c in contexts(tokens, bounds)]
+    # Of each length, how many tokens have more bits than that: a prefix, as they are in order
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(64), side="right")
+    logs = np.zeros(len(tokens))
+    room, shift = U(64 - int(np.log2(len(tree.weights)))), U(64 - int(np.log2(len(tree.bias))))
+    if second is not None:
+        second = second[order]
+    for depth in range(64):
+        n = int(active[depth])
+        if not n:
+            break
+        left = lengths[:n] - depth
+        node = ((U(1) << U(depth)) | (codes[:n] >> left.astype(np.uint64))) * U(0x9E3779B97F4A7C15)
+        turn = (codes[:n] >> (left - 1).astype(np.uint64)) & U(1)
+        z = tree.bias[node >> shift]
+        at = [((f[:n] ^ node) * U(0xD6E8FEB86659FD93) >> room).view(np.int64) for f in features]
+        for i in at:
+            z += tree.weights[i]
+        sign = turn.astype(np.float32) * 2 - 1
+        far = np.exp(-np.clip(z * sign, -30, 30))
+        logs[:n] -= np.log1p(far)
+        if sums is not None:
+            miss = far / (1 + far)
+            gap, curve = (sign * miss).astype(np.float64), (miss * (1 - miss)).astype(np.float64)  # the kind of the sums: else add.at is slow
+            aside = np.flatnonzero(second[:n])
+            for i in at:
+                if len(aside):
+                    np.add.at(sums[1], i[aside], gap[aside])
+                np.add.at(sums[0], i, gap)
+                if len(sums) > 2:
+                    np.add.at(sums[2], i, curve)
+    out = np.empty(len(tokens))
+    out[order] = logs
+    return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,132 +191,164 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _train(shared, rate: float):
+def _blocks(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for kind, x in enumerate(arrays):
+        for block in range(0, len(x), BLOCK_ROWS):
+            part = x[block : block + BLOCK_ROWS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([part.astype(np.float32).tobytes()])], names=["kind", "block", "sums"])
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            x = np.frombuffer(row["sums"], np.float32)
+            held = sums.setdefault((row["kind"], row["block"]), np.zeros(len(x)))
+            held += x
+    for (kind, block), x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["kind", "block", "sums"])
+
+
+_BLOCKS = "kind int, block int, sums binary"
+
+
+def _added(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """The arrays that the blocks of all tasks add up to."""
+    out = [np.zeros(n, np.float32) for n in sizes]
+    summed = parts.repartition("kind", "block").mapInArrow(_sum_blocks, _BLOCKS)
+    for row in saved(summed, scratch_dir(parts.sparkSession), "sums").collect():  # as large as the model
+        x = np.frombuffer(row["sums"], np.float32)
+        out[row["kind"]][row["block"] : row["block"] + len(x)] = x
+    return out
+
+
+def _frequencies(shared):
+    """Of each node, how often training tokens pass it and how often they take its second branch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        order = np.argsort(model.frequent)
-        known = model.frequent[order]
-        classes, members = _Trainer(model.class_rows, rate), _Trainer(model.member_rows, rate)
+        tree: Tree = shared.value
+        passed, turned = np.zeros(len(tree.bias)), np.zeros(len(tree.bias))
+        shift = U(64 - int(np.log2(len(tree.bias))))
+        for batch in batches:
+            codes, lengths = tree.codes(batch.column(0).to_numpy().view(np.uint64))
+            n = batch.column(1).to_numpy().astype(np.float64)
+            for depth in range(int(lengths.max(initial=0))):
+                some = np.flatnonzero(lengths > depth)
+                left = lengths[some] - depth
+                node = ((U(1) << U(depth)) | (codes[some] >> left.astype(np.uint64))) * U(0x9E3779B97F4A7C15) >> shift
+                np.add.at(passed, node, n[some])
+                np.add.at(turned, node, n[some] * ((codes[some] >> (left - 1).astype(np.uint64)) & U(1)))
+        yield from _blocks([passed, turned])
+
+    return run
+
+
+def _gradients(shared, first: bool):
+    """Sums over the texts: gradients of training and of held-out texts, their losses and tokens, in the first round curvatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        sums = tuple(np.zeros(len(tree.weights)) for _ in range(3 if first else 2))
+        loss = np.zeros(4)
         for batch in batches:
             for _, buf, offsets in tb.pieces(batch.column(0)):
                 tokens, bounds = tokens_of(buf, offsets)
-                rows, one, two = class_features(tokens, bounds)
-                ids = _ids(tokens, known, order)
-                own = np.where(ids < 0, CLASSES, ids // MEMBERS)
-                for at in range(0, len(tokens), BATCH_TOKENS):
-                    part = slice(at, at + BATCH_TOKENS)
-                    some = [r[part] for r in rows]
-                    gap = -_softmax(model.class_bias, classes.table, some)
-                    gap[np.arange(len(gap)), own[part]] += 1
-                    classes.update(gap, some)
-                    common = np.flatnonzero(ids[part] >= 0) + at
-                    if len(common):
-                        some = member_features(one[common], two[common], own[common])
-                        gap = -_softmax(model.member_bias[own[common]], members.table, some)
-                        gap[np.arange(len(gap)), ids[common] % MEMBERS] += 1
-                        members.update(gap, some)
-        for kind, t in enumerate((classes, members)):
-            for block in range(0, len(t.table), BLOCK_ROWS):
-                seen = t.seen[block : block + BLOCK_ROWS]
-                if seen.any():
-                    weighted = (t.table[block : block + BLOCK_ROWS] * seen[:, None]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([weighted.tobytes()]), pa.array([seen.tobytes()])], names=["kind", "block", "weighted", "seen"])
+                aside = tb.mix(np.add.reduceat(tb.mix(tokens + U(5)), bounds[:-1])) % U(HELD_OUT) == 0
+                second = np.repeat(aside, np.diff(bounds))
+                logs = _walk(tree, tokens, bounds, sums, second)
+                loss += [-logs[~second].sum(), (~second).sum(), -logs[second].sum(), second.sum()]
+        yield from _blocks([*sums, loss])
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], list[np.ndarray]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            parts = np.frombuffer(row["weighted"], np.float32).astype(np.float64), np.frombuffer(row["seen"], np.int64)
-            held = sums.setdefault((row["kind"], row["block"]), [np.zeros_like(x) for x in parts])
-            for h, x in zip(held, parts, strict=True):
-                h += x
-    for (kind, block), (weighted, seen) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([weighted.astype(np.float32).tobytes()]), pa.array([seen.tobytes()])], names=["kind", "block", "weighted", "seen"])
-
-
-_BLOCKS = "kind int, block int, weighted binary, seen binary"
-
-
-def train(texts: DataFrame, vocabulary: DataFrame, rounds: int = 1, rate: float = 0.3) -> Model:
-    """texts: one text column; vocabulary: (token, n) of the same texts."""
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(CLASSES * MEMBERS).collect()
-    n_all = vocabulary.agg(F.sum("n")).first()[0] or 0
-    counts = np.zeros(CLASSES * MEMBERS)
-    counts[: len(top)] = [r["n"] for r in top]
-    by_class = counts.reshape(CLASSES, MEMBERS)
-    of_class = np.append(by_class.sum(1), max(n_all - counts.sum(), 0)) + np.append(np.where(by_class.sum(1) > 0, 0.5, 0), 0.5)
-    model = Model(
-        np.array([r["token"] for r in top], np.int64).view(np.uint64),
-        np.log(np.maximum(of_class / of_class.sum(), 1e-13)).astype(np.float32),
-        np.log(np.maximum(by_class / np.maximum(by_class.sum(1, keepdims=True), 1), 1e-13)).astype(np.float32),
-    )
+def plant(vocabulary: DataFrame, n_all: int, n_types: int) -> Tree:
+    """The tree of (token, n) with the frequencies of its nodes."""
+    top = vocabulary.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
+    tokens, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    bits = lambda x: int(np.ceil(np.log2(max(x, 2))))
+    lengths = np.ceil(np.log2(n_all / np.maximum(n, 1))).astype(np.int64) if len(n) else n
+    starts = np.cumsum(n) - n
+    # In Python's whole numbers: 62 bits would not hold start * 2**length
+    codes = np.array([(int(s) << int(k)) // n_all for s, k in zip(starts, lengths, strict=True)], np.uint64)
+    rest, rest_types = n_all - int(n.sum()), n_types - len(n)
+    tail_bits = max(bits(n_all * rest_types / rest), int(lengths.max(initial=0))) + TAIL_ROOM if rest else 1
+    span = ((1 << tail_bits) * int(n.sum()) // n_all, (1 << tail_bits)) if rest else (0, 1)
+    order = np.argsort(tokens)
+    tree = Tree(tokens[order], codes[order], lengths[order], span, tail_bits, np.zeros(1 << bits(2048 * n_types**0.5), np.float32), np.zeros(1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))), np.float32))
+    shared = vocabulary.sparkSession.sparkContext.broadcast(tree)
+    passed, turned = _added(vocabulary.mapInArrow(_frequencies(shared), _BLOCKS), [len(tree.bias)] * 2)
+    bias = np.log((turned + 0.01) / (passed - turned + 0.01)).astype(np.float32)
+    return replace(tree, bias=bias)
+
+
+def train(texts: DataFrame, tree: Tree, rounds: int | None = None, rate: float = 0.5) -> Tree:
+    """texts: one text column; rounds: at most so many, None until the held-out loss no longer improves."""
     spark = texts.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        summed = texts.mapInArrow(_train(shared, rate), _BLOCKS).repartition("kind", "block").mapInArrow(_sum_blocks, _BLOCKS).collect()  # as large as the model
-        tables = [model.class_rows.copy(), model.member_rows.copy()]
-        for row in summed:
-            seen = np.frombuffer(row["seen"], np.int64)
-            mean = np.frombuffer(row["weighted"], np.float32).reshape(len(seen), -1) / np.maximum(seen, 1)[:, None]
-            old = tables[row["kind"]][row["block"] : row["block"] + len(seen)]
-            tables[row["kind"]][row["block"] : row["block"] + len(seen)] = np.where(seen[:, None] > 0, mean, old)
-        model = Model(model.frequent, model.class_bias, model.member_bias, *tables)
-    return model
-
-
-def _model_logs(model: Model, tokens: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log10 of class times member; for the last class, of the class alone."""
-    rows, one, two = class_features(tokens, bounds)
-    own = np.where(ids < 0, CLASSES, ids // MEMBERS)
-    out = np.empty(len(tokens))
-    for at in range(0, len(tokens), BATCH_TOKENS):
-        part = slice(at, at + BATCH_TOKENS)
-        p = _softmax(model.class_bias, model.class_rows, [r[part] for r in rows])
-        out[part] = np.log10(np.maximum(p[np.arange(len(p)), own[part]], 1e-30))
-        common = np.flatnonzero(ids[part] >= 0) + at
-        if len(common):
-            p = _softmax(model.member_bias[own[common]], model.member_rows, member_features(one[common], two[common], own[common]))
-            out[common] += np.log10(np.maximum(p[np.arange(len(p)), ids[common] % MEMBERS], 1e-30))
-    return out
+    size, before, best, curve, done = len(tree.weights), np.inf, None, None, 0
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+        got = _added(texts.mapInArrow(_gradients(shared, curve is None), _BLOCKS), [size] * (2 if curve is not None else 3) + [4])
+        shared.unpersist()
+        if curve is None:
+            curve = got[2]
+        both, aside, (loss, n, held_loss, n_held) = got[0], got[1], got[-1].astype(np.float64)
+        now = held_loss / n_held if n_held else loss / max(n, 1)
+        gain = before - now
+        if gain > 0:
+            best, before = (tree, aside), now
+        if not gain > LEAST_GAIN * now or done == rounds:
+            break
+        tree = replace(tree, weights=(tree.weights + rate * (both - aside) / (curve + DAMPING)).astype(np.float32))
+        done += 1
+    if best is None:
+        return tree
+    tree, aside = best
+    return replace(tree, weights=(tree.weights + rate * aside / (curve + DAMPING)).astype(np.float32))
+
+
+def _leaves(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, lengths = shared.value.codes(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((U(1) << lengths.astype(np.uint64)) | codes).view(np.int64))], names=["token", "n", "leaf"])
+
+    return run
 
 
-def _score(shared_model, shared_counts, text_at: int):
-    """Adds n_tokens and model_log; with counts also log_c, known and rare_log_c, else key and distinct tokens."""
+def _score(shared_tree, shared_counts, text_at: int):
+    """Adds n_tokens; with counts also log_c, known and tree_log, else key and distinct tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared_model.value
-        order = np.argsort(model.frequent)
-        frequent = model.frequent[order]
-        vocabulary, counts = shared_counts.value if shared_counts else (None, None)
+        tree: Tree = shared_tree.value
+        vocabulary, counts, shares = shared_counts.value if shared_counts else (None, None, None)
         row_no = 0
         for batch in batches:
             cols: dict[str, list] = {}
             for _, buf, offsets in tb.pieces(batch.column(text_at)):
                 tokens, bounds = tokens_of(buf, offsets)
-                ids = _ids(tokens, frequent, order)
                 total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731, B023  no row is without tokens
-                made = {"n_tokens": np.diff(bounds), "model_log": total(_model_logs(model, tokens, bounds, ids))}
+                logs = _walk(tree, tokens, bounds) / np.log(10)
+                made = {"n_tokens": np.diff(bounds)}
                 if shared_counts:
                     distinct, back = np.unique(tokens, return_inverse=True)
-                    c = np.zeros(len(distinct), np.int64)
+                    c, share = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
                     if len(vocabulary):
                         at = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1)
                         c = np.where(vocabulary[at] == distinct, counts[at], 0)
-                    logs = np.log10(c + 0.5)[back]
-                    made |= {"log_c": total(logs), "known": total((c > 0)[back].astype(np.int64)), "rare_log_c": total(np.where(ids < 0, logs, 0.0)), "rare": total((ids < 0).astype(np.int64))}
+                        share = shares[at]
+                    known = (c > 0)[back]
+                    made |= {"log_c": total(np.log10(c + 0.5)[back]), "known": total(known.astype(np.int64)), "tree_log": total(np.where(known, logs + share[back], 0.0))}
                 else:
-                    made["rare"] = total((ids < 0).astype(np.int64))
                     base = TaskContext.get().partitionId() << 40
                     made["key"] = base + row_no + np.arange(len(bounds) - 1)
                     row_no += len(bounds) - 1
-                    lists = [np.unique(tokens[s:e], return_counts=True) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    token, tf = np.concatenate([v for v, _ in lists]), np.concatenate([n for _, n in lists])
-                    rare = _ids(token, frequent, order) < 0
-                    struct = pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(tf), pa.array(rare)], names=["token", "tf", "rare"])
-                    ends = np.concatenate([[0], np.cumsum([len(v) for v, _ in lists])])
+                    lists = [np.unique(tokens[s:e], return_inverse=True, return_counts=True) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    token, tf = np.concatenate([x[0] for x in lists]), np.concatenate([x[2] for x in lists])
+                    sums = np.concatenate([np.bincount(x[1], logs[s:e]) for x, s, e in zip(lists, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+                    struct = pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(tf), pa.array(sums)], names=["token", "tf", "logs"])
+                    ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in lists])])
                     made["distinct"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
                 for k, v in made.items():
                     cols.setdefault(k, []).append(v if isinstance(v, pa.Array) else pa.array(v))
@@ -284,49 +360,53 @@ def _score(shared_model, shared_counts, text_at: int):
     return run
 
 
-_COUNTED = ("n_tokens", "model_log", "log_c", "known", "rare_log_c", "rare")
-_KEYED = ("n_tokens", "model_log", "rare", "key", "distinct")
-_KINDS = {"model_log": "double", "log_c": "double", "rare_log_c": "double", "distinct": "array<struct<token:long,tf:long,rare:boolean>>"}
+_COUNTED = ("n_tokens", "log_c", "known", "tree_log")
+_KEYED = ("n_tokens", "key", "distinct")
+_KINDS = {"log_c": "double", "tree_log": "double", "distinct": "array<struct<token:long,tf:long,logs:double>>"}
 
 
-def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: int = 1, broadcast_tokens: int = BROADCAST_TOKENS, folder: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: int | None = None, broadcast_tokens: int = BROADCAST_TOKENS, folder: str | None = None) -> DataFrame:
     """Add the columns of `SCORES` to documents, without their text; rows where `trains` holds are learnt from."""
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark)
     docs = docs.drop(*SCORES)
     training = docs.where(trains).select(text)
-    vocabulary = saved(training.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), folder, "vocabulary")
-    model = train(training, vocabulary, rounds)
-    totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_all, n_types = totals
-    frequent = vocabulary.orderBy(F.desc("n"), "token").limit(CLASSES * MEMBERS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    plain = saved(training.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), folder, "plain")
+    n_all, n_types = plain.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tree = plant(plain, n_all, n_types) if n_all else Tree.bare()
+    leaves = plain.mapInArrow(_leaves(spark.sparkContext.broadcast(tree)), "token long, n long, leaf long")
+    on_leaf = leaves.groupBy("leaf").agg(F.sum("n").alias("n_leaf"))
+    vocabulary = saved(leaves.join(on_leaf, "leaf").select("token", "n", F.log10(F.col("n") / F.col("n_leaf")).alias("share")), folder, "vocabulary")
+    if n_all:
+        tree = train(training, tree, rounds)
     base_room = float(np.log10(n_all + 0.5 * (n_types + 1)))
-    rare_room = float(np.log10(n_all - frequent[0] + 0.5 * (n_types - frequent[1] + 1)))
+    seen = float(np.log10(n_all + 0.5 * n_types)) - base_room if n_all else 0.0
 
     at = docs.columns.index(text)
     own = [f for f in docs.schema if f.name != text]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     made = lambda names: ", ".join([kept, *(f"{n} {_KINDS.get(n, 'long')}" for n in names)])
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tree)
     if n_types <= broadcast_tokens:
         held = vocabulary.toArrow()
-        hashes, counts = (held.column(i).to_numpy() for i in range(2))
+        hashes, counts, shares = (held.column(i).to_numpy() for i in range(3))
         hashes = hashes.view(np.uint64)
         order = np.argsort(hashes)
-        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast((hashes[order], counts[order])), at), made(_COUNTED))
+        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast((hashes[order], counts[order], shares[order].astype(np.float32))), at), made(_COUNTED))
     else:
         keyed = saved(docs.mapInArrow(_score(shared, None, at), made(_KEYED)), folder, "keyed")
         flat = keyed.select("key", F.inline("distinct")).join(vocabulary, "token", "left")
         c = F.coalesce("n", F.lit(0))
         sums = flat.groupBy("key").agg(
-            F.sum(F.col("tf") * F.log10(c + 0.5)).alias("log_c"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.when(F.col("rare"), F.col("tf") * F.log10(c + 0.5)).otherwise(0.0)).alias("rare_log_c")
+            F.sum(F.col("tf") * F.log10(c + 0.5)).alias("log_c"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.when(c > 0, F.col("logs") + F.col("tf") * F.col("share")).otherwise(0.0)).alias("tree_log")
         )
         counted = keyed.drop("distinct").join(sums, "key").drop("key")
+    unseen = F.col("n_tokens") - F.col("known")
     return counted.select(
         *[f"`{f.name}`" for f in own],
         "n_tokens",
         F.col("known").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("log_c") - F.col("n_tokens") * base_room).alias("base_score"),
-        (F.col("model_log") + F.col("rare_log_c") - F.col("rare") * rare_room).alias("score"),
+        (F.col("tree_log") + F.col("known") * seen + unseen * (float(np.log10(0.5)) - base_room)).alias("score"),
     )

@@ -412,6 +412,40 @@ def test_model_beats_the_unigram_and_sums_to_one(spark):
     assert np.allclose(p.sum(1), 1, atol=1e-5)
 
 
+def test_all_training_tokens_depend_on_the_words_before(spark):
+    """2,000 pairs of equally frequent words: each second word follows its first only."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (rnd.randrange(2000) for _ in range(100)))) for i in range(1000)]
+    frame = docs(spark, [*rows, (9001, "a7 b7 a1500 b1500"), (9002, "b7 a7 b1500 a1500")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score_texts(frame, F.col("doc_id") < 9000).collect()}
+    assert got[9001].base_score == pytest.approx(got[9002].base_score)
+    assert got[9001].score > got[9002].score + 1 and got[9001].score > got[9001].base_score
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Within a thousandth, at 1, 5 and 40 partitions in different orders."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    train = id_bucket(F.col("doc_id"), 5) != 1
+    one, *others = ({r.doc_id: r.score for r in lm_score.score_texts(x, train).collect()} for x in (d.coalesce(1), d.repartition(5, "text"), d.orderBy(F.desc("doc_id")).repartition(40)))
+    for other in others:
+        assert all(abs(one[i] - s) <= 1e-3 * abs(one[i]) for i, s in other.items())
+
+
+def test_tree_sums_to_one(spark):
+    rows = [(1, " ".join(f"w{i % (1 + i % 97)}" for i in range(3000)))]
+    frame = docs(spark, rows, "doc_id long, text string")
+    vocabulary = frame.select("text").mapInArrow(lm_score._counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = np.array([r.token for r in vocabulary.collect()], np.int64).view(np.uint64)
+    tree = lm_score.plant(vocabulary, 3001, len(tokens))
+    tree = lm_score.replace(tree, weights=np.random.default_rng(0).normal(size=len(tree.weights)).astype(np.float32))
+    codes, lengths = tree.codes(tokens)
+    bits = [format(int(c), f"0{n}b") for c, n in zip(codes, lengths, strict=True)]
+    assert len(set(bits)) == len(bits) and not any(a != b and b.startswith(a) for a in bits for b in bits)
+    # The first words of as many texts: all have the same context
+    tree = lm_score.replace(tree, bias=np.where(np.abs(tree.bias) > 3, tree.bias * 9, tree.bias))
+    assert np.exp(lm_score._walk(tree, tokens, np.arange(len(tokens) + 1))).sum() <= 1 + 1e-4
+
+
 def test_lm_without_training_rows(spark):
     frame = docs(spark, [(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm_score.score_texts(frame, F.lit(False)).collect()
