@@ -279,6 +279,7 @@ def plant(vocabulary: DataFrame, n_all: int, n_types: int) -> Tree:
     tree = Tree(tokens[order], codes[order], lengths[order], span, tail_bits, np.zeros(1 << bits(2048 * n_types**0.5), np.float32), np.zeros(1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))), np.float32))
     shared = vocabulary.sparkSession.sparkContext.broadcast(tree)
     passed, turned = _added(vocabulary.mapInArrow(_frequencies(shared), _BLOCKS), [len(tree.bias)] * 2)
+    shared.destroy()
     bias = np.log((turned + 0.01) / (passed - turned + 0.01)).astype(np.float32)
     return replace(tree, bias=bias)
 
@@ -290,7 +291,7 @@ def train(texts: DataFrame, tree: Tree, rounds: int | None = None, rate: float =
     while True:
         shared = spark.sparkContext.broadcast(tree)
         got = _added(texts.mapInArrow(_gradients(shared, curve is None), _BLOCKS), [size] * (2 if curve is not None else 3) + [4])
-        shared.unpersist()
+        shared.destroy()  # else the driver keeps each round's model
         if curve is None:
             curve = got[2]
         both, aside, (loss, n, held_loss, n_held) = got[0], got[1], got[-1].astype(np.float64)
@@ -376,7 +377,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: int
     tree = plant(plain, n_all, n_types) if n_all else Tree.bare()
     leaves = plain.mapInArrow(_leaves(spark.sparkContext.broadcast(tree)), "token long, n long, leaf long")
     on_leaf = leaves.groupBy("leaf").agg(F.sum("n").alias("n_leaf"))
-    vocabulary = saved(leaves.join(on_leaf, "leaf").select("token", "n", F.log10(F.col("n") / F.col("n_leaf")).alias("share")), folder, "vocabulary")
+    vocabulary = saved(leaves.join(on_leaf, "leaf").select("token", "n", F.log10(F.col("n") / F.col("n_leaf")).cast("float").alias("share")), folder, "vocabulary")
     if n_all:
         tree = train(training, tree, rounds)
     base_room = float(np.log10(n_all + 0.5 * (n_types + 1)))
@@ -392,7 +393,8 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: int
         hashes, counts, shares = (held.column(i).to_numpy() for i in range(3))
         hashes = hashes.view(np.uint64)
         order = np.argsort(hashes)
-        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast((hashes[order], counts[order], shares[order].astype(np.float32))), at), made(_COUNTED))
+        del held
+        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast((hashes[order], counts[order], shares[order])), at), made(_COUNTED))
     else:
         keyed = saved(docs.mapInArrow(_score(shared, None, at), made(_KEYED)), folder, "keyed")
         flat = keyed.select("key", F.inline("distinct")).join(vocabulary, "token", "left")
