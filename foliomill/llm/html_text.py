@@ -2,8 +2,8 @@
 
 A tree builder with implied tags keeps the open elements of a page; what it opens and closes drives a renderer that
 emits all visible text: blocks on lines of their own with blank lines where browsers leave space, lists with
-bullets, numbers and indentation, tables with aligned cells, preformatted text as it is. Scripts, styles,
-the head and whatever is hidden by attribute or inline style are left out.
+bullets, numbers and indentation, tables with aligned cells, preformatted text as it is, formulas and the labels of
+inline graphics as running text. Scripts, styles, the head, what inline graphics and formulas only describe or define, and whatever is hidden by attribute or inline style are left out.
 
 Pages are rows of a DataFrame; each Arrow batch is rendered page by page, so memory depends on the longest page.
 
@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame
 
 # Fixed values of HTML: element classes and which start tags end which open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist map".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist map".split())
+FOREIGN = frozenset("svg math".split())
+#: Elements of SVG and MathML that are not drawn where they stand.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu dir".split())
 BLOCK = SPACED | frozenset("html body div section article main header footer nav aside address form figcaption details summary hgroup legend li dt dd center dialog optgroup option search tr caption".split())
@@ -145,7 +148,7 @@ class Builder:
     """Open elements, and the page that each of them writes to."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool]] = []  # (tag, hidden itself)
+        self.open: list[tuple[str, bool, bool]] = []  # (tag, hidden itself, closed details)
         self.pages = [Page()]
         self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.lists: list[int | None] = []
@@ -179,9 +182,16 @@ class Builder:
         given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n\t") else {}
         if tag in VOID:
             self.void(tag, given)
-        else:
+        elif not self.ends_itself(attributes):
             self.enter(tag, given)
 
+    def foreign(self) -> bool:
+        return self.near(FOREIGN, {"foreignobject"}) >= 0
+
+    def ends_itself(self, attributes: str) -> bool:
+        """Whether the tag is one like <defs/>, which only SVG and MathML have."""
+        return attributes.endswith("/") and self.foreign()
+
     def void(self, tag: str, given: dict[str, str]) -> None:
         if self.hidden:
             return
@@ -195,15 +205,15 @@ class Builder:
 
     def enter(self, tag: str, given: dict[str, str]) -> None:
         hidden = tag in HIDDEN or "hidden" in given or bool(given.get("style") and UNSEEN.search(given["style"])) or tag == "dialog" and "open" not in given
-        if not hidden and self.open and self.open[-1][0] == "details" and tag != "summary":
-            hidden = self.closed_details
-        self.open.append((tag, hidden))
+        hidden = hidden or tag != "summary" and self.in_closed_details() or tag in UNDRAWN and self.foreign()
+        label = tag == "text" and self.foreign()
+        self.open.append((tag, hidden, tag == "details" and "open" not in given))
         self.hidden += hidden
-        if tag == "details":
-            self.closed_details = "open" not in given
         if self.hidden:
             return
         page = self.pages[-1]
+        if label:
+            page.text(" ")
         if tag in BLOCK:
             page.block(1 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 0)
         if tag in ("ul", "ol", "menu", "dir"):
@@ -231,10 +241,13 @@ class Builder:
         elif tag == "q":
             page.text('"')
 
+    def in_closed_details(self) -> bool:
+        return bool(self.open) and self.open[-1][2]
+
     def close(self, index: int) -> None:
         """Close the element at index and all inside it."""
         while len(self.open) > index:
-            tag, hidden = self.open.pop()
+            tag, hidden, _ = self.open.pop()
             if self.hidden:
                 self.hidden -= hidden
                 continue
@@ -274,7 +287,7 @@ class Builder:
                 self.close(i)
 
     def data(self, s: str) -> None:
-        if s and not self.hidden and not (self.open and self.open[-1][0] == "details" and self.closed_details):
+        if s and not self.hidden and not self.in_closed_details():
             s = html.unescape(s) if "&" in s else s
             if self.open and self.open[-1][0] in ("table", "tr") or self.open and self.open[-1][0] in SECTIONS:
                 if not s.strip():
@@ -299,8 +312,9 @@ def render(source: str | None) -> str:
         if m[1]:
             builder.end(tag)
             continue
+        whole = tag in RAW and builder.ends_itself(m[3])
         builder.start(tag, m[3])
-        if tag in RAW:
+        if tag in RAW and not whole:
             raw = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
             stop = raw.search(source, at)
             builder.data(source[at : stop.start() if stop else len(source)])

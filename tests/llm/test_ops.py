@@ -117,6 +117,17 @@ def test_html_visibility():
     assert html_text.render('<noscript>n</noscript><input type=submit value="Go"><template>t</template><dialog>d</dialog>') == "Go"
 
 
+def test_html_nested_details():
+    assert html_text.render("<details open><summary>A</summary>a<details><summary>B</summary>b</details><p>seen</p>too</details>") == "A\na\nB\n\nseen\n\ntoo"
+    assert html_text.render("<details><summary>A</summary>a<details open><summary>B</summary>b</details><p>no</p>no</details>end") == "A\nend"
+
+
+def test_html_formulas_and_graphics():
+    assert html_text.render("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2 tex</annotation></semantics></math> then") == "If x=2 then"
+    assert html_text.render('<svg><title>t</title><defs/><defs><text>no</text></defs><desc>d</desc><metadata>m</metadata><path d="M0"/><text>One</text><text>Two</text></svg>end').split() == ["One", "Twoend"]
+    assert html_text.render("<desc>kept</desc><p>a") == "kept\n\na"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
