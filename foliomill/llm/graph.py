@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) for every node with an edge, root the smallest node of its component.
 
     edges: columns a, b of one orderable type. Alternates large-star and small-star steps (Kiveris et al.,
     2014), which keep components and end with a star around each smallest node; each round is written to
-    the shared folder. Smallest neighbours are aggregated before they are shuffled, and a node with very many
+    the shared folder, until one changes nothing. Smallest neighbours are aggregated before they are shuffled, and a node with very many
     neighbours meets its minimum in a join that Spark can split.
     """
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
-    for k in range(max_rounds):
+    for k in itertools.count():
         current = saved(_small_star(_large_star(current)), folder, f"{name}-{k}")
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = now
-    raise RuntimeError("the components did not settle")

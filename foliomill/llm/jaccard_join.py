@@ -13,10 +13,11 @@ budgets add up to more than d, some segment of the two sets differs by no more t
   segments are small), which many documents share; the set then goes on to further segments until its budgets suffice.
   Both rules are sound: equal segments have equal sizes, and a set uses its segments in one fixed order.
 * A bucket's members are compared with one of them, its head, only. Any two of them that are not yet in one component
-  may still be linked; `_across` finds those with prefix filters on what they share or do not share with the head.
+  may still be linked; `_across` finds those with prefix filters on how they differ from the centre of the head's members.
   So a group of near copies is joined without comparing all its pairs, and yet no link is lost.
-* Every comparison that counts is exact: both whole texts are cut into shingles again and intersected.
-  Shingles are compared by 64-bit hashes.
+* Every comparison that counts is exact: both whole texts are cut into shingles again and intersected by 64-bit
+  hashes; where these do not tell apart all words and shingles of the texts at hand, byte by byte, the words
+  themselves are compared.
 
 Defined results: null texts, and texts without words, have the empty set and no links; a text of fewer than
 k words is one shingle; equal texts are one node; rows that share an id are all kept, each with its text's
@@ -33,8 +34,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomill.llm import textbytes as tb
@@ -42,6 +43,8 @@ from foliomill.llm.common import lower_ascii, saved, scratch_dir
 from foliomill.llm.graph import connected_components
 
 BAND_RATIO = 1.5
+#: Heads with more members are replaced by the centre of about so many of them.
+LARGE, SAMPLED = 32, 24
 U = np.uint64
 
 
@@ -203,46 +206,116 @@ def _index(k: int, percent: int, docs_in_band: dict[int, int]):
     return run
 
 
-def _overlaps(k: int, percent: int, prefixes: bool):
-    """Batches of (a, b, text_a, text_b) to (a, b, shared, size_a, size_b), and the prefixes that _across explains."""
-    alpha, beta = 100 + percent, 100 - percent
+def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _exact_counts(a: str | None, b: str | None, k: int) -> tuple[int, int, int]:
+    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
+        words = (text or "").encode().translate(tb.FOLD.tobytes()).split()
+        return {tuple(words[i : i + k]) for i in range(max(len(words) - k, 0) + 1)} if words else set()
+
+    a_set, b_set = shingles(a), shingles(b)
+    return len(a_set & b_set), len(a_set), len(b_set)
+
+
+def _pairs_of_sets(texts_a: pa.Array, texts_b: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """(first pair, sets of a and b by turns, whether their hashes tell all words and shingles apart) for some pairs at a time."""
+    bytes_of = lambda x: pc.fill_null(pc.binary_length(x), 0).to_numpy().astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(bytes_of(texts_a) + bytes_of(texts_b))])
+    first, n = 0, len(texts_a)
+    while first < n:
+        last = int(np.searchsorted(upto, upto[first] + 2 * tb.PIECE_BYTES, side="right")) - 1
+        last = min(max(last, first + 1), n)
+        both = pa.concat_arrays([texts_a.slice(first, last - first), texts_b.slice(first, last - first)])
+        turns = np.arange(2 * (last - first)).reshape(2, -1).T.ravel()
+        ((_, buf, offsets),) = tb.pieces(both.take(pa.array(turns)), int(upto[last] - upto[first]) + 1)
+        starts, ends, bounds = tb.words(buf, offsets)
+        words = tb.word_hashes(buf, starts, ends)
+        shingles, marks = tb.shingle_hashes(words, bounds, k)
+        apart = tb.tells_words_apart(words, buf, starts, ends) and tb.tells_shingles_apart(shingles, marks, words, bounds, k)
+        tokens, marks = tb.distinct_in_rows(shingles, marks)
+        yield first, [tokens[s:e] for s, e in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)], apart
+        first = last
 
-    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, buf, offsets in tb.pieces(column):
-            tokens, bounds = _node_and_shingles(buf, offsets, k)
-            yield from (tokens[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-
-    def prefixes_of(a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        shared, union = int(known.sum()), len(a) + len(b) - int(known.sum())
-        near = far = b[:0]
-        strict = 0
-        new = b[~known]
-        if 100 * (union - shared) <= 3 * beta * union:
-            x = np.concatenate([new, a[~np.isin(a, b, assume_unique=True)]])
-            u, room = alpha * len(x) - beta * len(b), beta * len(a)
-            least = lambda other: max(-(-(u + other) // (2 * alpha)), 1)  # noqa: E731  shingles to share
-            strict = max(len(x) - least(room + 1) + 1, 0)
-            near = x[: strict if u <= room else max(len(x) - least(-room) + 1, 0)]
-        if 100 * (union - shared) > 2 * beta * union:
-            far = np.concatenate([new, b[known]])[: len(b) - -(-percent * len(b) // 100) + 1]
-        return near, far, strict
+
+def _differences(k: int):
+    """Batches of (head, text of the head, text of a member) to (head, added, lost): shingles that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, found = [], []
-                for a, b in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
-                    known = np.isin(b, a, assume_unique=True)
-                    counts.append((int(known.sum()), len(a), len(b)))
-                    if prefixes:
-                        found.append(prefixes_of(a, b, known))
+            for first, sets, _ in _pairs_of_sets(batch.column(1), batch.column(2), k):
+                pairs = list(zip(sets[::2], sets[1::2], strict=True))
+                lists = lambda found: pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+                added, lost = lists(b[~_is_in(b, a)] for a, b in pairs), lists(a[~_is_in(a, b)] for a, b in pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(pairs)), added, lost], names=["head", "added", "lost"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Apart:
+    """How a member differs from the centre c of its head's members: what it adds, what it lacks, and the prefixes to index."""
+
+    adds: int
+    lacks: int
+    near: bool
+    added: np.ndarray
+    lacked: np.ndarray
+    far: np.ndarray
+
+
+def _apart(head: np.ndarray, member: np.ndarray, gain: np.ndarray, drop: np.ndarray, common: np.ndarray, percent: int) -> _Apart:
+    beta, size = 100 - percent, len(member)
+    inside = _is_in(member, head)
+    only_head = head[~_is_in(head, member)]
+    if len(drop):
+        inside &= ~_is_in(member, drop)
+        only_head = only_head[~_is_in(only_head, drop)]
+    if len(gain):
+        inside |= _is_in(member, gain)
+        only_head = np.concatenate([only_head, gain[~_is_in(gain, member)]])
+
+    def rare_first(x: np.ndarray) -> np.ndarray:
+        popular = _is_in(x, common)
+        return np.concatenate([np.sort(x[~popular]), np.sort(x[popular])])
+
+    adds, lacks = size - int(inside.sum()), len(only_head)
+    union = adds + len(head) + len(gain) - len(drop)
+    room = allowed(size, percent)
+    none = member[:0]
+    near, far = 100 * (adds + lacks) <= 3 * beta * union, 100 * (adds + lacks) > 2 * beta * union
+    added = rare_first(member[~inside]) if adds else none
+    lacked = rare_first(only_head)[: max(room - adds + 1, 0)] if near and lacks else none
+    whole = np.concatenate([added, member[inside]])[: size - -(-percent * size // 100) + 1] if far else none
+    return _Apart(adds, lacks, near, added[: room + 1] if near else none, lacked, whole)
+
+
+def _overlaps(k: int, percent: int, prefixes: bool):
+    """Batches of (a, b, text_a, text_b) to (a, b, shared, size_a, size_b). With prefixes, the batches also hold the centre
+    of the head a by (gain, drop, common), and what `_across` explains follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets, apart in _pairs_of_sets(batch.column(2), batch.column(3), k):
+                n = len(sets) // 2
+                part = batch.slice(first, n)
+                counts = [(int(_is_in(b, a).sum()), len(a), len(b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+                if not apart:
+                    counts = [_exact_counts(a.as_py(), b.as_py(), k) for a, b in zip(part.column(2), part.column(3), strict=True)]
                 columns = [part.column(0), part.column(1), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3))]
                 names = ["a", "b", "shared", "size_a", "size_b"]
                 if prefixes:
+                    token = lambda x: np.sort(np.array(x.as_py() or [], np.int64).view(np.uint64))
+                    centres = [[token(part.column(j)[i]) for j in (4, 5, 6)] for i in range(n)]
+                    found = [_apart(sets[2 * i], sets[2 * i + 1], *centres[i], percent) for i in range(n)]
                     short = lambda x: x.astype(np.uint32).view(np.int32)  # noqa: E731  equal shingles stay equal
-                    columns += [*(pa.array([short(f[j]) for f in found], pa.list_(pa.int32())) for j in (0, 1)), pa.array([f[2] for f in found], pa.int32())]
-                    names += ["near", "far", "strict"]
+                    columns += [pa.array([f.adds for f in found], pa.int32()), pa.array([f.lacks for f in found], pa.int32()), pa.array([f.near for f in found], pa.bool_())]
+                    columns += [pa.array([short(x) for x in xs], pa.list_(pa.int32())) for xs in ([f.added for f in found], [f.lacked for f in found], [f.far for f in found])]
+                    names += ["adds", "lacks", "near", "added", "lacked", "far"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -252,12 +325,39 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(lower_ascii(F.coalesce(text, F.lit("")))))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, prefixes: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes with the sizes of their sets and of the intersection."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    more = ", near array<int>, far array<int>, strict int" if prefixes else ""
-    return with_both.mapInArrow(_overlaps(k, percent, prefixes), f"a binary, b binary, shared long, size_a long, size_b long{more}")
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds text_a and text_b to pairs (a, b)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, centres: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes with the sizes of their sets and of the intersection; with centres, what `_across` needs too."""
+    more, columns = "", ["a", "b", "text_a", "text_b"]
+    if centres is not None:
+        pairs = pairs.join(centres.withColumnRenamed("head", "a"), "a", "left")
+        more, columns = ", adds int, lacks int, near boolean, added array<int>, lacked array<int>, far array<int>", [*columns, "gain", "drop", "common"]
+    return _with_texts(pairs, texts).select(columns).mapInArrow(_overlaps(k, percent, centres is not None), f"a binary, b binary, shared long, size_a long, size_b long{more}")
+
+
+def _centres(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Of each head with more than `LARGE` members: `gain` and `drop`, shingles to add to the head's and to take from them so
+    that the centre has what most members have, and `common`, others that an eighth of the members add or lack.
+
+    Both come from about `SAMPLED` members by hash. They decide only what is compared with what, not what is linked: any
+    centre gives the same links. Lists are bounded by eight times the mean set of a head's members.
+    """
+    per_head = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE)
+    some = pairs.join(per_head, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < SAMPLED).select("a", "b")
+    found = _with_texts(some, texts).select("a", "text_a", "text_b").mapInArrow(_differences(k), "head binary, added array<long>, lost array<long>")
+    flat = lambda kind: found.select("head", F.lit(kind).alias("kind"), F.explode(kind).alias("token"))
+    counted = flat("added").union(flat("lost")).groupBy("head", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
+    sampled = some.groupBy(F.col("a").alias("head")).agg(F.count(F.lit(1)).alias("sampled"))
+    often = counted.where("n > 2").join(sampled, "head").where("8 * n >= sampled")
+    most = F.col("n") * 2 > F.col("sampled") + 1  # the head counts too
+    lists = {"gain": most & (F.col("kind") == "added"), "drop": most & (F.col("kind") == "lost"), "common": ~most}
+    return often.groupBy("head").agg(*[F.collect_list(F.when(test, F.col("token"))).alias(name) for name, test in lists.items()])
 
 
 def _links(compared: DataFrame, percent: int) -> DataFrame:
@@ -276,16 +376,14 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     band = F.size(F.filter(F.array(*[F.lit(h).cast("long") for h in _HIGHS.tolist()]), lambda h: h < F.col("n_shingles")))
     in_band = {r["band"]: r["docs"] for r in slim.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # a few dozen bands
 
-    index = docs.select(F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), "node binary, exact array<long>, gone array<long>")
+    index = saved(docs.select(F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), "node binary, exact array<long>, gone array<long>"), folder, "index")
     # One explode for both kinds of entries, so texts are indexed once.
     kinds = F.concat(F.transform("exact", lambda x: F.struct(x.alias("sig"), F.lit(False).alias("gone"))), F.transform("gone", lambda x: F.struct(x.alias("sig"), F.lit(True).alias("gone"))))
     entries = index.select("node", F.inline(kinds))
-    in_bucket = W.partitionBy("sig").orderBy("gone", "node")
-    so_far = in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)
-    bucketed = (
-        entries.withColumns({"head": F.first("node").over(so_far), "head_gone": F.first("gone").over(so_far), "before": F.lag("node").over(in_bucket)})
-        .where("NOT head_gone AND node <> head AND node <> before")
-    )
+    # Heads are aggregated within tasks first, and met in a join: a bucket of very many members can be split.
+    first = F.min(F.struct("gone", "node"))
+    heads = entries.groupBy("sig").agg(first.alias("first"), F.min("node").alias("low"), F.max("node").alias("high")).where("NOT first.gone AND low <> high")
+    bucketed = entries.join(heads.select("sig", F.col("first.node").alias("head")), "sig").where("node <> head")
     pairs = saved(bucketed.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs")
 
     # Texts of all nodes that share a bucket with another one, once each.
@@ -293,7 +391,8 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     once = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(once.join(touched, "node", "left_semi"), folder, "texts")
 
-    compared = saved(_compared(pairs, texts, k, percent, prefixes=True), folder, "compared")
+    centres = saved(_centres(pairs, texts, k), folder, "centres")
+    compared = saved(_compared(pairs, texts, k, percent, centres), folder, "compared")
     links = _links(compared, percent)
     parts = connected_components(links, folder, "parts-1")
     more_pairs = saved(_across(compared, parts, touched, percent), folder, "pairs-2")
@@ -314,42 +413,39 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
 def _across(compared: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one head that are in different components and may still be linked.
 
-    1 - similarity is a metric, so the distances of two linked members from their head differ by 1 - p at most. Hence both are
-    near (within 3 (1 - p)) or both are far (beyond 2 (1 - p)), or both are either.
+    A member m of a head differs from the centre c by what it adds and what it lacks. 1 - similarity is a metric, so the
+    distances of two linked members from c differ by 1 - p at most: both are near (within 3 (1 - p)), or both are far (beyond
+    2 (1 - p)), or both are either.
 
-    * Near members differ from the head by x and y. They are linked if (100 + p) |x ^ y| <= (100 - p) (|a| + |b|), that is if
-      |x & y| >= (u(a) + u(b)) / (2 (100 + p)), where u = (100 + p) |x| - (100 - p) |a|. A member is linked with the head if
-      u <= (100 - p) |head|. Two members that are linked with it need no comparison; for two that are not ("strict"), and for one
-      of each, this bounds how many shingles of x and y must be shared, and so the prefix that must share one.
+    * Near members are linked if u(a) + u(b) <= 2 (100 + p) shared, where u = (100 + p) (adds + lacks) - (100 - p) |m| and
+      `shared` counts what both add and what both lack. Let m0 be the member of least u. Members with u + u(m0) <= 0 are linked
+      with m0 whatever they share, so they are paired with m0 only. All other pairs share something: an added shingle,
+      or only lacked ones, which is possible only if both add little. In both cases the sizes bound how long the
+      prefixes are that must meet, and how many more shingles can be shared after the first that meets.
     * Far members are linked if they share p (|a| + |b|) / (100 + p) shingles; a prefix of each must share one.
 
-    Prefixes start with what the head lacks, in the order of hashes, so what a whole group shares comes last. The first shared
-    shingle leaves room for the others on both sides, which cuts off nearly all chance agreements in the join itself.
+    Prefixes start with what few members have, so what a whole group shares comes last. The first shared shingle leaves
+    room for the others on both sides, which cuts off nearly all chance agreements in the join itself.
     """
-    alpha = 100 + percent
+    alpha, beta = 100 + percent, 100 - percent
     roots = parts.select("node", "root")
-    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_a", "size_b", "shared", "near", "far", "strict").join(roots, "node", "left")
-    rows = rows.withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("head")
-    nx = F.col("size_a") + F.col("size_b") - 2 * F.col("shared")
-    linked = 100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    rows = rows.join(several, "head", "left_semi").withColumns({"u": alpha * nx - (100 - percent) * F.col("size_b"), "nx": nx, "linked": linked})
-    entry = lambda kind, length, value: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), value.alias("need"))
+    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far").join(roots, "node", "left")
+    rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "u": alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")})
+    least = F.min(F.when(F.col("near"), F.struct("u", F.xxhash64("node").alias("node"), "root")))
+    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0")).where("r0 <> r1").select("head", "m0")
+    rows = rows.join(several, "head").withColumns({"h": F.xxhash64("node"), "joined": F.coalesce(F.col("near") & (F.col("u") + F.col("m0.u") <= 0), F.lit(False))})
+    with_least = rows.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
+
+    entry = lambda kind, length, need, beside: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), need.alias("need"), beside.cast("int").alias("beside"))
     entries = F.concat(
-        F.transform("far", entry(0, F.col("size_b"), 2 * percent * F.col("size_b"))),
-        F.transform(F.slice("near", F.lit(1), F.when(F.col("linked"), 0).otherwise(F.col("strict"))), entry(1, F.col("nx"), F.col("u"))),
-        F.transform("near", entry(2, F.col("nx"), F.col("u"))),
+        F.transform("far", entry(0, F.col("size_b"), 2 * percent * F.col("size_b"), F.lit(0))),
+        F.transform("added", entry(1, F.col("adds"), F.col("u"), F.col("lacks"))),
+        F.transform("lacked", entry(2, F.col("lacks"), F.col("u"), F.lit(0))),
     )
-    keyed = rows.select("head", F.xxhash64("node").alias("node"), "root", "linked", F.inline(entries)).select(F.xxhash64("head", "kind", "token").alias("key"), "kind", "node", "root", "linked", "left", "need")
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    keyed = keyed.join(mixed, "key", "left_semi")
-    # The largest component of a key need not be compared within itself: pairs start from all others.
-    by_root = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-    largest = by_root.groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("largest"))
-    keyed = keyed.join(largest, "key")
-    one = keyed.where("CASE WHEN kind = 2 THEN linked ELSE root <> largest END").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need")])
-    fits = f"root <> root_1 AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1)) AND CASE WHEN kind = 2 THEN NOT linked ELSE root = largest OR node_1 < node END"
-    found = one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
+    keyed = rows.select("head", "h", "root", "joined", F.inline(entries)).select(F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside")
+    one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside")])
+    fits = f"root <> root_1 AND (joined OR node_1 < node) AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1) + least(beside, beside_1))"
+    found = one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).union(with_least).distinct()
     named = nodes.select("node", F.xxhash64("node").alias("h"))
     for k in (1, 2):
         found = found.join(named.select(F.col("node").alias(f"n{k}"), F.col("h").alias(f"node_{k}")), f"node_{k}")

@@ -86,12 +86,40 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def word_chunks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as 64-bit chunks of up to eight bytes, A-Z as a-z: (chunk, its number in the word, first chunk of each word)."""
+    padded = np.concatenate([FOLD[buf], np.zeros(8, np.uint8)])
+    from_each = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+    length = ends - starts
+    per_word = (length + 7) // 8
+    first = np.cumsum(per_word) - per_word
+    word = np.repeat(np.arange(len(starts)), per_word)
+    nth = np.arange(len(word)) - first[word]
+    beyond = U(8) * np.maximum(8 - length[word] + 8 * nth, 0).astype(np.uint64)
+    return (from_each[starts[word] + 8 * nth] << beyond) >> beyond, nth, first
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z: a polynomial of the bytes, scrambled."""
-    up, down = powers(len(buf))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((FOLD[buf].astype(np.uint64) + U(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word, A-Z as a-z. Every eight bytes are scrambled, by their place, before they are added."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    chunks, nth, first = word_chunks(buf, starts, ends)
+    parts = mix(mix(chunks) + nth.astype(np.uint64) * U(_BASE))
+    return mix(np.add.reduceat(parts, first) + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def tells_words_apart(hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+    """True if words of these texts with equal hashes have equal bytes (A-Z as a-z)."""
+    if not len(starts):
+        return True
+    chunks, nth, first = word_chunks(buf, starts, ends)
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    same = one[which]
+    length = ends - starts
+    if not (length[same] == length).all():
+        return False
+    word = np.repeat(np.arange(len(starts)), (length + 7) // 8)
+    return bool((chunks[first[same][word] + nth] == chunks).all())
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +141,24 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.n
     return mix(out), out_bounds
 
 
+def tells_shingles_apart(shingles: np.ndarray, out_bounds: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, k: int) -> bool:
+    """True if shingles (as `shingle_hashes` gives them) with equal hashes have equal words."""
+    if not len(shingles):
+        return True
+    n_words, n_out = np.diff(bounds), np.diff(out_bounds)
+    row = np.repeat(np.arange(len(n_words)), n_out)
+    at = bounds[:-1][row] + np.arange(len(shingles)) - out_bounds[:-1][row]
+    left = np.minimum(n_words[row], k)
+    order = np.argsort(shingles)
+    x = order[:-1][shingles[order[1:]] == shingles[order[:-1]]]
+    y = order[1:][shingles[order[1:]] == shingles[order[:-1]]]
+    padded = np.concatenate([hashes, np.zeros(k, np.uint64)])
+    same = left[x] == left[y]
+    for j in range(k):
+        same &= (padded[at[x] + j] == padded[at[y] + j]) | (left[x] <= j)
+    return bool(same.all())
+
+
 def distinct_in_rows(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort each row's hashes and drop repeats."""
     hashes = hashes.copy()

@@ -184,6 +184,57 @@ def test_jaccard_groups_of_copies_that_are_not_linked_with_their_head(spark):
     assert groups_of(spark, rows, 3, 90) == want
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_jaccard_groups_larger_than_their_sample(spark, seed):
+    """Families of edited copies, so many that heads give way to centres; edits repeat, so that members share them."""
+    rnd = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base = [rnd.choice(vocabulary) for _ in range(90)]
+    families = [mutated(rnd, base, vocabulary, n) for n in (0, 4, 12)]
+    rows = []
+    for i in range(400):
+        words = list(families[min(i % 5, 2)])
+        for _ in range(rnd.choice([1, 2, 2, 3, 4, 5])):
+            at = rnd.randrange(12) * 7
+            words[at] = rnd.choice(["x", "y", words[at]]) if rnd.random() < 0.5 else rnd.choice(vocabulary)
+            if rnd.random() < 0.2:
+                words.pop(at)
+        rows.append((i, " ".join(words)))
+    for k, percent in ((3, 90), (5, 80)):
+        want, links = m.jaccard_groups(rows, k, percent)
+        assert links > 100 and len({c for *_, c in want}) > 3
+        assert groups_of(spark, rows, k, percent) == want
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_different_words_of_equal_polynomials_are_different(spark):
+    one, other = thue_morse(2048), thue_morse(2048, True)
+    rows = [(1, one), (2, other), (3, f"see {one} there now"), (4, f"see {other} there now")]
+    assert groups_of(spark, rows, 3, 90) == m.jaccard_groups(rows, 3, 90)[0]
+    assert {c for *_, c in groups_of(spark, rows, 3, 90)} == {1, 2, 3, 4}
+
+
+def test_words_of_equal_hashes_are_compared_themselves(monkeypatch):
+    texts = [("a b c d", "a b c e"), ("x y z", "X y z"), (None, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"1"] * 3), pa.array([b"2"] * 3), *(pa.array([t[j] for t in texts]) for j in (0, 1))], names=["a", "b", "text_a", "text_b"])
+    counts = lambda: [tuple(r[c] for c in ("shared", "size_a", "size_b")) for out in jaccard_join._overlaps(3, 90, False)([batch]) for r in out.to_pylist()]
+    want = [(1, 2, 2), (1, 1, 1), (0, 0, 0)]
+    assert counts() == want
+    monkeypatch.setattr(jaccard_join.tb, "word_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    assert counts() == want
+
+
+def test_jaccard_takes_null_ids_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60000))
+    rows = [(None, "a b c d"), (7, "a b c d"), (None, "alone here now"), (8, long), (9, long + " end"), (8, "other text of one id")]
+    frame = docs(spark, rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("n_shingles", "component_id", "node", "head", "sig")})
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.similar_groups(frame, 3, 90).collect())
+    assert got == Counter([(None, 7), (7, 7), (None, None), (8, 8), (9, 8), (8, 8)])
+
+
 def test_jaccard_on_documents(spark, real):
     rows = [(r.doc_id, r.text) for r in real.collect()]
     assert groups_of(spark, rows, 3, 90) == m.jaccard_groups(rows, 3, 90)[0]
