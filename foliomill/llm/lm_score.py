@@ -1,18 +1,18 @@
 """Language-model scoring with a hashed maximum-entropy model over a tree of the whole training vocabulary.
 
-Every training token is a leaf of a binary tree of classes that halve the training frequency: the `HEAD` most frequent
-tokens get Shannon codes in the order of their counts, all others share what is left of the code space by their hash,
-with codes as long as their number asks for. At each node a logistic model chooses the branch, from the
+Every training token is below a leaf of a binary tree of classes that halve the training frequency: the `HEAD` most
+frequent tokens get Shannon codes in the order of their counts, all others are dealt by hash to `TAIL_LEAVES` times the
+root of the number of types leaves, at least one for four types. At each node a logistic model chooses the branch, from the
 node's own frequency and from hashed features of the words before joined with the node: the word before, the skipped words two and
-three places before, and the two words before as a bigram. Tail tokens that fall on one leaf divide it by their
-counts. Tokens unseen in training keep the add-half unigram.
+three places before, and the two words before as a bigram. So a class is chosen by factors of one bit, a softmax of two
+each. Tail tokens that fall on one leaf divide it by their counts. Tokens unseen in training keep the add-half unigram.
 
-Counts come from all training texts: they are summed within tasks, then shuffled by token. The weights are fitted in
-synchronous rounds: each task sums the gradients of its texts at shared weights, the sums of all tasks are added, and one
-damped Newton step follows, until the loss of the held-out texts (one in `HELD_OUT`, by a hash of their words) no longer
-improves by `LEAST_GAIN`; then the held-out texts' own gradient is added. A round is a sum over texts, so file layout
-and partitions change nothing but rounding. Tables grow with the roots of the numbers of tokens and types, since each task and the driver
-hold them; contexts that share a row share its weight.
+Counts come from all training texts: they are summed within tasks, then shuffled by token. The weights are fitted in one
+pass over all training texts, in synchronous rounds: each text belongs to one round, by its hash, and each round has as many
+texts as all before it. In a round each task sums the gradients and curvatures of its texts at shared weights, the sums of
+all tasks are added, and one damped Newton step follows. A round is a sum over texts, so file layout and partitions change
+nothing but rounding. Tables grow with the roots of the numbers of tokens and types, since each task and the driver
+hold them; contexts that share a row share its weight. At most `SUMMING_TASKS` tasks send their sums.
 
 Token counts are broadcast while there are at most `BROADCAST_TOKENS` of them; beyond that, each text's distinct tokens
 are joined with the counts in a shuffle. Both ways give the same scores. Tokens are compared by 64-bit hashes of
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from foliomill.llm import textbytes as tb
 from foliomill.llm.common import saved, scratch_dir
 
-#: Tokens with codes of their own; further bits of the codes of all others.
-HEAD, TAIL_ROOM = 1 << 16, 4
-HELD_OUT, LEAST_GAIN, DAMPING = 32, 1e-3, 4.0
+#: Tokens with codes of their own; leaves of all others for each root of the number of types.
+HEAD, TAIL_LEAVES = 1 << 16, 256
+#: Shares of the training texts, in sixteenths, up to which each round goes.
+ROUNDS = (1, 2, 4, 8, 16)
+RATE, DAMPING, SUMMING_TASKS = 0.5, 4.0, 1024
 BLOCK_ROWS = 1 << 14
 BROADCAST_TOKENS = 4_000_000
 FLUSH_TOKENS = 1 << 21
@@ -48,20 +50,6 @@ END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-#: The flat class model of earlier versions, which only a test still makes, with `_softmax`.
-CLASSES, MEMBERS = 32, 32
-CLASS_ROWS, MEMBER_ROWS = 14336, 4096
-
-
-@dataclass
-class Model:
-    frequent: np.ndarray
-    class_bias: np.ndarray
-    member_bias: np.ndarray
-    class_rows: np.ndarray = field(default_factory=lambda: np.zeros((CLASS_ROWS, CLASSES + 1), np.float32))
-    member_rows: np.ndarray = field(default_factory=lambda: np.zeros((2 * MEMBER_ROWS, MEMBERS), np.float32))
-
-
 @dataclass
 class Tree:
     """Codes of the most frequent tokens (sorted by hash) and where those of others lie; node frequencies as logits; weights."""
@@ -123,19 +111,8 @@ def _ids(tokens: np.ndarray, known: np.ndarray, order: np.ndarray) -> np.ndarray
     return np.where(known[at] == tokens, order[at], -1)
 
 
-def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.ndarray, ...] | None = None, second: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of each token's leaf. With sums (gradients, and curvatures in the first round), adds to those of each token's set."""
+def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Natural log of each token's leaf. With sums, adds to the gradients and curvatures of the weights."""
     codes, lengths = tree.codes(tokens)
     order = np.argsort(-lengths.astype(np.int8), kind="stable")
     codes, lengths = codes[order], lengths[order]
@@ -144,8 +121,6 @@ def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.nda
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(64), side="right")
     logs = np.zeros(len(tokens))
     room, shift = U(64 - int(np.log2(len(tree.weights)))), U(64 - int(np.log2(len(tree.bias))))
-    if second is not None:
-        second = second[order]
     for depth in range(64):
         n = int(active[depth])
         if not n:
@@ -163,13 +138,9 @@ def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.nda
         if sums is not None:
             miss = far / (1 + far)
             gap, curve = (sign * miss).astype(np.float64), (miss * (1 - miss)).astype(np.float64)  # the kind of the sums: else add.at is slow
-            aside = np.flatnonzero(second[:n])
             for i in at:
-                if len(aside):
-                    np.add.at(sums[1], i[aside], gap[aside])
                 np.add.at(sums[0], i, gap)
-                if len(sums) > 2:
-                    np.add.at(sums[2], i, curve)
+                np.add.at(sums[1], i, curve)
     out = np.empty(len(tokens))
     out[order] = logs
     return out
@@ -196,18 +167,18 @@ def _blocks(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for block in range(0, len(x), BLOCK_ROWS):
             part = x[block : block + BLOCK_ROWS]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([part.astype(np.float32).tobytes()])], names=["kind", "block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([part.tobytes()])], names=["kind", "block", "sums"])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            x = np.frombuffer(row["sums"], np.float32)
+            x = np.frombuffer(row["sums"])
             held = sums.setdefault((row["kind"], row["block"]), np.zeros(len(x)))
             held += x
     for (kind, block), x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["kind", "block", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([x.tobytes()])], names=["kind", "block", "sums"])
 
 
 _BLOCKS = "kind int, block int, sums binary"
@@ -215,10 +186,10 @@ _BLOCKS = "kind int, block int, sums binary"
 
 def _added(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     """The arrays that the blocks of all tasks add up to."""
-    out = [np.zeros(n, np.float32) for n in sizes]
+    out = [np.zeros(n) for n in sizes]
     summed = parts.repartition("kind", "block").mapInArrow(_sum_blocks, _BLOCKS)
     for row in saved(summed, scratch_dir(parts.sparkSession), "sums").collect():  # as large as the model
-        x = np.frombuffer(row["sums"], np.float32)
+        x = np.frombuffer(row["sums"])
         out[row["kind"]][row["block"] : row["block"] + len(x)] = x
     return out
 
@@ -244,21 +215,16 @@ def _frequencies(shared):
     return run
 
 
-def _gradients(shared, first: bool):
-    """Sums over the texts: gradients of training and of held-out texts, their losses and tokens, in the first round curvatures."""
+def _gradients(shared):
+    """Sums over the texts: gradients and curvatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        sums = tuple(np.zeros(len(tree.weights)) for _ in range(3 if first else 2))
-        loss = np.zeros(4)
+        sums = np.zeros(len(tree.weights)), np.zeros(len(tree.weights))
         for batch in batches:
             for _, buf, offsets in tb.pieces(batch.column(0)):
-                tokens, bounds = tokens_of(buf, offsets)
-                aside = tb.mix(np.add.reduceat(tb.mix(tokens + U(5)), bounds[:-1])) % U(HELD_OUT) == 0
-                second = np.repeat(aside, np.diff(bounds))
-                logs = _walk(tree, tokens, bounds, sums, second)
-                loss += [-logs[~second].sum(), (~second).sum(), -logs[second].sum(), second.sum()]
-        yield from _blocks([*sums, loss])
+                _walk(tree, *tokens_of(buf, offsets), sums)
+        yield from _blocks([*sums])
 
     return run
 
@@ -273,40 +239,32 @@ def plant(vocabulary: DataFrame, n_all: int, n_types: int) -> Tree:
     # In Python's whole numbers: 62 bits would not hold start * 2**length
     codes = np.array([(int(s) << int(k)) // n_all for s, k in zip(starts, lengths, strict=True)], np.uint64)
     rest, rest_types = n_all - int(n.sum()), n_types - len(n)
-    tail_bits = max(bits(n_all * rest_types / rest), int(lengths.max(initial=0))) + TAIL_ROOM if rest else 1
-    span = ((1 << tail_bits) * int(n.sum()) // n_all, (1 << tail_bits)) if rest else (0, 1)
+    leaves = min(rest_types, max(rest_types // 4, 1), int(TAIL_LEAVES * n_types**0.5))
+    tail_bits = bits(n_all * leaves / rest) if rest else 1
+    # Rounded up: what is below may belong to the last of the head
+    span = (-(-(1 << tail_bits) * int(n.sum()) // n_all), 1 << tail_bits) if rest else (0, 1)
+    if rest and span[0] == span[1]:
+        span, tail_bits = (2 * span[1] - 1, 2 * span[1]), tail_bits + 1
     order = np.argsort(tokens)
-    tree = Tree(tokens[order], codes[order], lengths[order], span, tail_bits, np.zeros(1 << bits(2048 * n_types**0.5), np.float32), np.zeros(1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))), np.float32))
+    room = (1 << bits(8 * (len(n) + leaves)), 1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))))
+    tree = Tree(tokens[order], codes[order], lengths[order], span, tail_bits, *(np.zeros(x, np.float32) for x in room))
     shared = vocabulary.sparkSession.sparkContext.broadcast(tree)
     passed, turned = _added(vocabulary.mapInArrow(_frequencies(shared), _BLOCKS), [len(tree.bias)] * 2)
     shared.destroy()
-    bias = np.log((turned + 0.01) / (passed - turned + 0.01)).astype(np.float32)
-    return replace(tree, bias=bias)
+    return replace(tree, bias=np.log((turned + 0.01) / (passed - turned + 0.01)).astype(np.float32))
 
 
-def train(texts: DataFrame, tree: Tree, rounds: int | None = None, rate: float = 0.5) -> Tree:
-    """texts: one text column; rounds: at most so many, None until the held-out loss no longer improves."""
-    spark = texts.sparkSession
-    size, before, best, curve, done = len(tree.weights), np.inf, None, None, 0
-    while True:
+def train(texts: DataFrame, tree: Tree, rounds: tuple[int, ...] = ROUNDS) -> Tree:
+    """texts: one text column; rounds: see `ROUNDS`."""
+    spark, text = texts.sparkSession, texts.columns[0]
+    part = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(rounds[-1]))
+    for low, high in zip((0, *rounds), rounds, strict=False):
         shared = spark.sparkContext.broadcast(tree)
-        got = _added(texts.mapInArrow(_gradients(shared, curve is None), _BLOCKS), [size] * (2 if curve is not None else 3) + [4])
+        own = texts.where((part >= low) & (part < high)).coalesce(SUMMING_TASKS)
+        gap, curve = _added(own.mapInArrow(_gradients(shared), _BLOCKS), [len(tree.weights)] * 2)
         shared.destroy()  # else the driver keeps each round's model
-        if curve is None:
-            curve = got[2]
-        both, aside, (loss, n, held_loss, n_held) = got[0], got[1], got[-1].astype(np.float64)
-        now = held_loss / n_held if n_held else loss / max(n, 1)
-        gain = before - now
-        if gain > 0:
-            best, before = (tree, aside), now
-        if not gain > LEAST_GAIN * now or done == rounds:
-            break
-        tree = replace(tree, weights=(tree.weights + rate * (both - aside) / (curve + DAMPING)).astype(np.float32))
-        done += 1
-    if best is None:
-        return tree
-    tree, aside = best
-    return replace(tree, weights=(tree.weights + rate * aside / (curve + DAMPING)).astype(np.float32))
+        tree = replace(tree, weights=(tree.weights + RATE * gap / (curve + DAMPING)).astype(np.float32))
+    return tree
 
 
 def _leaves(shared):
@@ -366,7 +324,7 @@ _KEYED = ("n_tokens", "key", "distinct")
 _KINDS = {"log_c": "double", "tree_log": "double", "distinct": "array<struct<token:long,tf:long,logs:double>>"}
 
 
-def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: int | None = None, broadcast_tokens: int = BROADCAST_TOKENS, folder: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: tuple[int, ...] = ROUNDS, broadcast_tokens: int = BROADCAST_TOKENS, folder: str | None = None) -> DataFrame:
     """Add the columns of `SCORES` to documents, without their text; rows where `trains` holds are learnt from."""
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark)

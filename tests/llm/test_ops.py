@@ -461,7 +461,7 @@ def test_base_scores_and_join_way(spark, sf_dir, real):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
         assert abs(r.base_score - want[r.doc_id][3]) < 1e-6 and r.score < 0
         o = other[r.doc_id]
-        assert o.n_known == r.n_known and abs(o.score - r.score) < 1e-3 * abs(r.score) and abs(o.base_score - r.base_score) < 1e-6
+        assert o.n_known == r.n_known and abs(o.score - r.score) < 1e-6 * abs(r.score) and abs(o.base_score - r.base_score) < 1e-6
 
 
 def test_model_beats_the_unigram_and_sums_to_one(spark):
@@ -469,9 +469,6 @@ def test_model_beats_the_unigram_and_sums_to_one(spark):
     held = id_bucket(F.col("doc_id"), 5) == 1
     r = lm_score.score_texts(d, ~held).where(held).agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert r.s > r.b
-    model = lm_score.Model(np.arange(1024, dtype=np.uint64), np.zeros(33, np.float32), np.zeros((32, 32), np.float32))
-    p = lm_score._softmax(model.class_bias, np.random.default_rng(0).normal(size=model.class_rows.shape).astype(np.float32), [np.arange(9)] * 4)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
 
 
 def test_all_training_tokens_depend_on_the_words_before(spark):
@@ -485,12 +482,12 @@ def test_all_training_tokens_depend_on_the_words_before(spark):
 
 
 def test_scores_do_not_depend_on_partitions(spark):
-    """Within a thousandth, at 1, 5 and 40 partitions in different orders."""
+    """Within a millionth, at 1, 2 and 64 partitions in different orders."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     train = id_bucket(F.col("doc_id"), 5) != 1
-    one, *others = ({r.doc_id: r.score for r in lm_score.score_texts(x, train).collect()} for x in (d.coalesce(1), d.repartition(5, "text"), d.orderBy(F.desc("doc_id")).repartition(40)))
+    one, *others = ({r.doc_id: r.score for r in lm_score.score_texts(x, train).collect()} for x in (d.coalesce(1), d.repartition(2, "text"), d.orderBy(F.desc("doc_id")).repartition(64)))
     for other in others:
-        assert all(abs(one[i] - s) <= 1e-3 * abs(one[i]) for i, s in other.items())
+        assert all(abs(one[i] - s) <= 1e-6 * abs(one[i]) for i, s in other.items())
 
 
 def test_tree_sums_to_one(spark):
