@@ -11,9 +11,10 @@ The items reach executors as broadcast blocks of at most `BLOCK_WINDOWS` windows
 more blocks, scanned one after another in the same pass over the documents, so no broadcast grows with the
 benchmark and no item is left out.
 
-Defined results: null texts have no words; items without words or without an id are ignored; equal windows of
-several items count for each of them; equal rows give equal results; empty tables give no hits; columns named
-`n_words`, `hits` or `item_ids` are replaced.
+Defined results: null texts have no words; items without words are ignored; items without an id are one item, whose id
+is the empty text; rows that repeat an item's id belong to it; equal windows of several items count for each of them;
+equal rows give equal results; empty tables give no hits; long texts are scanned whole, in memory that grows with the
+longest of them; columns named `n_words`, `hits` or `item_ids` are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 #: ASCII to itself if it belongs to a word, A-Z to a-z, all else to a space.
 _FOLD = {c: chr(c) if 48 <= c <= 57 or 97 <= c <= 122 else chr(c + 32) if 65 <= c <= 90 else " " for c in range(128)}
-_HITS = "array<struct<start:int,length:int>>"
+_HITS = "array<struct<start:int,length:int,from_char:int,to_char:int>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,7 +41,7 @@ def words_of(text: str | None) -> list[str]:
 def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> Iterator[list[tuple[str, str]]]:
     """Blocks of (window, item id) in the order of the items; the driver holds one block at a time."""
     block: list[tuple[str, str]] = []
-    for item, text in items.select(F.col(id_col).cast("string"), text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for item, text in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).toLocalIterator():
         words = words_of(text)
         for i in range(max(len(words) - window, 0) + 1) if words else ():
             block.append((" " + " ".join(words[i : i + window]) + " ", item))
@@ -81,7 +82,11 @@ def _scan(text: str, automaton) -> tuple[int, dict[int, int], set[str]]:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str = "item_id", item_text: str = "text", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Add `n_words` (long), `hits` (array of word runs: start, length, merged and sorted) and `item_ids` (sorted strings)."""
+    """Add `n_words` (long), `hits` and `item_ids` (sorted strings).
+
+    `hits` holds merged, sorted runs of words (start, length) with their places in the original text: characters from
+    `from_char` up to `to_char`, which is not included.
+    """
     spark = docs.sparkSession
     own = docs.drop("n_words", "hits", "item_ids")
     out = own.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(_HITS), "item_ids": F.lit(None).cast("array<string>")})
@@ -109,7 +114,9 @@ def _scanner(shared, text_col: str):
                     n, starts, found = _scan(text, automaton)
                 runs = [(h["start"], h["length"]) for h in old_hits[i].as_py() or ()]
                 counts.append(n)
-                hits.append([{"start": s, "length": e - s} for s, e in _merged(runs + list(starts.items()))])
+                merged = [(s, e - s) for s, e in _merged(runs + list(starts.items()))]
+                places = original_spans(text, merged) if merged else []
+                hits.append([{"start": s, "length": n, "from_char": a, "to_char": b} for (s, n), (a, b) in zip(merged, places, strict=True)])
                 ids.append(sorted(found.union(old_ids[i].as_py() or ())))
             put = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, batch.schema.field("hits").type), "item_ids": pa.array(ids, batch.schema.field("item_ids").type)}
             yield pa.RecordBatch.from_arrays([put.get(n, batch.column(j)) for j, n in enumerate(names)], schema=pa.schema([batch.schema.field(n) for n in names]))

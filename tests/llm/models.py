@@ -79,7 +79,7 @@ def contamination(rows, items, window=10):
     for item, text in items:
         words = ALNUM.findall(lower(text))
         for i in range(max(len(words) - window, 0) + 1) if words else ():
-            found.setdefault(tuple(words[i : i + window]), set()).add(str(item))
+            found.setdefault(tuple(words[i : i + window]), set()).add("" if item is None else str(item))
     out = []
     for i, text in rows:
         words = ALNUM.findall(lower(text))

@@ -521,12 +521,16 @@ def test_contamination(spark, block):
     word = lambda: rnd.choice(["a", "B", "c1", "é", " x", "dd"])
     sep = lambda: rnd.choice([" ", ", ", "\n", "--", "\x7f"])
     text = lambda n: "".join(word() + sep() for _ in range(n))
-    items = [(i, text(rnd.choice([0, 1, 3, 4, 6, 9]))) for i in range(8)] + [(20, None), (21, "dd dd dd dd dd")]
-    rows = [(i, text(rnd.randrange(0, 60))) for i in range(60)] + [(98, None), (99, "?!")]
+    items = [(i, text(rnd.choice([0, 1, 3, 4, 6, 9]))) for i in range(8)] + [(20, None), (21, "dd dd dd dd dd"), (None, "a a a a"), (None, "é é é é"), (21, "dd dd dd dd dd")]
+    rows = [(i, text(rnd.randrange(0, 60))) for i in range(60)] + [(97, "A, a a a"), (98, None), (99, "?!"), (100, "no " * 40000 + "dd dd dd dd")]
     frame = docs(spark, rows, "doc_id long, text string").withColumn("hits", F.lit("old"))
     found = decontam.find_contamination(frame, docs(spark, items, "item_id long, text string"), window=4, block_windows=block)
     got = found.withColumn("n_hit", decontam.n_hit_words()).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got) == m.contamination(rows, items, 4)
+    texts = dict(rows)
+    for r in got:
+        for h in r.hits:
+            assert len(decontam.words_of(texts[r.doc_id][h.from_char : h.to_char])) == h.length
 
 
 def test_offsets_map_to_the_original():
