@@ -11,7 +11,8 @@ Sample, projection and vectors are bounded by `train_rows`, `FEATURES` and `rank
 
 Defined results: null and empty texts have the empty text's features and are scored alike; the score is 0 to 1,
 higher where label 1 is likelier; without any label the score is 0.5; ties among neighbours go to the first by
-id hash; equal rows give equal results; an empty table gives no rows; a column named `score` is replaced.
+id hash; of several texts with one id the one with the least hash is learnt from; equal rows give results that are equal
+but for rounding (a millionth); long texts are read whole; an empty table gives no rows; a column named `score` is replaced.
 """
 
 from __future__ import annotations
@@ -93,14 +94,16 @@ def _project(x: np.ndarray, weights: np.ndarray, projection: np.ndarray) -> np.n
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text", train_rows: int = 2000, rank: int = 64, seed: str = "knn-1") -> Neighbours:
     """Neighbours from at most `train_rows` labelled, usable rows: those with the least hashed ids."""
     chosen = labels.where(usable & F.col(label).isNotNull()).select(F.col(id_col), F.col(label).cast("int").alias("__label"), unit_hash(seed, F.col(id_col)).alias("__u")).orderBy("__u", id_col).limit(train_rows)
-    rows = docs.select(id_col, F.col(text).alias("__text")).join(F.broadcast(chosen), id_col).select("__u", "__label", "__text")
+    rows = docs.select(id_col, F.col(text).alias("__text")).join(F.broadcast(chosen), id_col).select("__u", id_col, "__label", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [row.astype(np.float16).tobytes() for x in features(batch.column(2)) for row in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["u", "label", "x"])
 
-    found = sorted(rows.mapInArrow(run, "u long, label int, x binary").collect(), key=lambda r: (r["u"], r["x"]))[: 2 * train_rows]
+    # One text for each chosen label, so as many rows as labels at most.
+    one = rows.groupBy("__u", id_col, "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("__u", "__label", "__text")
+    found = sorted(one.mapInArrow(run, "u long, label int, x binary").collect(), key=lambda r: (r["u"], r["x"]))
     if not found:
         return Neighbours(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32)
@@ -124,9 +127,11 @@ def vote(vectors: np.ndarray, model: Neighbours, neighbours: int) -> np.ndarray:
     out = np.empty(len(vectors))
     for at in range(0, len(vectors), 512):
         cos = vectors[at : at + 512] @ model.vectors.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cos, near, 1), 0) ** 4 + 1e-9
-        out[at : at + 512] = (weight * model.labels[near]).sum(1) / weight.sum(1)
+        least = np.partition(cos, -k, axis=1)[:, -k, None]
+        nearer, tied = cos > least, cos == least
+        near = nearer | (tied & (np.cumsum(tied, axis=1) <= k - nearer.sum(1, keepdims=True)))
+        weight = np.where(near, np.maximum(cos, 0).astype(np.float64) ** 4 + 1e-9, 0)
+        out[at : at + 512] = weight @ model.labels.astype(np.float64) / weight.sum(1)
     return np.clip(out, 0, 1)
 
 

@@ -309,6 +309,28 @@ def test_knn_edges(spark):
     assert quality_knn.classify(frame.limit(0), model).count() == 0
 
 
+def test_votes_match_a_plain_model_and_ties_go_to_the_first():
+    rnd = np.random.default_rng(3)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = unit(rnd.normal(size=(40, 8)))
+    vectors[20:] = vectors[:20]  # every vector twice, with another label
+    labels = np.concatenate([np.ones(20), np.zeros(20)]).astype(np.float32)
+    model = quality_knn.Neighbours(np.ones(8), np.eye(8), vectors, labels)
+    asked = unit(rnd.normal(size=(600, 8)))
+    got = quality_knn.vote(asked, model, 5)
+    for x, score in zip(asked, got, strict=True):
+        cos = vectors @ x
+        near = sorted(range(40), key=lambda i: (-round(float(cos[i % 20]), 6), i))[:5]
+        weight = [max(float(cos[i]), 0) ** 4 + 1e-9 for i in near]
+        assert score == pytest.approx(sum(w for w, i in zip(weight, near, strict=True) if i < 20) / sum(weight), abs=1e-4)
+
+
+def test_repeated_ids_do_not_add_neighbours(spark):
+    frame = docs(spark, [(1, f"text number {i} of one id") for i in range(50)] + [(2, "x y z")], "doc_id long, text string")
+    model = quality_knn.learn(frame, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True))
+    assert len(model.labels) == 2
+
+
 # --- suffix arrays
 
 
