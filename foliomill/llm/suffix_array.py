@@ -132,14 +132,17 @@ def suffix_array(s: np.ndarray, width: int) -> np.ndarray:
     ordered = sa[leftmost[sa]]
     ends = np.full(n, n, np.int64)
     ends[lms[:-1]] = lms[1:] + 1
-    up = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64))
-    down = np.cumprod(np.full(n + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([[U(0)], np.cumsum((s.astype(np.uint64) + U(1)) * up[:n])])
-    content = (sums[ends[ordered]] - sums[ordered]) * down[ordered]
-    length = ends[ordered] - ordered
-    length[ordered == lms[-1]] = -1  # the last one runs to the end and equals no other
+    size = ends[ordered] - ordered
+    size[ordered == lms[-1]] = -1  # the last one runs to the end and equals no other
+    alike = np.flatnonzero((size[1:] == size[:-1]) & (size[1:] > 0)) + 1  # each compared with the one before it, symbol by symbol
+    first = np.cumsum(size[alike]) - size[alike]
+    nth = np.arange(int(size[alike].sum())) - np.repeat(first, size[alike])
+    agree = s[np.repeat(ordered[alike], size[alike]) + nth] == s[np.repeat(ordered[alike - 1], size[alike]) + nth]
+    differs = np.ones(len(ordered), bool)
+    if len(alike):
+        differs[alike] = ~np.logical_and.reduceat(agree, first)
     names = np.zeros(n, np.int64)
-    names[ordered] = np.cumsum(np.concatenate([[0], (content[1:] != content[:-1]) | (length[1:] != length[:-1])]))
+    names[ordered] = np.cumsum(differs) - 1
     by_place = names[lms]
     if (n_names := int(by_place.max()) + 1) < len(lms):
         # The string of names is sorted in turn; a wide alphabet has too many buckets to gain from scanning them.

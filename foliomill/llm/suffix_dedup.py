@@ -15,9 +15,11 @@ or in the same one, overlapping or not. All strings are judged on the input.
    from their q-gram share a core of nearly `length` bytes, whose hash splits the group; what is still too large is dealt
    by whole strings, which needs no sorting. So no task holds an unbounded group, and no row is dropped.
 
-Texts are told apart by the MD5 of their bytes, strings in step 2 by 64-bit hashes within a group.
+Texts are told apart by the MD5 of their bytes, and so are strings in step 2 and whole strings in step 4. Other
+hashes only decide what meets: strings that agree by chance are told apart when they are sorted.
 
-Defined results: a null text is empty; texts shorter than `length` lose nothing; equal rows are copies of each
+Defined results: a null text is empty; a null id changes nothing; memory for one text is some sixty bytes for each of its
+bytes, and texts of a gigabyte or more are refused; texts shorter than `length` lose nothing; equal rows are copies of each
 other, which lose everything if they are long enough; an empty table gives no rows; columns named `n_bytes`, `removed` or
 `kept` are replaced.
 """
@@ -50,11 +52,19 @@ class _Text:
     """Hashes of any piece of a text in constant time."""
 
     def __init__(self, body: bytes):
+        if len(body) > int(_POS_MASK):
+            raise ValueError(f"a text of {len(body)} bytes: places have {int(_POS)} bits")
         self.buf = np.frombuffer(body, np.uint8)
         self.up, self.down = tb.powers(len(body))
         self.sums = np.zeros(len(body) + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + U(1)) * self.up[: len(body)], out=self.sums[1:])
 
+    def digests(self, start: np.ndarray, end: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        """MD5 of pieces, each with a number."""
+        body = self.buf.tobytes()
+        found = [hashlib.md5(b"%d " % n + body[s:e]).digest() for s, e, n in zip(start.tolist(), end.tolist(), beside.tolist(), strict=True)]
+        return np.array([*found, b""], object)[:-1]
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return tb.mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
@@ -82,11 +92,11 @@ def _runs(text: _Text, length: int) -> tuple[np.ndarray, ...]:
     """Runs of strings: (group, content, first string, number of strings, whether the q-gram occurs again in the run)."""
     group, place, first, last = anchors(text, length)
     if not len(group):
-        return (group, group, first, first, first)
+        return (group, np.zeros(0, object), first, first, first)
     new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     end = np.append(new[1:], len(group)) - 1
     start, stop = first[new], last[end]
-    content = tb.mix(text.hashes(start, stop - 1 + length) + (place[new] - start).astype(np.uint64))
+    content = text.digests(start, stop - 1 + length, place[new] - start)
     return group[new], content, start, stop - start, (end > new).astype(np.int64)
 
 
@@ -95,7 +105,7 @@ def _split_runs(text: _Text, length: int, start: int, count: int, step: int) ->
     if step == 1:
         at = np.arange(start, start + count)
         whole = text.hashes(at, at + length)
-        return whole, whole, at, np.ones(count, np.int64), np.zeros(count, np.int64)
+        return whole, text.digests(at, at + length, np.zeros(count, np.int64)), at, np.ones(count, np.int64), np.zeros(count, np.int64)
     group, place, first, last = anchors(text, length)
     mine = (first < start + count) & (last > start)
     out = []
@@ -105,17 +115,17 @@ def _split_runs(text: _Text, length: int, start: int, count: int, step: int) ->
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         s0, s1, nth = s[cut], np.append(s[cut[1:]], b), block[cut]
         low, high = p - nth * step, p - (nth + 1) * step + 1 + length  # what all strings at these distances hold
-        out.append((tb.mix(text.hashes(low, high) + g + nth.astype(np.uint64) * U(31)), tb.mix(text.hashes(s0, s1 - 1 + length) + (p - s0).astype(np.uint64)), s0, s1 - s0, np.zeros(len(cut), np.int64)))
+        out.append((tb.mix(text.hashes(low, high) + g + nth.astype(np.uint64) * U(31)), text.digests(s0, s1 - 1 + length, p - s0), s0, s1 - s0, np.zeros(len(cut), np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_RUNS = "array<struct<grp:long,content:long,first:long,count:long,again:long>>"
+_RUNS = "array<struct<grp:long,content:binary,first:long,count:long,again:long>>"
 
 
 def _run_lists(rows: list[tuple[np.ndarray, ...]]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-    columns = [np.concatenate([r[j] for r in rows]) if rows else np.zeros(0, np.int64) for j in range(5)]
-    struct = pa.StructArray.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["grp", "content", "first", "count", "again"])
+    columns = [np.concatenate([r[j] for r in rows]) if rows else np.zeros(0, object if j == 1 else np.int64) for j in range(5)]
+    struct = pa.StructArray.from_arrays([pa.array(c, pa.binary()) if c.dtype == object else pa.array(c.view(np.int64)) for c in columns], names=["grp", "content", "first", "count", "again"])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
 

@@ -369,6 +369,12 @@ def test_repeats_removed(spark, group_bytes):
     assert sorted((r.doc_id, r.n_bytes, sum(s.length for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == m.repeats_removed(rows, 40)
 
 
+def test_strings_of_equal_polynomials_do_not_repeat(spark):
+    rows = [(1, thue_morse(2048)), (2, thue_morse(2048, True)), (None, "x" * 90), (3, None)]
+    got = [(r.doc_id, sum(x.length for x in r.removed)) for r in suffix_dedup.remove_repeats(docs(spark, rows, "doc_id long, text string"), 1024).collect()]
+    assert dict(got) == {i: n for i, _, n, *_ in m.repeats_removed([r for r in rows if r[0]], 1024)} | {None: 0}
+
+
 def test_repeats_on_documents(spark, real):
     import hashlib
 
