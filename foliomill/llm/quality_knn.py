@@ -125,8 +125,9 @@ def vote(vectors: np.ndarray, model: Neighbours, neighbours: int) -> np.ndarray:
         return np.full(len(vectors), 0.5)
     k = min(neighbours, len(model.labels))
     out = np.empty(len(vectors))
+    different, which = np.unique(model.vectors, axis=0, return_inverse=True)  # equal vectors get equal cosines
     for at in range(0, len(vectors), 512):
-        cos = vectors[at : at + 512] @ model.vectors.T
+        cos = (vectors[at : at + 512] @ different.T)[:, which.ravel()]
         least = np.partition(cos, -k, axis=1)[:, -k, None]
         nearer, tied = cos > least, cos == least
         near = nearer | (tied & (np.cumsum(tied, axis=1) <= k - nearer.sum(1, keepdims=True)))
