@@ -66,11 +66,11 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes."""
+    """Strings of 400 bytes; `n_repeat_windows` counts strings of 51 words that other documents have too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, 400)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["length"])
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_windows")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

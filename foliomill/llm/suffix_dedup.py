@@ -15,13 +15,17 @@ or in the same one, overlapping or not. All strings are judged on the input.
    from their q-gram share a core of nearly `length` bytes, whose hash splits the group; what is still too large is dealt
    by whole strings, which needs no sorting. So no task holds an unbounded group, and no row is dropped.
 
+Passages that are too short in bytes to go, but long in words, are reported beside that: `n_repeat_windows` counts the
+strings of `words` consecutive words (A-Z as a-z) that another document has too. Each picks the group of 16 words with the least hash;
+only the strings of groups that two texts share are compared.
+
 Texts are told apart by the MD5 of their bytes, and so are strings in step 2 and whole strings in step 4. Other
 hashes only decide what meets: strings that agree by chance are told apart when they are sorted.
 
 Defined results: a null text is empty; a null id changes nothing; memory for one text is some sixty bytes for each of its
 bytes, and texts of a gigabyte or more are refused; texts shorter than `length` lose nothing; equal rows are copies of each
-other, which lose everything if they are long enough; an empty table gives no rows; columns named `n_bytes`, `removed` or
-`kept` are replaced.
+other, which lose everything if they are long enough; an empty table gives no rows; columns named `n_bytes`, `removed`,
+`kept` or `n_repeat_windows` are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,7 +245,66 @@ def _drop_ranges(text_at: int, names: list[str]):
                     n_bytes.append(len(body))
                     removed.append([{"start": s, "length": e - s} for s, e in spans])
                     kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(n_bytes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+                repeated = pc.fill_null(part.column(batch.schema.names.index("__windows")), 0)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(n_bytes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()), repeated], names=[*names, "n_bytes", "removed", "kept", "n_repeat_windows"])
+
+    return run
+
+
+def _word_windows(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of so many consecutive words: (row, group that it picks, hash). Hashes of words are mixed, and no
+    string has a thousand words, so polynomials of them tell strings apart."""
+    starts, ends, bounds = tb.words(buf, offsets)
+    h = tb.word_hashes(buf, starts, ends)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    n = len(h) - words + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    gram = min(16, words)
+    sums = np.concatenate([[U(0)], np.cumsum(h)])
+    least = tb.mix(sums[gram:] - sums[:-gram])
+    window, width = words - gram + 1, 1
+    while width * 2 <= window:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if window > width:
+        least = np.minimum(least[: width - window], least[window - width :])
+    up, down = tb.powers(len(h))
+    places = np.concatenate([[U(0)], np.cumsum(h * up[: len(h)])])
+    whole = tb.mix((places[words:] - places[:-words]) * down[:n])
+    inside = row[:n] == row[words - 1 :]
+    return row[:n][inside], least[inside], whole[inside]
+
+
+def _picked_groups(words: int):
+    """Batches of (text) to (key, windows, groups): how many strings of words a text has, and what they pick."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, buf, offsets in tb.pieces(batch.column(0)):
+                row, group, _ = _word_windows(buf, offsets, words)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(offsets))), pa.int32()), pa.array(group[new].view(np.int64)))
+                body = buf.tobytes()
+                keys = [hashlib.md5(body[s:e]).digest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.bincount(row, minlength=len(keys)).astype(np.int64)), lists], names=["key", "windows", "groups"])
+
+    return run
+
+
+def _windows_of(words: int):
+    """Batches of (key, text, groups) to (key, hash) for each string of words that picks one of the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, buf, offsets in tb.pieces(batch.column(1)):
+                row, group, whole = _word_windows(buf, offsets, words)
+                lists = [np.array(x.as_py(), np.int64).view(np.uint64) for x in batch.column(2).slice(first, len(offsets) - 1)]
+                upto = np.searchsorted(row, np.arange(len(offsets)))
+                found = np.concatenate([np.isin(group[a:b], x) for a, b, x in zip(upto[:-1], upto[1:], lists, strict=True)])
+                keys = batch.column(0).slice(first, len(offsets) - 1).take(pa.array(row[found]))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(whole[found].view(np.int64))], names=["key", "hash"])
 
     return run
 
@@ -258,11 +322,17 @@ def _grouped(runs: DataFrame, length: int, folder: str, name: str) -> DataFrame:
     return saved(joined.select("grp", "content", "n", "different", "size", "one.*"), folder, name)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", folder: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Documents with `n_bytes` (long), `removed` (array of start and length in bytes) and `kept` (binary), without their text."""
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", folder: str | None = None, group_bytes: int = GROUP_BYTES, words: int = 51) -> DataFrame:
+    """Documents with `n_bytes` (long), `removed` (array of start and length in bytes), `kept` (binary) and `n_repeat_windows`
+    (long), without their text."""
     folder = folder or scratch_dir(docs.sparkSession)
-    docs = docs.drop("n_bytes", "removed", "kept")
+    docs = docs.drop("n_bytes", "removed", "kept", "n_repeat_windows")
     bodies_in = docs.select(F.col(text).alias("text"))
+    worded = bodies_in.mapInArrow(_picked_groups(words), "key binary, windows long, groups array<long>").where("windows > 0")
+    passages = saved(worded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("groups").alias("groups")), folder, "passages")
+    picked = passages.select("key", F.explode(F.array_distinct("groups")).alias("grp"))
+    several = picked.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("grp")
+    shared = saved(picked.join(several, "grp").groupBy("key").agg(F.collect_list("grp").alias("groups")), folder, "shared")  # of one text
     found = bodies_in.mapInArrow(_find_runs(length), f"key binary, n_bytes long, runs {_RUNS}")
     texts = saved(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs")), folder, "runs")
     ranges = [texts.where(f"n > 1 AND n_bytes >= {length}").select("key", F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))]
@@ -281,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", folde
         small = open_groups.where(f"size <= {group_bytes}").select("key", "grp", "first", "count")
         to_sort = small if to_sort is None else to_sort.union(small)
         if bodies is None:
-            wanted = open_groups.select("key").distinct()
+            wanted = open_groups.select("key").union(shared.select("key")).distinct()
             once = docs.select(_key(F.col(text)).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
             bodies = saved(once.join(wanted, "key", "left_semi"), folder, "bodies")
         large = open_groups.where(f"size > {group_bytes}")
@@ -298,8 +368,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", folde
     for r in ranges[1:]:
         everything = everything.union(r)
     of_text = everything.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("__ranges"))  # of one text
-    of_text = saved(of_text, folder, "ranges")
+    windows = bodies.join(shared, "key").select("key", "text", "groups").mapInArrow(_windows_of(words), "key binary, hash long")
+    in_text = saved(windows.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("times")), folder, "windows")
+    elsewhere = in_text.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("hash")
+    repeated = in_text.join(elsewhere, "hash", "left_semi").groupBy("key").agg(F.sum("times").alias("found"))
+    # All strings of a copied text occur in its copies.
+    counted = passages.select("key", F.when(F.col("n") > 1, F.col("windows")).alias("all")).join(repeated, "key", "left").select("key", F.coalesce("all", "found").alias("__windows")).where("__windows > 0")
+    of_text = saved(of_text.join(counted, "key", "full"), folder, "ranges")
     joined = docs.withColumn("__key", _key(F.col(text))).join(of_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     own = [f for f in docs.schema if f.name != text]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
-    return joined.mapInArrow(_drop_ranges(joined.columns.index(text), [f.name for f in own]), f"{fields}n_bytes long, removed array<struct<start:long,length:long>>, kept binary")
+    return joined.mapInArrow(_drop_ranges(joined.columns.index(text), [f.name for f in own]), f"{fields}n_bytes long, removed array<struct<start:long,length:long>>, kept binary, n_repeat_windows long")

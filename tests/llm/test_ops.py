@@ -369,6 +369,20 @@ def test_repeats_removed(spark, group_bytes):
     assert sorted((r.doc_id, r.n_bytes, sum(s.length for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == m.repeats_removed(rows, 40)
 
 
+def test_repeated_passages_of_words(spark, real):
+    rows = [(r.doc_id, r.text) for r in real.collect()]
+    shared = " ".join(f"p{i}" for i in range(51))
+    rows += [(-1, f"one {shared} more"), (-2, f"other\n{shared.upper()}"), (-3, shared[:-2]), (None, "x"), (-4, shared + " " + shared)]
+    texts = {t for _, t in rows if t}
+    windows = lambda t: [tuple(w[i : i + 51]) for w in [m.WORD.findall(m.lower(t))] for i in range(len(w) - 50)]
+    seen = Counter(x for t in texts for x in set(windows(t)))
+    copies = Counter(t for _, t in rows)
+    want = sorted((str(i), sum(seen[x] > 1 or copies[t] > 1 for x in windows(t))) for i, t in rows)
+    frame = docs(spark, rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_repeat_windows) for r in suffix_dedup.remove_repeats(frame).select("doc_id", "n_repeat_windows").collect())
+    assert got == want and sum(n > 0 for _, n in got) > 5
+
+
 def test_strings_of_equal_polynomials_do_not_repeat(spark):
     rows = [(1, thue_morse(2048)), (2, thue_morse(2048, True)), (None, "x" * 90), (3, None)]
     got = [(r.doc_id, sum(x.length for x in r.removed)) for r in suffix_dedup.remove_repeats(docs(spark, rows, "doc_id long, text string"), 1024).collect()]
