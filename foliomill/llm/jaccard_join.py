@@ -44,7 +44,7 @@ from foliomill.llm.graph import connected_components
 
 BAND_RATIO = 1.5
 #: Heads with more members are replaced by the centre of about so many of them.
-LARGE, SAMPLED = 32, 24
+LARGE, SAMPLED = 128, 24
 U = np.uint64
 
 

@@ -111,8 +111,8 @@ def _ids(tokens: np.ndarray, known: np.ndarray, order: np.ndarray) -> np.ndarray
     return np.where(known[at] == tokens, order[at], -1)
 
 
-def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Natural log of each token's leaf. With sums, adds to the gradients and curvatures of the weights."""
+def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of each token's leaf. With sums, adds to the gradients (real) and curvatures (imaginary) of the weights instead."""
     codes, lengths = tree.codes(tokens)
     order = np.argsort(-lengths.astype(np.int8), kind="stable")
     codes, lengths = codes[order], lengths[order]
@@ -134,13 +134,13 @@ def _walk(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, sums: tuple[np.nda
             z += tree.weights[i]
         sign = turn.astype(np.float32) * 2 - 1
         far = np.exp(-np.clip(z * sign, -30, 30))
-        logs[:n] -= np.log1p(far)
-        if sums is not None:
-            miss = far / (1 + far)
-            gap, curve = (sign * miss).astype(np.float64), (miss * (1 - miss)).astype(np.float64)  # the kind of the sums: else add.at is slow
-            for i in at:
-                np.add.at(sums[0], i, gap)
-                np.add.at(sums[1], i, curve)
+        if sums is None:
+            logs[:n] -= np.log(1 + far)
+            continue
+        miss = far / (1 + far)
+        both = sign * miss + 1j * (miss * (1 - miss)).astype(np.float64)  # one scattered addition for the two
+        for i in at:
+            np.add.at(sums, i, both)
     out = np.empty(len(tokens))
     out[order] = logs
     return out
@@ -188,7 +188,7 @@ def _added(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     """The arrays that the blocks of all tasks add up to."""
     out = [np.zeros(n) for n in sizes]
     summed = parts.repartition("kind", "block").mapInArrow(_sum_blocks, _BLOCKS)
-    for row in saved(summed, scratch_dir(parts.sparkSession), "sums").collect():  # as large as the model
+    for row in saved(summed, scratch_dir(parts.sparkSession), "sums").toLocalIterator():  # all rows are as large as the model
         x = np.frombuffer(row["sums"])
         out[row["kind"]][row["block"] : row["block"] + len(x)] = x
     return out
@@ -220,11 +220,11 @@ def _gradients(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        sums = np.zeros(len(tree.weights)), np.zeros(len(tree.weights))
+        sums = np.zeros(len(tree.weights), np.complex128)
         for batch in batches:
             for _, buf, offsets in tb.pieces(batch.column(0)):
                 _walk(tree, *tokens_of(buf, offsets), sums)
-        yield from _blocks([*sums])
+        yield from _blocks([sums.real, sums.imag])
 
     return run
 
@@ -246,7 +246,7 @@ def plant(vocabulary: DataFrame, n_all: int, n_types: int) -> Tree:
     if rest and span[0] == span[1]:
         span, tail_bits = (2 * span[1] - 1, 2 * span[1]), tail_bits + 1
     order = np.argsort(tokens)
-    room = (1 << bits(8 * (len(n) + leaves)), 1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))))
+    room = (1 << bits(4 * (len(n) + leaves)), 1 << bits(max(64 * n_all**0.5, min(n_all, 1 << 18))))
     tree = Tree(tokens[order], codes[order], lengths[order], span, tail_bits, *(np.zeros(x, np.float32) for x in room))
     shared = vocabulary.sparkSession.sparkContext.broadcast(tree)
     passed, turned = _added(vocabulary.mapInArrow(_frequencies(shared), _BLOCKS), [len(tree.bias)] * 2)
