@@ -35,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ from foliomill.llm.graph import connected_components
 
 BAND_RATIO = 1.5
 #: Heads with more members are replaced by the centre of about so many of them.
-LARGE, SAMPLED = 128, 24
+LARGE, SAMPLED = 64, 24
+GONE = 1 << 62
 U = np.uint64
 
 
@@ -224,6 +226,7 @@ def _exact_counts(a: str | None, b: str | None, k: int) -> tuple[int, int, int]:
 
 def _pairs_of_sets(texts_a: pa.Array, texts_b: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], bool]]:
     """(first pair, sets of a and b by turns, whether their hashes tell all words and shingles apart) for some pairs at a time."""
+    texts_a, texts_b = _unpacked(texts_a), _unpacked(texts_b)
     bytes_of = lambda x: pc.fill_null(pc.binary_length(x), 0).to_numpy().astype(np.int64)
     upto = np.concatenate([[0], np.cumsum(bytes_of(texts_a) + bytes_of(texts_b))])
     first, n = 0, len(texts_a)
@@ -305,7 +308,7 @@ def _overlaps(k: int, percent: int, prefixes: bool):
                 part = batch.slice(first, n)
                 counts = [(int(_is_in(b, a).sum()), len(a), len(b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
                 if not apart:
-                    counts = [_exact_counts(a.as_py(), b.as_py(), k) for a, b in zip(part.column(2), part.column(3), strict=True)]
+                    counts = [_exact_counts(a.as_py(), b.as_py(), k) for a, b in zip(_unpacked(part.column(2)), _unpacked(part.column(3)), strict=True)]
                 columns = [part.column(0), part.column(1), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3))]
                 names = ["a", "b", "shared", "size_a", "size_b"]
                 if prefixes:
@@ -321,6 +324,21 @@ def _overlaps(k: int, percent: int, prefixes: bool):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed one by one: they are shuffled several times."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        bodies = pa.array([press.compress((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), bodies], names=["node", "text"])
+
+
+def _unpacked(bodies: pa.Array) -> pa.Array:
+    if not pa.types.is_binary(bodies.type) and not pa.types.is_large_binary(bodies.type):
+        return bodies
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x.as_py()).decode() for x in bodies], pa.large_string())
+
+
 def _node(text: Column) -> Column:
     return F.unhex(F.md5(lower_ascii(F.coalesce(text, F.lit("")))))
 
@@ -377,18 +395,23 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     in_band = {r["band"]: r["docs"] for r in slim.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # a few dozen bands
 
     index = saved(docs.select(F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), "node binary, exact array<long>, gone array<long>"), folder, "index")
-    # One explode for both kinds of entries, so texts are indexed once.
-    kinds = F.concat(F.transform("exact", lambda x: F.struct(x.alias("sig"), F.lit(False).alias("gone"))), F.transform("gone", lambda x: F.struct(x.alias("sig"), F.lit(True).alias("gone"))))
-    entries = index.select("node", F.inline(kinds))
-    # Heads are aggregated within tasks first, and met in a join: a bucket of very many members can be split.
-    first = F.min(F.struct("gone", "node"))
-    heads = entries.groupBy("sig").agg(first.alias("first"), F.min("node").alias("low"), F.max("node").alias("high")).where("NOT first.gone AND low <> high")
-    bucketed = entries.join(heads.select("sig", F.col("first.node").alias("head")), "sig").where("node <> head")
-    pairs = saved(bucketed.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs")
+    # Entries carry their node's hash only, above 2**62 if a shingle is gone. Heads are aggregated within tasks first, and met in a
+    # join: a bucket of very many members can be split. Nodes of equal hashes would only make more pairs to compare.
+    code = F.shiftrightunsigned(F.xxhash64("node"), 2)
+    kinds = F.concat(F.transform("exact", lambda x: F.struct(x.alias("sig"), F.lit(0).cast("long").alias("gone"))), F.transform("gone", lambda x: F.struct(x.alias("sig"), F.lit(GONE).alias("gone"))))
+    entries = index.select(code.alias("code"), F.inline(kinds)).select("sig", (F.col("code") + F.col("gone")).alias("code"))
+    heads = entries.groupBy("sig").agg(F.min("code").alias("head"), F.max("code").alias("last")).where((F.col("head") < GONE) & (F.col("head") != F.col("last")))
+    member = F.col("code").bitwiseAND(F.lit(GONE - 1))
+    met = entries.join(heads, "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
+    named = index.where("size(exact) > 0").select("node", code.alias("code")).distinct()
+    for side in ("a", "b"):
+        met = met.join(named.select(F.col("node").alias(side), F.col("code").alias(f"code_{side}")), f"code_{side}")
+    pairs = saved(met.select("a", "b"), folder, "pairs")
 
     # Texts of all nodes that share a bucket with another one, once each.
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    once = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    packed = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(_pack, "node binary, text binary")
+    once = packed.groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(once.join(touched, "node", "left_semi"), folder, "texts")
 
     centres = saved(_centres(pairs, texts, k), folder, "centres")
