@@ -87,8 +87,12 @@ def ask(misses: DataFrame, provider: Callable[[], Provider], prompt: str = "") -
     each task; a batch is never larger than its `batch_no` group.
     """
 
+    made: list[Provider] = []  # by each task in its own copy
+
     def run(key: tuple[Any, ...], batch: pd.DataFrame) -> pd.DataFrame:
-        own = provider()
+        if not made:
+            made.append(provider())
+        own = made[0]
         items = list(zip(batch["id"], batch["text"], strict=True))
         try:
             reply = re.sub(r"^```[a-zA-Z]*\s*|\s*```$", "", own.batch(prompt, items).strip())
@@ -109,15 +113,16 @@ def ask(misses: DataFrame, provider: Callable[[], Provider], prompt: str = "") -
 def translate(items: DataFrame, cache: DataFrame, provider: Callable[[], Provider], order: list[str], prompt: str = "") -> DataFrame:
     """Results of a job's items: id, job_id, batch_no, source_hash, translation, cached, error, status, message.
 
-    Blank texts go to no provider. A repeat of an earlier batch's text takes that one's translation.
+    Blank texts go to no provider. A repeat of an earlier batch's text takes that one's translation. The plan holds the
+    provider's calls once; write the results before using them for several outputs.
     """
     known = attribute_hits(lookup(number_batches(with_hash(items), order), cache))
     blank = strip(F.col("text")) == ""
     misses = known.where(~blank & ~F.col("cached"))
     asked = ask(misses.select("job_id", "batch_no", "id", "text"), provider, prompt)
-    answered = misses.join(asked, ["job_id", "batch_no", "id"]).select("job_id", "source_hash", "id", "translation", "error")
-    of_hash = answered.where("error IS NULL").groupBy("job_id", "source_hash").agg(F.min("translation").alias("earlier"))
-    joined = known.join(answered.select("job_id", "id", "translation", "error"), ["job_id", "id"], "left").join(of_hash, ["job_id", "source_hash"], "left")
+    joined = known.join(asked, ["job_id", "batch_no", "id"], "left")
+    same_text = W.partitionBy("job_id", "source_hash")
+    joined = joined.withColumn("earlier", F.min(F.when(F.col("error").isNull(), F.col("translation"))).over(same_text))
     text = F.when(blank, "").when(F.col("cached"), F.coalesce("cached_text", "earlier", F.lit(""))).otherwise(F.col("translation"))
     rows = joined.withColumns({"translation": text, "error": F.when(blank | F.col("cached"), None).otherwise(F.col("error"))})
     return with_status(rows).select("job_id", "batch_no", "id", "source_hash", "translation", "cached", "error", "status", "message")

@@ -29,8 +29,8 @@ def upsert_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_cache(spark: SparkSession, d: str) -> DataFrame:
     docs = X.table(spark, d, "documents")
-    old = docs.where("doc_id % 2 = 0").select(F.md5("text").alias("source_hash"), F.lit("old").alias("translated_text")).distinct()
-    new = docs.where("doc_id % 3 = 0").groupBy(F.md5("text").alias("source_hash")).agg(F.max("lang").alias("translated_text"))
+    old = docs.where("doc_id % 3 <> 0").select(F.md5("text").alias("source_hash"), F.lit("old").alias("translated_text")).distinct()
+    new = docs.where("doc_id % 3 = 0 OR doc_id % 2 = 0").groupBy(F.md5("text").alias("source_hash")).agg(F.max("lang").alias("translated_text"))
     return T.upsert(old, new, ["source_hash"])
 
 
@@ -121,7 +121,7 @@ p AS (SELECT *, CASE WHEN pending > 0 THEN 'running' WHEN failed = total THEN 'f
 ORACLES = {
     "upsert_pages": f"""WITH {_PAGES_SQL} SELECT book_id, page_number, n_lines, CASE WHEN book_id % 3 = 0 AND page_number % 2 = 0 THEN 'again: ' || raw_text ELSE raw_text END AS raw_text, CASE WHEN book_id % 3 = 0 AND page_number % 2 = 0 THEN 3 ELSE 1 END AS version FROM pages_
 UNION ALL SELECT book_id, 1000, n_lines, raw_text, 2 FROM pages_ WHERE page_number = 1""",
-    "upsert_cache": "WITH n AS (SELECT md5(text) AS source_hash, max(lang) AS translated_text FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL), o AS (SELECT DISTINCT md5(text) AS source_hash FROM documents WHERE doc_id % 2 = 0) SELECT * FROM n UNION ALL SELECT source_hash, 'old' FROM o WHERE source_hash NOT IN (SELECT source_hash FROM n)",
+    "upsert_cache": "WITH n AS (SELECT md5(text) AS source_hash, max(lang) AS translated_text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 GROUP BY ALL), o AS (SELECT DISTINCT md5(text) AS source_hash FROM documents WHERE doc_id % 3 <> 0) SELECT * FROM n UNION ALL SELECT source_hash, 'old' FROM o WHERE source_hash NOT IN (SELECT source_hash FROM n)",
     "cascade_delete": f"""WITH {_PAGES_SQL}, kept AS (SELECT doc_id AS book_id FROM documents WHERE NOT (source = 'src0' OR doc_id % 4 = 1)), live AS (SELECT * FROM pages_ WHERE book_id IN (SELECT book_id FROM kept)),
 c AS (SELECT count(DISTINCT (book_id, page_number // 3)) AS n FROM live), p AS (SELECT count(*) AS n FROM live)
 SELECT 'chapters' AS table_name, n AS n_rows FROM c UNION ALL SELECT 'jobs', n FROM c UNION ALL SELECT 'paragraphs', n FROM p UNION ALL SELECT 'fragments', n FROM p UNION ALL SELECT 'translations', n FROM p UNION ALL SELECT 'pages', count(*) FROM pages_""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import camel_split, clean_pdf_text, html_escape, is_garbage, joins_by_hyphen, meaningful_ratio, normalise_for_match, replacement_ratio
@@ -46,9 +47,10 @@ def ocr_quality_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_retry_choice(spark: SparkSession, d: str) -> DataFrame:
-    q = Q.page_quality(X.page_lines(spark, d)).where("page_number <= 3")
-    pivoted = q.groupBy("book_id").agg(F.max(F.when(F.col("page_number") == 1, F.round("score", 9))).alias("score"), F.max(F.when(F.col("page_number") == 2, F.round("score", 9))).alias("retry_score")).withColumn("page_number", F.lit(1))
-    return Q.choose_recognition(pivoted).select("book_id", "chosen", "best_score")
+    """The next page of the book stands for a page's second try; the last page has none."""
+    q = Q.page_quality(X.page_lines(spark, d)).select("book_id", "page_number", F.round("score", 9).alias("score"))
+    tried = q.withColumn("retry_score", F.lead("score").over(W.partitionBy("book_id").orderBy("page_number")))
+    return Q.choose_recognition(tried).select("book_id", "page_number", "chosen", "best_score")
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
@@ -180,8 +182,8 @@ SELECT doc_id, (n >= 40 AND ratio >= 0.55 AND bad_ratio <= 0.02) OR (n BETWEEN 1
     "garbage_lines": r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\p{L}\p{Nd}]+')) AS piece FROM documents)
 SELECT doc_id, count(*) FILTER (trim(regexp_replace(piece, '\s', ' ', 'g')) = '' OR regexp_matches(piece, '^[\s\-–—•·\x{202F}\x{FEFF}.,;:!?"''‘()\[\]{}<>«»‥…・《》、，。；：？！【】「-』〔〕]+$')) AS n_garbage, count(*) AS n_parts FROM p GROUP BY doc_id""",
     "ocr_quality_score": _QUALITY_SQL + " SELECT book_id, page_number, round(wc, 9) AS weighted_conf, round(ratio, 9) AS ratio, n AS n_chars, round(score, 9) AS score, ratio < 0.5 OR wc < 0.65 OR (n < 80 AND wc < 0.75) AS needs_retry FROM q",
-    "ocr_retry_choice": _QUALITY_SQL + """, p AS (SELECT book_id, max(CASE WHEN page_number = 1 THEN round(score, 9) END) AS s1, max(CASE WHEN page_number = 2 THEN round(score, 9) END) AS s2 FROM q WHERE page_number <= 3 GROUP BY book_id)
-SELECT book_id, CASE WHEN s1 IS NULL THEN 'failed' WHEN s2 > s1 THEN 'retry' ELSE 'first' END AS chosen, CASE WHEN s1 IS NULL THEN 0.0 WHEN s2 > s1 THEN s2 ELSE s1 END AS best_score FROM p""",
+    "ocr_retry_choice": _QUALITY_SQL + """, p AS (SELECT book_id, page_number, round(score, 9) AS s1, lead(round(score, 9)) OVER (PARTITION BY book_id ORDER BY page_number) AS s2 FROM q)
+SELECT book_id, page_number, CASE WHEN s1 IS NULL THEN 'failed' WHEN s2 > s1 THEN 'retry' ELSE 'first' END AS chosen, CASE WHEN s1 IS NULL THEN 0.0 WHEN s2 > s1 THEN s2 ELSE s1 END AS best_score FROM p""",
     "reading_order": f"""WITH {X.BODY_SQL},
 b AS (SELECT book_id, page_number, line_idx, y1, x1 + CASE WHEN line_idx % 2 = 0 THEN 900.0 ELSE 0.0 END AS x1, x2 + CASE WHEN line_idx % 2 = 0 THEN 900.0 ELSE 0.0 END AS x2 FROM body),
 c AS (SELECT *, (x1 + x2) / 2 AS c, max(x2) OVER p AS rt, count(*) OVER p AS n FROM b WINDOW p AS (PARTITION BY book_id, page_number)),

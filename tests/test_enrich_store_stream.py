@@ -41,6 +41,26 @@ def test_translate(spark):
     assert got[2].message == E.EMPTY and got[3].message == E.MISSING and len(got[10].message) == 500
 
 
+def test_each_batch_is_asked_once(spark, tmp_path):
+    path = str(tmp_path / "calls")
+
+    class Counting:
+        def one(self, prompt, text):
+            raise ValueError("no item is asked alone")
+
+        def batch(self, prompt, items):
+            with open(path, "a") as f:
+                f.write(f"{len(items)}\n")
+            return json.dumps([{"id": i, "translation": f"<{t}>"} for i, t in items])
+
+    items = spark.createDataFrame([(j, f"i{j}-{k:02d}", k, f"text {j} {k % 30}") for j in range(3) for k in range(40)], "job_id long, id string, n int, text string")
+    cache = spark.createDataFrame([], "source_hash string, translated_text string, status string")
+    got = E.translate(items, cache, lambda: Counting(), ["n"]).collect()
+    assert len(got) == 120 and all(r.status == "completed" for r in got)
+    calls = [int(x) for x in open(path).read().split()]
+    assert len(calls) == 3 * 4 and max(calls) <= 8 and sum(calls) == 90
+
+
 def test_cache_rows_and_rollups(spark):
     rows = spark.createDataFrame([(1, "completed"), (1, "completed"), (2, "failed"), (2, "failed"), (3, "completed"), (3, "pending")], "job_id long, status string")
     got = E.status_counts(rows, ["job_id"]).withColumns({"j": E.job_status(), "c": E.chapter_status()}).orderBy("job_id").collect()
