@@ -359,14 +359,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, centres:
     return _with_texts(pairs, texts).select(columns).mapInArrow(_overlaps(k, percent, centres is not None), f"a binary, b binary, shared long, size_a long, size_b long{more}")
 
 
-def _centres(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Of each head with more than `LARGE` members: `gain` and `drop`, shingles to add to the head's and to take from them so
+def _centres(pairs: DataFrame, texts: DataFrame, k: int, large: int) -> DataFrame:
+    """Of each head with more than `large` members: `gain` and `drop`, shingles to add to the head's and to take from them so
     that the centre has what most members have, and `common`, others that an eighth of the members add or lack.
 
     Both come from about `SAMPLED` members by hash. They decide only what is compared with what, not what is linked: any
     centre gives the same links. Lists are bounded by eight times the mean set of a head's members.
     """
-    per_head = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE)
+    per_head = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > large)
     some = pairs.join(per_head, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < SAMPLED).select("a", "b")
     found = _with_texts(some, texts).select("a", "text_a", "text_b").mapInArrow(_differences(k), "head binary, added array<long>, lost array<long>")
     flat = lambda kind: found.select("head", F.lit(kind).alias("kind"), F.explode(kind).alias("token"))
@@ -382,9 +382,11 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(f"100 * shared >= {percent} * (size_a + size_b - shared)").select("a", "b")
 
 
-def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text", folder: str | None = None, large: int = LARGE) -> DataFrame:
     """One row for each document: `id_col`, `n_shingles` (long) and `component_id` (smallest id reachable by links).
 
+    Heads of more than `large` members are replaced by centres, which changes the work, not the links.
+
     Writes intermediate tables to `folder` (by default a new one in the cluster's checkpoint folder).
     """
     spark = docs.sparkSession
@@ -414,7 +416,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     once = packed.groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(once.join(touched, "node", "left_semi"), folder, "texts")
 
-    centres = saved(_centres(pairs, texts, k), folder, "centres")
+    centres = saved(_centres(pairs, texts, k, large), folder, "centres")
     compared = saved(_compared(pairs, texts, k, percent, centres), folder, "compared")
     links = _links(compared, percent)
     parts = connected_components(links, folder, "parts-1")
