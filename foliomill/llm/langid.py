@@ -5,15 +5,20 @@ into the longest phrases that each automaton accepts (cross-parsing, Ziv and Mer
 fewest phrases, each counted as log2 of its training length, wins. Letters are lower-cased; anything between
 letters is one space.
 
-The training text of a language is made of pieces of at most `train_rows` labelled documents, the ones with the
-least hashed ids, each cut at a hashed place: a bounded sample, `train_chars` characters for each language and
-`total_chars` over all. Predictions use whole texts. Texts are parsed in blocks of `BLOCK` letters and spaces
-whose phrases are added up, so many blocks step through their automata at once as one array operation.
+Every usable text is cut into passages of `passage` characters, from its start to its end; the training text of a
+language is made of the `train_rows` passages with the least hashes among all of them: a bounded sample of labelled
+passages, whose size depends neither on the number of documents nor on their lengths. Automata are hash tables of
+their transitions, at most three for each training character whatever the alphabet. At most `MOST_LANGUAGES`
+languages are learnt, which bounds what is collected and broadcast; more are refused, not dropped. A language none
+of whose sampled passages has a letter is not learnt.
+
+Predictions use whole texts, and phrases run on across the blocks that long texts are split into: blocks are parsed
+side by side from guessed states, and again from the state in which the block before ends until none changes.
 
 Defined results: a null text, or one without letters, is `und` with score 0; so is everything if no row is
 labelled. The score is how much fewer phrases the best language needs than the next, 0 to 1 (1 if only one
-language is known). Ties go to the first language by name. Equal rows give equal results; an empty table gives
-no rows; columns named `lang_pred` or `score` are replaced.
+language is known). Ties go to the first language by name. Equal rows give equal results, and count once as training
+passages if their ids are equal too; an empty table gives no rows; columns named `lang_pred` or `score` are replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import unit_hash
-
 UNKNOWN = "und"
-BLOCK = 2048
+#: Letters and spaces of a text parsed in a row before the next block of the same text is begun beside it.
+BLOCK = 4096
+MOST_LANGUAGES = 256
 #: Letters and spaces parsed together; bounds a worker's memory.
 TOGETHER = 4 << 20
 
@@ -69,70 +74,111 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Parsers:
-    """Automata of all languages in one table: `table[state * width + symbol]`, -1 where none leads on."""
+    """Automata of all languages, their states numbered in a row, in one hash table of transitions."""
 
     languages: list[str]
     weights: np.ndarray  # log2 of the training length
-    roots: np.ndarray
-    table: np.ndarray
-    width: int
+    roots: np.ndarray  # first state of each language
+    first: np.ndarray  # states that each symbol leads to from the roots (rows: languages), the root itself if none
+    keys: np.ndarray  # state * width + symbol at its hashed slot or after it, -1 in free slots
+    values: np.ndarray
     alphabet: str  # symbol i + 2; 0 is the space, 1 any other letter
 
-    def symbols(self) -> np.ndarray:
-        """Symbol of each code point below 65536."""
-        of = {c: i + 2 for i, c in enumerate(self.alphabet)}
-        return np.array([_symbol(chr(c), of) for c in range(1 << 16)], np.uint16)
+    @property
+    def width(self) -> int:
+        return len(self.alphabet) + 2
 
+    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """States that the symbols lead to, -1 where none does."""
+        keys = (states * self.width + symbols).ravel()
+        slots = _slots(keys, len(self.keys))
+        found = self.keys[slots]
+        to = np.where(found == keys, self.values[slots], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[slots[open_]]
+            hit = found == keys[open_]
+            to[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return to.reshape(states.shape)
 
-def _symbol(c: str, of: dict[str, int]) -> int:
-    if not c.isalpha():
-        return 0
-    low = c.lower()
-    return of.get(low if len(low) == 1 else c, 1)
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Slots in a table whose size is a power of two."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
-def _letters(text: str) -> str:
-    low = "".join(c if c.isalpha() else " " for c in text.lower())
-    return " ".join(x for x in low.split(" ") if x)
 
-
-def learn(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", id_col: str = "doc_id", train_rows: int = 160, train_chars: int = 16_000, total_chars: int = 256_000) -> Parsers:
-    """Parsers from the usable rows that have a language and a text."""
-    piece = max(train_chars // train_rows, 1)
-    u = unit_hash("langid", F.col(id_col))
-    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), u.alias("u"), F.substring(F.col(text), (u % F.length(text)).cast("int") + 1, F.lit(2 * piece)).alias("piece"))
-    ranked = known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("u", "piece"))).where(F.col("r") <= train_rows)
-    texts: dict[str, list[str]] = {}
-    for row in ranked.orderBy("lang", "r").select("lang", "piece").collect():
-        texts.setdefault(row["lang"], []).append(_letters(row["piece"]))
-    room = min(train_chars, total_chars // max(len(texts), 1))
-    joined = {k: t for k, v in texts.items() if (t := " ".join(v)[:room]).strip()}
-    alphabet = "".join(sorted({c for t in joined.values() for c in t} - {" "}))
+def parsers_of(texts: dict[str, str]) -> Parsers:
+    """Parsers from the training text of each language, made of lower-cased letters and single spaces."""
+    alphabet = "".join(sorted({c for t in texts.values() for c in t} - {" "}))
     of = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 0}
     width = len(alphabet) + 2
-    tables, roots, at = [], [], 0
-    for t in joined.values():
+    keys, values, roots, at = [], [], [], 0
+    first = np.zeros((len(texts), width), np.int64)
+    for i, t in enumerate(texts.values()):
         moves = suffix_automaton([of[c] for c in t])
-        dense = np.full((len(moves), width), -1, np.int32)
-        for s, out in enumerate(moves):
-            for c, to in out.items():
-                dense[s, c] = to + at
-        tables.append(dense)
+        first[i] = at
+        for c, to in moves[0].items():
+            first[i, c] = at + to
+        keys += [(at + s) * width + c for s, out in enumerate(moves) for c in out]
+        values += [at + to for out in moves for to in out.values()]
         roots.append(at)
         at += len(moves)
-    flat = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    return Parsers(list(joined), np.array([math.log2(len(t) + 1) for t in joined.values()]), np.array(roots, np.int32), flat, width, alphabet)
+    size = 1 << max((2 * len(keys)).bit_length(), 4)
+    table, leads = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    left, to = np.array(keys, np.int64), np.array(values, np.int32)
+    slots = _slots(left, size)
+    while len(left):
+        free = np.flatnonzero(table[slots] < 0)
+        _, one = np.unique(slots[free], return_index=True)
+        put = free[one]
+        table[slots[put]], leads[slots[put]] = left[put], to[put]
+        rest = np.ones(len(left), bool)
+        rest[put] = False
+        left, to, slots = left[rest], to[rest], (slots[rest] + 1) & (size - 1)
+    return Parsers(list(texts), np.array([math.log2(len(t) + 1) for t in texts.values()]), np.array(roots, np.int64), first, table, leads, alphabet)
+
+
+def _fold(c: str) -> str:
+    """The lower-case letter, or a space for anything else."""
+    if not c.isalpha():
+        return " "
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
+def _letters(text: str) -> str:
+    return " ".join(x for x in "".join(map(_fold, text)).split(" ") if x)
+
+
+def learn(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", id_col: str = "doc_id", train_rows: int = 80, passage: int = 200) -> Parsers:
+    """Parsers from the usable rows that have a language and a text."""
+    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
+    # A language's least hashes hold at most train_rows passages of one text, so each text gives no more.
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / passage).cast("int"))
+    least = F.slice(F.array_sort(F.transform(numbers, lambda k: F.struct(F.xxhash64("id", k).alias("u"), k.alias("k")))), 1, train_rows)
+    passages = known.select("lang", "text", F.inline(least)).select("lang", "u", F.substring(F.col("text"), F.col("k") * passage + 1, F.lit(passage)).alias("passage"))
+    ranked = passages.withColumn("r", F.dense_rank().over(W.partitionBy("lang").orderBy("u", "passage"))).where(F.col("r") <= train_rows).select("lang", "r", "passage").distinct()
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for row in ranked.limit(MOST_LANGUAGES * train_rows + 1).collect():
+        texts.setdefault(row["lang"], []).append((row["r"], _letters(row["passage"])))
+    if sum(map(len, texts.values())) > MOST_LANGUAGES * train_rows or len(texts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return parsers_of({k: t for k in sorted(texts) if (t := " ".join(x for _, x in sorted(texts[k]) if x))})
 
 
-def _encode(texts: pa.Array, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode(texts: pa.Array, of: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, runs of spaces as one, and the bounds of each text."""
     raw = [x.encode("utf-32-le", "surrogatepass") for x in texts.to_pylist()]
     bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
     points = np.frombuffer(b"".join(raw), np.uint32)
-    codes = symbols[np.minimum(points, 65535)]
-    high = np.flatnonzero(points > 65535)
-    if len(high):
-        codes[high] = [int(chr(c).isalpha()) for c in points[high].tolist()]
+    table = np.zeros(0x110000, np.int32)
+    table[points] = 1
+    for c in np.flatnonzero(table).tolist():
+        table[c] = of.get(_fold(chr(c)), 1)
+    codes = table[points]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     starts = bounds[:-1][bounds[:-1] < len(codes)]
@@ -140,33 +186,42 @@ def _encode(texts: pa.Array, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
+def _parse(codes: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, parsers: Parsers) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that each block begins in each language when entered in the given states, and the states it ends in."""
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
+    counts, state = np.zeros(entry.shape, np.int32), entry[order]
+    for t in range(int(length[0])):
+        a = active[t]
+        c = codes[start[:a] + t]
+        to = parsers.follow(state[:a], c[:, None])
+        again = parsers.first[:, c].T
+        fresh = (to < 0) | (state[:a] == parsers.roots)
+        counts[:a] += fresh
+        # A symbol that no phrase starts with is a phrase of its own: it leads back to the root.
+        state[:a] = np.where(fresh, again, to)
+    back = np.argsort(order)
+    return counts[back], state[back]
+
+
 def phrase_counts(codes: np.ndarray, bounds: np.ndarray, parsers: Parsers) -> np.ndarray:
     """Phrases of each text (rows) in each language (columns)."""
-    n_langs = len(parsers.languages)
     sizes = np.diff(bounds)
+    out = np.zeros((len(sizes), len(parsers.languages)), np.int64)
     blocks = -(-sizes // BLOCK)
     row = np.repeat(np.arange(len(sizes)), blocks)
+    if not len(row):
+        return out
     nth = np.arange(len(row)) - (np.cumsum(blocks) - blocks)[row]
     start = bounds[:-1][row] + nth * BLOCK
     length = np.minimum(BLOCK, bounds[1:][row] - start)
-    order = np.argsort(-length, kind="stable")
-    start, length, row = start[order], length[order], row[order]
-    counts = np.zeros((len(row), n_langs), np.int32)
-    if not len(row):
-        return np.zeros((len(sizes), n_langs), np.int64)
-    active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
-    state = np.tile(parsers.roots, (len(row), 1))
-    roots = parsers.roots.astype(np.int64) * parsers.width
-    for t in range(int(length[0])):
-        a = active[t]
-        c = codes[start[:a] + t].astype(np.int64)[:, None]
-        to = parsers.table[state[:a] * np.int64(parsers.width) + c]
-        again = parsers.table[roots + c]
-        fresh = (to < 0) | (state[:a] == parsers.roots)
-        counts[:a] += fresh
-        # A symbol that no phrase starts with is a phrase of its own.
-        state[:a] = np.where(fresh, np.where(again < 0, parsers.roots, again), to)
-    out = np.zeros((len(sizes), n_langs), np.int64)
+    entry = np.tile(parsers.roots, (len(row), 1))
+    counts, state = _parse(codes, start, length, entry, parsers)
+    later = np.flatnonzero(nth)
+    while len(wrong := later[(entry[later] != state[later - 1]).any(axis=1)]):
+        entry[wrong] = state[wrong - 1]
+        counts[wrong], state[wrong] = _parse(codes, start[wrong], length[wrong], entry[wrong], parsers)
     np.add.at(out, row, counts)
     return out
 
@@ -179,7 +234,7 @@ def predict(docs: DataFrame, parsers: Parsers, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Parsers = shared.value
-        symbols = model.symbols()
+        of = {c: i + 2 for i, c in enumerate(model.alphabet)} | {" ": 0}
         for batch in batches:
             names, scores = [], []
             texts = pc.fill_null(batch.column(at), "")
@@ -187,7 +242,7 @@ def predict(docs: DataFrame, parsers: Parsers, text: str = "text") -> DataFrame:
             first = 0
             while first < len(texts):
                 last = max(int(np.searchsorted(weight, weight[first] + TOGETHER, side="right")) - 1, first + 1)
-                codes, bounds = _encode(texts.slice(first, last - first), symbols)
+                codes, bounds = _encode(texts.slice(first, last - first), of)
                 sizes = np.diff(bounds)
                 if model.languages:
                     rate = phrase_counts(codes, bounds, model) * model.weights / np.maximum(sizes, 1)[:, None]

@@ -424,12 +424,7 @@ def test_phrases_are_the_longest_matches():
     rnd = random.Random(2)
     train = "".join(rnd.choice("ab ") for _ in range(200))
     of = {" ": 0, "a": 2, "b": 3}
-    moves = langid.suffix_automaton([of[c] for c in train])
-    table = np.full((len(moves), 4), -1, np.int32)
-    for s, out in enumerate(moves):
-        for c, to in out.items():
-            table[s, c] = to
-    parsers = langid.Parsers(["x"], np.ones(1), np.zeros(1, np.int32), table.ravel(), 4, "ab")
+    parsers = langid.parsers_of({"x": train})
     texts = ["".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, 80))) for _ in range(50)]
     codes = [[of.get(c, 1) for c in t] for t in texts]
 
@@ -446,6 +441,63 @@ def test_phrases_are_the_longest_matches():
     assert langid.phrase_counts(flat, bounds, parsers)[:, 0].tolist() == [greedy(t) for t in texts]
 
 
+def _greedy(text, train):
+    """Phrases of a text by the plain reading of the method."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in train:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_phrases_run_on_across_blocks(monkeypatch):
+    rnd = random.Random(3)
+    trains = {"x": "".join(rnd.choice("ab ") for _ in range(300)) + "a" * 40, "y": "".join(rnd.choice("bc ") for _ in range(300))}
+    texts = ["".join(rnd.choice("abcd ") for _ in range(10_000)), "a" * 10_000, "ab" * 3, "", trains["x"] * 20]
+    texts = [langid._letters(t) for t in texts]
+    codes, bounds = langid._encode(pa.array(texts), {"a": 2, "b": 3, "c": 4, " ": 0})
+    expected = [[_greedy(t, train) for train in trains.values()] for t in texts]
+    for block in (7, 100, 4096, 1 << 20):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert langid.phrase_counts(codes, bounds, langid.parsers_of(trains)).tolist() == expected
+
+
+def test_transitions_are_bounded_by_the_training_text():
+    rnd = random.Random(4)
+    trains = {k: "".join(chr(base + rnd.randrange(6000)) for _ in range(16_000)) for k, base in (("han", 0x4E00), ("high", 0x20000))}
+    parsers = langid.parsers_of(trains)
+    assert sum(x.nbytes for x in (parsers.keys, parsers.values, parsers.first)) < 8 << 20
+    codes, bounds = langid._encode(pa.array([trains["han"][50:90], trains["high"][7:60], "z"]), {c: i + 2 for i, c in enumerate(parsers.alphabet)} | {" ": 0})
+    counts = langid.phrase_counts(codes, bounds, parsers)
+    assert counts[0, 0] == counts[1, 1] == 1 and counts[0, 1] == 40 and counts[1, 0] == 53 and counts[2].tolist() == [1, 1]
+
+
+def test_language_predictions_equal_a_plain_model(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    usable = id_bucket(F.col("doc_id"), 4) != 2
+    # With room for every passage the training text is all usable text, in some order of passages.
+    parsers = langid.learn(d, usable, train_rows=40, passage=200)
+    again = langid.learn(d.repartition(7), usable, train_rows=40, passage=200)
+    assert parsers.languages == again.languages and (parsers.keys == again.keys).all()
+    whole = langid.learn(d.unionByName(d), usable, train_rows=40, passage=200)
+    assert (whole.keys == parsers.keys).all()
+    trains = {}
+    rows = d.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda k: F.xxhash64(F.col("doc_id").cast("string"), k)).alias("u")).collect()
+    for r in rows:
+        if any(c.isalpha() for c in r.text):
+            pieces = [r.text[i : i + 200] for i in range(0, len(r.text), 200)]
+            trains.setdefault(r.lang, set()).update(zip(r.u, pieces, strict=False))
+    trains = {k: " ".join(x for x in (langid._letters(p) for _, p in sorted(v)[:40]) if x) for k, v in sorted(trains.items())}
+    assert parsers.languages == list(trains) and parsers.weights.tolist() == [np.log2(len(t) + 1) for t in trains.values()]
+    for r in langid.predict(d, parsers).limit(12).collect():
+        t = langid._letters(r.text or "")
+        if t:
+            cost = {k: _greedy(t, x) * np.log2(len(x) + 1) for k, x in trains.items()}
+            assert r.lang_pred == min(cost, key=lambda k: (cost[k], k))
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     held = id_bucket(F.col("doc_id"), 4) == 2
