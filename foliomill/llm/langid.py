@@ -36,8 +36,13 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Letters and spaces of a text parsed in a row before the next block of the same text is begun beside it.
-BLOCK = 4096
+BLOCK = 1024
+#: Rounds in which all blocks with another entry are parsed again; after them only the first such block of each text
+#: is, so that texts whose parses never meet (long runs of one letter) take linear time too.
+GUESSES = 4
 MOST_LANGUAGES = 256
+STATE_BITS = 24
+LAST_STATE = (1 << STATE_BITS) - 1
 #: Letters and spaces parsed together; bounds a worker's memory.
 TOGETHER = 4 << 20
 
@@ -80,8 +85,7 @@ class Parsers:
     weights: np.ndarray  # log2 of the training length
     roots: np.ndarray  # first state of each language
     first: np.ndarray  # states that each symbol leads to from the roots (rows: languages), the root itself if none
-    keys: np.ndarray  # state * width + symbol at its hashed slot or after it, -1 in free slots
-    values: np.ndarray
+    table: np.ndarray  # key << STATE_BITS | next state, at one of the key's two slots; -1 in free ones
     alphabet: str  # symbol i + 2; 0 is the space, 1 any other letter
 
     @property
@@ -91,23 +95,39 @@ class Parsers:
     def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """States that the symbols lead to, -1 where none does."""
         keys = (states * self.width + symbols).ravel()
-        slots = _slots(keys, len(self.keys))
-        found = self.keys[slots]
-        to = np.where(found == keys, self.values[slots], -1)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        while len(open_):
-            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
-            found = self.keys[slots[open_]]
-            hit = found == keys[open_]
-            to[open_[hit]] = self.values[slots[open_[hit]]]
-            open_ = open_[~hit & (found >= 0)]
+        one, two = (self.table[x] for x in _slots(keys, len(self.table)))
+        hit = np.where(one >> STATE_BITS == keys, one, two)
+        to = hit & LAST_STATE
+        to[hit >> STATE_BITS != keys] = -1
         return to.reshape(states.shape)
 
 
-def _slots(keys: np.ndarray, size: int) -> np.ndarray:
-    """Slots in a table whose size is a power of two."""
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+def _slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each key in a table whose size is a power of two."""
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    shift = np.uint64(64 - size.bit_length() + 1)
+    return (mixed >> shift).view(np.int64), ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> shift).view(np.int64)
+
+
+def _cuckoo(entries: np.ndarray) -> np.ndarray:
+    """A table of the entries, each at one of its key's two slots: a newcomer sends the entry there to its other one."""
+    size = 1 << max((2 * len(entries)).bit_length(), 4)
+    while True:
+        table, left = np.full(size, -1, np.int64), entries
+        at = _slots(left >> STATE_BITS, size)[0]
+        for _ in range(200):
+            slots, put = np.unique(at, return_index=True)
+            out = table[slots]
+            table[slots] = left[put]
+            waiting = np.ones(len(left), bool)
+            waiting[put] = False
+            moved = out >= 0
+            one, two = _slots(out[moved] >> STATE_BITS, size)
+            left = np.concatenate([left[waiting], out[moved]])
+            at = np.concatenate([at[waiting], np.where(slots[moved] == one, two, one)])
+            if not len(left):
+                return table
+        size *= 2
 
 
 def parsers_of(texts: dict[str, str]) -> Parsers:
@@ -126,19 +146,10 @@ def parsers_of(texts: dict[str, str]) -> Parsers:
         values += [at + to for out in moves for to in out.values()]
         roots.append(at)
         at += len(moves)
-    size = 1 << max((2 * len(keys)).bit_length(), 4)
-    table, leads = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-    left, to = np.array(keys, np.int64), np.array(values, np.int32)
-    slots = _slots(left, size)
-    while len(left):
-        free = np.flatnonzero(table[slots] < 0)
-        _, one = np.unique(slots[free], return_index=True)
-        put = free[one]
-        table[slots[put]], leads[slots[put]] = left[put], to[put]
-        rest = np.ones(len(left), bool)
-        rest[put] = False
-        left, to, slots = left[rest], to[rest], (slots[rest] + 1) & (size - 1)
-    return Parsers(list(texts), np.array([math.log2(len(t) + 1) for t in texts.values()]), np.array(roots, np.int64), first, table, leads, alphabet)
+    if at > LAST_STATE or at * width >> (63 - STATE_BITS):
+        raise ValueError("too many states: take fewer or shorter passages")
+    table = _cuckoo(np.array(keys, np.int64) << STATE_BITS | np.array(values, np.int64))
+    return Parsers(list(texts), np.array([math.log2(len(t) + 1) for t in texts.values()]), np.array(roots, np.int64), first, table, alphabet)
 
 
 def _fold(c: str) -> str:
@@ -218,8 +229,11 @@ def phrase_counts(codes: np.ndarray, bounds: np.ndarray, parsers: Parsers) -> np
     length = np.minimum(BLOCK, bounds[1:][row] - start)
     entry = np.tile(parsers.roots, (len(row), 1))
     counts, state = _parse(codes, start, length, entry, parsers)
-    later = np.flatnonzero(nth)
+    later, rounds = np.flatnonzero(nth), 0
     while len(wrong := later[(entry[later] != state[later - 1]).any(axis=1)]):
+        rounds += 1
+        if rounds > GUESSES:
+            wrong = wrong[np.unique(row[wrong], return_index=True)[1]]
         entry[wrong] = state[wrong - 1]
         counts[wrong], state[wrong] = _parse(codes, start[wrong], length[wrong], entry[wrong], parsers)
     np.add.at(out, row, counts)

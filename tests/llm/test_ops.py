@@ -468,7 +468,7 @@ def test_transitions_are_bounded_by_the_training_text():
     rnd = random.Random(4)
     trains = {k: "".join(chr(base + rnd.randrange(6000)) for _ in range(16_000)) for k, base in (("han", 0x4E00), ("high", 0x20000))}
     parsers = langid.parsers_of(trains)
-    assert sum(x.nbytes for x in (parsers.keys, parsers.values, parsers.first)) < 8 << 20
+    assert sum(x.nbytes for x in (parsers.table, parsers.first)) < 8 << 20
     codes, bounds = langid._encode(pa.array([trains["han"][50:90], trains["high"][7:60], "z"]), {c: i + 2 for i, c in enumerate(parsers.alphabet)} | {" ": 0})
     counts = langid.phrase_counts(codes, bounds, parsers)
     assert counts[0, 0] == counts[1, 1] == 1 and counts[0, 1] == 40 and counts[1, 0] == 53 and counts[2].tolist() == [1, 1]
@@ -480,9 +480,9 @@ def test_language_predictions_equal_a_plain_model(spark):
     # With room for every passage the training text is all usable text, in some order of passages.
     parsers = langid.learn(d, usable, train_rows=40, passage=200)
     again = langid.learn(d.repartition(7), usable, train_rows=40, passage=200)
-    assert parsers.languages == again.languages and (parsers.keys == again.keys).all()
+    assert parsers.languages == again.languages and (parsers.table == again.table).all()
     whole = langid.learn(d.unionByName(d), usable, train_rows=40, passage=200)
-    assert (whole.keys == parsers.keys).all()
+    assert (whole.table == parsers.table).all()
     trains = {}
     rows = d.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda k: F.xxhash64(F.col("doc_id").cast("string"), k)).alias("u")).collect()
     for r in rows:
