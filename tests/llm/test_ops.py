@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +130,79 @@ def test_html_formulas_and_graphics():
     assert html_text.render("<desc>kept</desc><p>a") == "kept\n\na"
 
 
+def test_html_visibility_is_inherited_and_taken_back():
+    assert html_text.render('<div style="visibility:hidden">no<b style="visibility: visible">yes<i>too</i></b><ul><li>no<li style="visibility:visible">item</ul></div>end').split() == ["yestoo", "-", "item", "end"]
+    assert html_text.render('<div style="display:none">no<b style="visibility:visible">no</b></div>end') == "end"
+    assert html_text.render('<table><tr><td style="visibility:hidden">ab<td>c<tr><td>defg<td>h</table>') == "      c\ndefg  h"
+
+
+def test_html_spans_keep_columns():
+    assert html_text.render("<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>dddd<td>e<tr><td>f<td>g<td>h</table>") == "aa  b     c\n    dddd  e\nf   g     h"
+    assert html_text.render("<table><tr><td colspan=2>wide<td>x<tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e</table>") == "wide  x\na  b  c\nd     e"
+    assert html_text.render("<table><tr><td colspan=1000 rowspan=99999>a<td>b<tr><td>c</table>") == "a  b\n   c"
+
+
+def test_html_unclosed_markup():
+    assert html_text.render("<p>a < b and <c d") == "a < b and"
+    assert html_text.render("<p title='it>shown</p><p>too</p>") == "shown\n\ntoo"
+    assert html_text.render("<a href=x'y>link</a> <b title=\"a>b\">c</b>") == "link c"
+
+
+HOSTILE = {
+    "unclosed tags": "a <b " * 200_000,
+    "open brackets": "<" * 1_000_000,
+    "comparisons": "a < b and <c " * 80_000,
+    "quotes": "<a x='" * 150_000,
+    "equal signs": "<a " + "= " * 500_000,
+    "elements": "<div>x" * 150_000,
+    "inline": "<b>x" * 200_000,
+    "lists": "<ul><li>x" * 100_000,
+    "tables": "<table><tr><td>x" * 60_000,
+    "columns": "<table><tr>" + "<td colspan=1000>x" * 50_000,
+    "rows": "<table>" + "<tr><td rowspan=1000>x" * 40_000,
+    "raw": "<script></script" * 60_000,
+    "end tags": "</p>" * 250_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_html_hostile_pages_take_linear_time(kind):
+    start = time.process_time()
+    html_text.render(HOSTILE[kind])
+    assert time.process_time() - start < 30
+
+
+class _Visible(HTMLParser):
+    """Words of a page by the standard library's parser, without layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.skip, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag not in html_text.VOID and (self.skip or tag in html_text.HIDDEN or "hidden" in given or "none" in (given.get("style") or "")):
+            self.skip.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+
+
+def test_html_shows_what_another_parser_finds(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        other = _Visible()
+        other.feed(r.html or "")
+        squeezed = "".join("".join(other.out).split())
+        shown = iter("".join(html_text.render(r.html).split()))
+        assert all(c in shown for c in squeezed)  # in this order
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
