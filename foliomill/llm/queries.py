@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, quality_knn, quality_rules, sharding, suffix_dedup
+from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, periodic_runs, quality_knn, quality_rules, sharding, suffix_dedup
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -149,6 +149,40 @@ FROM norm_docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _with_repeated_words(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a crc32 divisible by ten: from word a on, the words repeat with a period. Null ids and texts
+    without words stay as they are."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(code / 10)
+    words = F.col("__words")
+    n = F.size(words)
+    a, rest = F.col("__from"), n - F.col("__from")
+    period = (1 + F.floor(rest / (3 + g % 8))).cast("int")
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % period)))
+    split = F.when(code % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    prepared = docs.withColumn("__words", split).withColumn("__from", F.when(n > 0, (g % n).cast("int")))
+    return prepared.withColumn("text", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).drop("__words", "__from")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more, after repeats were put into a tenth of the documents."""
+    docs = _with_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs, 12)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("__best", F.when(F.size("runs") > 0, longest))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("__best.s").alias("start"),
+        (-F.col("__best.l")).alias("length"),
+        F.col("__best.p").alias("period"),
+        F.floor(-1000 * F.col("__best.l") / F.col("__best.p")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
@@ -160,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_benchmark_hits": op10_benchmark_hits,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op2_poisson_mix": OP2_SQL, "op8_quality_rules": OP8_SQL, "op10_benchmark_hits": OP10_SQL}
