@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, periodic_runs, quality_knn, quality_rules, sharding, suffix_dedup
+from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, packing, periodic_runs, quality_knn, quality_rules, sharding, suffix_dedup
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -183,6 +184,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens of the 50k byte-level vocabulary; documents end with id 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=0)
+    return packing.pack(pieces, 2048).select("doc_id", *packing.PIECE, "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
@@ -195,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_benchmark_hits": op10_benchmark_hits,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_pack_sequences": op12_pack_sequences,
 }
 
 ORACLES: dict[str, str] = {"op2_poisson_mix": OP2_SQL, "op8_quality_rules": OP8_SQL, "op10_benchmark_hits": OP10_SQL}
