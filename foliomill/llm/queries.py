@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, packing, periodic_runs, quality_knn, quality_rules, sharding, suffix_dedup
+from foliomill.llm import decontam, html_text, jaccard_join, langid, lm_score, mixing, packing, periodic_runs, quality_knn, quality_rules, sharding, suffix_dedup, whitening
 from foliomill.llm.common import id_bucket, table
 
 SHARDS = 24
@@ -191,6 +191,25 @@ def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 2048).select("doc_id", *packing.PIECE, "sequence_id", "offset")
 
 
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 components of all embeddings, one row for each vector and component."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.learn(vectors, components=32)
+    white = whitening.transform(vectors, model)
+    error = whitening.identity_error(white, model)
+    explained = F.array(*[F.lit(float(v)) for v in model.explained])
+    rows = white.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).cast("double").alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_poisson_mix": op2_poisson_mix,
@@ -204,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_hits": op10_benchmark_hits,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_pack_sequences": op12_pack_sequences,
+    "op13_whiten_embeddings": op13_whiten_embeddings,
 }
 
 ORACLES: dict[str, str] = {"op2_poisson_mix": OP2_SQL, "op8_quality_rules": OP8_SQL, "op10_benchmark_hits": OP10_SQL}
