@@ -9,7 +9,9 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from foliomill.operators import store as T
 from foliomill.plans import fixtures as X
 from foliomill.plans.enrichment import UPDATES_SQL, _updates
+from foliomill.plans.live import stream_of
 from foliomill.plans.reading import BOOKS_SQL, books
+from foliomill.sources.scratch import shared_folder
 from foliomill.streaming import progress as G
 
 
@@ -76,28 +78,19 @@ def job_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = X.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(spark, d))
     state = F.when(F.length("event_type") % 3 == 0, "failed").when(F.length("event_type") % 3 == 1, "completed").otherwise("pending")
-    return events.where("event_id IS NOT NULL").select(F.col("user_id").alias("job_id"), state.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-
-
-def _folder(spark: SparkSession, d: str) -> str:
-    """A stream reads folders: the table's own, or - for a table of one file - a glob that only this file matches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    is_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-    return f"{d}/event[s].parquet" if is_file else f"{d}/events.parquet"
+    return stream_of(spark, d, "events").select(F.col("user_id").alias("job_id"), state.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
-    """The same counts from a stream over the events, drained into memory."""
+    """The same counts from a stream over the events."""
     stream = G.job_progress(_event_stream(spark, d), until="100000 hours")
-    return G.run_to_memory(stream, "stream_job_progress", "complete").select("job_id", "total", "completed", "failed", "pending", "status")
+    return G.drain_complete(stream, shared_folder(spark)).select("job_id", "total", "completed", "failed", "pending", "status")
 
 
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = G.windowed_counts(_event_stream(spark, d), "1 day", "100000 hours")
-    return G.run_to_memory(stream, "stream_windowed_counts", "complete").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n")
+    return G.drain_complete(stream, shared_folder(spark)).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n")
 
 
 def progress_frames(spark: SparkSession, d: str) -> DataFrame:

@@ -40,12 +40,18 @@ def windowed_counts(updates: DataFrame, width: str = "1 hour", late: str = "2 ho
     return stream.groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "status", "n")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Drain what a stream has so far into a table of the session, and return it."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain_complete(stream: DataFrame, folder: str) -> DataFrame:
+    """The result of an aggregating stream over what it has so far: each micro-batch writes the whole result to a folder of its
+    own, the last one is read back."""
+    epochs: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/e{epoch:09d}")
+        epochs.append(epoch)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    reader = stream.sparkSession.read.schema(stream.schema)
+    return reader.parquet(f"{folder}/result/e{max(epochs):09d}")
 
 
 def upsert_pages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -117,7 +117,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, "completed", 0), (1, "failed", 5), (2, "pending", 9)], "job_id long, status string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = G.run_to_memory(G.job_progress(stream), "stream_test", "complete", str(tmp_path / "check"))
+    got = G.drain_complete(G.job_progress(stream), str(tmp_path / "drained"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, G.job_progress(rows).collect()))
 
 
