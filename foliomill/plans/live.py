@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.operators import scans as S
 from foliomill.plans import fixtures as X
 from foliomill.sources.scratch import shared_folder
 from foliomill.streaming import keyed as K
@@ -55,7 +56,35 @@ def stream_page_progress(spark: SparkSession, d: str) -> DataFrame:
     return K.drain(stream, f"{folder}/frames", f"{folder}/checkpoint")
 
 
-QUERIES = {"stream_job_frames": stream_job_frames, "stream_page_progress": stream_page_progress}
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as commands about one chapter."""
+    event, n = F.col("event_type"), F.col("event_id")
+    ended = F.element_at(F.array(*[F.lit(f"finish_{s}") for s in ("completed", "partial", "failed")]), (n % 3 + 1).cast("int"))
+    command = F.when(event == "signup", "start").when(event == "view", "open").when(event == "error", ended).when(event == "click", F.when(n % 2 == 0, "pause").otherwise("resume"))
+    return X.table(spark, d, "events").select(F.col("user_id").alias("chapter_id"), "ts", "event_id", command.otherwise(F.when(n % 7 == 0, "unheard-of").otherwise("retry")).alias("command"))
+
+
+COMMANDS_SQL = """commands AS (SELECT user_id AS chapter_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'open'
+  WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'finish_completed' WHEN 1 THEN 'finish_partial' ELSE 'finish_failed' END WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'pause' ELSE 'resume' END
+  ELSE CASE WHEN event_id % 7 = 0 THEN 'unheard-of' ELSE 'retry' END END AS command FROM events)"""
+
+
+def job_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Every command with the state of its chapter's job before and after, and whether it was refused."""
+    done = S.judged(commands(spark, d), S.CHAPTER_JOB, ["chapter_id"], ["ts", "event_id"])
+    return done.select("chapter_id", "event_id", "command", "state_before", "state_after", "code", "accepted")
+
+
+def book_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Events as commands about the parsing of books: a second parse is refused while one goes on."""
+    event = F.col("event_type")
+    command = F.when(event == "signup", "parse").when(event == "click", "pages_done").when(event == "view", "assembled").when((event == "error") | (F.col("event_id") % 11 > 0), "crash").otherwise("delete")
+    log = X.table(spark, d, "events").select((F.col("user_id") % 97).alias("book_id"), "ts", "event_id", command.alias("command"))
+    done = S.judged(log, S.BOOK_PARSE, ["book_id"], ["ts", "event_id"])
+    return done.select("book_id", "event_id", "command", "state_before", "state_after", "code")
+
+
+QUERIES = {"stream_job_frames": stream_job_frames, "stream_page_progress": stream_page_progress, "job_commands": job_commands, "book_commands": book_commands}
 
 ORACLES = {
     "stream_job_frames": f"""WITH {UPDATES_SQL},
@@ -75,4 +104,33 @@ UNION ALL SELECT job_id, event_id, 'data: {{"error":"job not found"}}' || chr(10
 told AS (SELECT *, max(page_number) OVER (PARTITION BY book_id) AS total, count(*) FILTER (page_number % 5 = 0) OVER (PARTITION BY book_id ORDER BY page_number) AS failed FROM pages)
 SELECT book_id, page_number, 'data: {{"book_id":' || book_id || ',"status":"' || CASE WHEN page_number < total THEN 'parsing' WHEN failed = total THEN 'failed' ELSE 'completed' END || '","total_pages":' || total
   || ',"parsed_pages":' || page_number || ',"failed_pages":' || failed || ',"progress":' || format('{{:.1f}}', page_number / total * 100) || '}}' || chr(10) || chr(10) AS frame, page_number = total AS terminal FROM told""",
+    "job_commands": f"""WITH RECURSIVE {COMMANDS_SQL},
+walk AS (
+  SELECT chapter_id, 0 AS r, CAST(NULL AS BIGINT) AS event_id, '' AS command, 'none' AS state_before, 'none' AS state_after, 0 AS code FROM (SELECT DISTINCT chapter_id FROM commands)
+  UNION ALL
+  SELECT c.chapter_id, c.r, c.event_id, c.command, s,
+    CASE WHEN c.command IN ('start', 'open') AND s = 'none' THEN 'running' WHEN c.command = 'pause' AND s = 'running' THEN 'paused' WHEN c.command = 'resume' AND s = 'paused' THEN 'running'
+      WHEN c.command = 'retry' AND s IN ('partial', 'failed') THEN 'running' WHEN c.command LIKE 'finish_%' AND s = 'running' THEN substr(c.command, 8) ELSE s END,
+    CASE c.command
+      WHEN 'start' THEN CASE WHEN s = 'none' THEN 200 WHEN s IN ('running', 'paused') THEN 409 ELSE 400 END
+      WHEN 'open' THEN CASE WHEN s = 'none' THEN 200 ELSE 204 END
+      WHEN 'pause' THEN CASE s WHEN 'running' THEN 200 WHEN 'paused' THEN 204 ELSE 404 END
+      WHEN 'resume' THEN CASE s WHEN 'paused' THEN 200 WHEN 'running' THEN 204 ELSE 404 END
+      WHEN 'retry' THEN CASE WHEN s IN ('partial', 'failed') THEN 200 WHEN s = 'completed' THEN 204 WHEN s = 'none' THEN 404 ELSE 409 END
+      WHEN 'unheard-of' THEN 400
+      ELSE CASE WHEN s = 'running' THEN 200 ELSE 409 END END
+  FROM (SELECT chapter_id, r, state_after AS s FROM walk) w JOIN commands c ON c.chapter_id IS NOT DISTINCT FROM w.chapter_id AND c.r = w.r + 1)
+SELECT chapter_id, event_id, command, state_before, state_after, code, code = 200 AS accepted FROM walk WHERE r > 0""",
+    "book_commands": """WITH RECURSIVE commands AS (SELECT user_id % 97 AS book_id, event_id, row_number() OVER (PARTITION BY user_id % 97 ORDER BY ts, event_id) AS r,
+  CASE event_type WHEN 'signup' THEN 'parse' WHEN 'click' THEN 'pages_done' WHEN 'view' THEN 'assembled' WHEN 'error' THEN 'crash' ELSE CASE WHEN event_id % 11 > 0 THEN 'crash' ELSE 'delete' END END AS command FROM events),
+walk AS (
+  SELECT book_id, 0 AS r, CAST(NULL AS BIGINT) AS event_id, '' AS command, 'pending' AS state_before, 'pending' AS state_after, 0 AS code FROM (SELECT DISTINCT book_id FROM commands)
+  UNION ALL
+  SELECT c.book_id, c.r, c.event_id, c.command, s,
+    CASE WHEN s = 'deleted' THEN s WHEN c.command = 'delete' THEN 'deleted' WHEN c.command = 'parse' AND s NOT IN ('parsing', 'assembling') THEN 'parsing' WHEN c.command = 'pages_done' AND s = 'parsing' THEN 'assembling'
+      WHEN c.command = 'assembled' AND s = 'assembling' THEN 'completed' WHEN c.command = 'crash' AND s IN ('parsing', 'assembling') THEN 'failed' ELSE s END,
+    CASE c.command WHEN 'parse' THEN CASE s WHEN 'parsing' THEN 409 WHEN 'assembling' THEN 409 WHEN 'deleted' THEN 404 ELSE 200 END WHEN 'pages_done' THEN CASE s WHEN 'parsing' THEN 200 ELSE 409 END
+      WHEN 'assembled' THEN CASE s WHEN 'assembling' THEN 200 ELSE 409 END WHEN 'crash' THEN CASE WHEN s IN ('parsing', 'assembling') THEN 200 ELSE 204 END ELSE CASE s WHEN 'deleted' THEN 404 ELSE 200 END END
+  FROM (SELECT book_id, r, state_after AS s FROM walk) w JOIN commands c ON c.book_id IS NOT DISTINCT FROM w.book_id AND c.r = w.r + 1)
+SELECT book_id, event_id, command, state_before, state_after, code FROM walk WHERE r > 0""",
 }

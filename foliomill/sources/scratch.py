@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/foliomill-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write df to a shared folder and read it back: its lineage ends there, and lost executors cost a stage at most."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -136,10 +136,14 @@ class _Processor(StatefulProcessor):
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """A session of its own for streams with keyed state: its state store is a setting of the session."""
+    """A session of its own for streams with keyed state: its state store is a setting of the session.
+
+    A state store is opened for each shuffle partition, and their number stays with the checkpoint for good.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(setting, spark.conf.get(setting))
     return own
 
 
