@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 # Prefixes and suffixes that make a hyphenated word certain.
 PREFIXES = (
-    "anti auto bi co counter de dis down extra fore hyper il im in inter ir macro mal micro mid mis mono multi non out over "
-    "poly post pre pro re semi sub super tele trans tri ultra un under up"
-).split()
+    "anti", "auto", "bi", "co", "counter", "de", "dis", "down", "extra", "fore", "hyper", "il", "im", "in", "inter",
+    "ir", "macro", "mal", "micro", "mid", "mis", "mono", "multi", "non", "out", "over", "poly", "post", "pre", "pro",
+    "re", "semi", "sub", "super", "tele", "trans", "tri", "ultra", "un", "under", "up",
+)
 SUFFIXES = (
-    "able age al ance ant ary dom ed en ence er est ful hood ial ian ible ic ical ing ion ious ish ist ity ive ization ize less "
-    "like ling logy ly ment ness or ous ry ship sion some tail tion ture ty ward wise y"
-).split()
+    "able", "age", "al", "ance", "ant", "ary", "dom", "ed", "en", "ence", "er", "est", "ful", "hood", "ial", "ian",
+    "ible", "ic", "ical", "ing", "ion", "ious", "ish", "ist", "ity", "ive", "ization", "ize", "less", "like", "ling",
+    "logy", "ly", "ment", "ness", "or", "ous", "ry", "ship", "sion", "some", "tail", "tion", "ture", "ty", "ward",
+    "wise", "y",
+)
 
 # Patterns of chapter headings, matched at the start of the stripped text.
 HEADINGS = (
@@ -32,7 +35,7 @@ HEADINGS = (
 )
 
 # Fixed value: a text of these characters only is garbage.
-PUNCTUATION_ONLY = "^[\\s\\-–—•· ﻿.,;:!?\"'‘()\\[\\]{}<>«»‥…・《》、，。；：？！【】「-』〔〕]+$"
+PUNCTUATION_ONLY = "^[\\s\\-–—•· ﻿.,;:!?\"'‘()\\[\\]{}<>«»‥…・《》、，。；：？！【】「」『』〔〕]+$"
 
 FULL_TEXT, FRONT_MATTER, WHOLE_BOOK = "全文", "Front Matter", "全书"
 
@@ -41,6 +44,14 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def strip_left(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+", "")
+
+
+def strip_right(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\s+$", "")
+
+
 def non_space_count(x: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s", ""))
 
@@ -122,7 +133,7 @@ def starts_upper(x: Column) -> Column:
 def joins_by_hyphen(first: Column, second: Column) -> Column:
     """Whether two parts of a hyphenated word are surely one word."""
     both = F.length(first) + F.length(second)
-    certain = F.lower(second).isin(SUFFIXES) | F.lower(first).isin(PREFIXES) | (~starts_upper(first) & ~starts_upper(second) & (both >= 6))
+    certain = F.lower(second).isin(*SUFFIXES) | F.lower(first).isin(*PREFIXES) | (~starts_upper(first) & ~starts_upper(second) & (both >= 6))
     return (F.length(first) > 2) & (F.length(second) > 2) & (both >= 5) & certain
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomill.functions.rounding import py_round
-from foliomill.functions.text import PREFIXES, SUFFIXES, strip
+from foliomill.functions.text import joins_by_hyphen, needs_space, strip, strip_left, strip_right
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -71,80 +71,82 @@ def merge_same_line(blocks: DataFrame) -> DataFrame:
     """Join the boxes of a page that stand on one line.
 
     Boxes go, by height, to the first group whose first box is within 0.4 median heights. That depends on the groups
-    made so far, so each page is one fold.
+    made so far, so the boxes of a page are one array (a page is bounded) and each takes its group from the centres before it.
     """
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y1", "line_idx"], kind="stable")
-        near = float((page["y2"] - page["y1"]).median()) * 0.4
-        groups: list[tuple[float, list]] = []
-        for b in page.itertuples(index=False):
-            centre = (b.y1 + b.y2) / 2
-            for seed, members in groups:
-                if abs(centre - seed) < near:
-                    members.append(b)
-                    break
-            else:
-                groups.append((centre, [b]))
-        out = []
-        for nth, (_, members) in enumerate(groups):
-            members.sort(key=lambda b: b.x1)
-            text, weight, total = "", 0.0, 0
-            for before, b in zip([None, *members], members, strict=False):
-                text += (" " if before is not None and _apart(before, b) else "") + b.text
-                weight += b.confidence * len(b.text)
-                total += len(b.text)
-            out.append((members[0].book_id, members[0].page_number, nth, text, *(f(getattr(b, c) for b in members) for c, f in zip(BOX, (min, min, max, max), strict=True)), round(weight / total, 4) if total else 0.0, members[0].page_w, members[0].page_h))
-        return pd.DataFrame(out, columns=_LINE_COLUMNS)
-
-    return blocks.select(_LINE_COLUMNS).groupBy("book_id", "page_number").applyInPandas(fold, _LINE_SCHEMA)
+    filled = blocks.select(_LINE_COLUMNS).withColumn("text", F.coalesce("text", F.lit("")))
+    box = F.struct("y1", "line_idx", "x1", "x2", "y2", "text", "confidence", "page_w", "page_h")
+    pages = filled.groupBy("book_id", "page_number").agg((F.median(F.col("y2") - F.col("y1")) * 0.4).alias("near"), F.array_sort(F.collect_list(box)).alias("boxes"))
+
+    def place(state: Column, b: Column) -> Column:
+        centre = (b["y1"] + b["y2"]) / 2
+        home = F.array_position(F.transform(state["seeds"], lambda s: F.abs(centre - s) < F.col("near")), True)
+        own = F.when(home > 0, home.cast("int") - 1).otherwise(F.size(state["seeds"]))
+        seeds = F.when(home > 0, state["seeds"]).otherwise(F.concat(state["seeds"], F.array(centre)))
+        return F.struct(seeds.alias("seeds"), F.concat(state["own"], F.array(own)).alias("own"))
+
+    nothing = F.struct(F.array().cast("array<double>").alias("seeds"), F.array().cast("array<int>").alias("own"))
+    placed = pages.select("book_id", "page_number", "boxes", F.aggregate("boxes", nothing, place, lambda s: s["own"]).alias("own"))
+    members = placed.select("book_id", "page_number", F.posexplode(F.arrays_zip("boxes", "own")).alias("at", "b"))
+    own = F.array_sort(F.collect_list(F.struct("b.boxes.x1", "at", "b.boxes.text", "b.boxes.x2", "b.boxes.y1", "b.boxes.y2", "b.boxes.confidence", "b.boxes.page_w", "b.boxes.page_h")))
+    groups = members.groupBy("book_id", "page_number", F.col("b.own").cast("long").alias("line_idx")).agg(own.alias("m"))
+    spaced = F.transform("m", lambda b, i: F.concat(F.when((i > 0) & _apart(F.get(F.col("m"), i - 1), b), " ").otherwise(""), b["text"]))
+    total = F.aggregate("m", F.lit(0), lambda n, b: n + F.length(b["text"]))
+    weight = F.aggregate("m", F.lit(0.0), lambda w, b: w + b["confidence"] * F.length(b["text"]))
+    first = F.element_at("m", 1)
+    corners = {"x1": F.array_min("m.x1"), "y1": F.array_min("m.y1"), "x2": F.array_max("m.x2"), "y2": F.array_max("m.y2")}
+    made = {"text": F.array_join(spaced, ""), **corners, "confidence": F.when(total > 0, py_round(weight / total, 4)).otherwise(0.0), "page_w": first["page_w"], "page_h": first["page_h"]}
+    return groups.withColumns(made).select(_LINE_COLUMNS)
+
+
+def _apart(before: Column, after: Column) -> Column:
+    """Whether two neighbouring boxes of one line are words apart."""
+    width = F.greatest((after["y2"] - after["y1"]) * 0.5, F.lit(4.0))
+    return F.coalesce(needs_space(before["text"], after["text"], after["x1"] - before["x2"], width), F.lit(False))
 
 
 _LINE_COLUMNS = ["book_id", "page_number", "line_idx", "text", *BOX, "confidence", "page_w", "page_h"]
-_LINE_SCHEMA = "book_id long, page_number int, line_idx long, text string, x1 double, y1 double, x2 double, y2 double, confidence double, page_w double, page_h double"
-
-
-def _apart(before, after) -> bool:
-    if not before.text or not after.text or before.text.endswith("-") or after.text[0] in ",.:;!?)]}%>":
-        return False
-    return after.x1 - before.x2 >= max((after.y2 - after.y1) * 0.5, 4.0) * 0.5
 
 
 def join_hyphenated(lines: DataFrame) -> DataFrame:
     """Join lines that end in a hyphen with the next one of the same or next page, where the parts surely are one word.
 
-    A joined line may join the next one in turn, with the page of its first part, so each book is one ordered fold.
+    A joined line may join the next one in turn, with the page of its first part, so whether two lines join depends on the
+    lines before them. But a line that does not follow a hyphen, begins with no small letter or stands more than a page further joins nothing,
+    whatever came before: it starts anew. These lines cut a book into short stretches, found by one window, and only inside of a
+    stretch one line after another is folded, in the plan. Nearly all stretches are single lines. Lines without text or page join nothing.
     """
-
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for line in book.sort_values("line_idx").to_dict("records"):
-            if out and _joined(out[-1], line):
-                continue
-            out.append(line)
-        return pd.DataFrame(out, columns=_LINE_COLUMNS)
-
-    return lines.select(_LINE_COLUMNS).groupBy("book_id").applyInPandas(fold, _LINE_SCHEMA)
-
-
-def _joined(head: dict, line: dict) -> bool:
-    """Append line to head if it continues its last word."""
-    first, second = head["text"].rstrip(), line["text"].lstrip()
-    if not first.endswith("-") or not second[:1].islower() or line["page_number"] - head["page_number"] not in (0, 1):
-        return False
-    first = first[:-1].strip()
-    both = len(first) + len(second)
-    if min(len(first), len(second)) <= 2:
-        return False
-    if second.lower() not in _SUFFIXES and first.lower() not in _PREFIXES and (first[0].isupper() or both < 6):
-        return False
-    head["confidence"] = round((head["confidence"] * len(first) + line["confidence"] * len(second)) / both, 4)
-    head["text"] = first + second
-    head["x2"], head["y2"] = max(head["x2"], line["x2"]), max(head["y2"], line["y2"])
-    return True
-
-
-_PREFIXES, _SUFFIXES = frozenset(PREFIXES), frozenset(SUFFIXES)
+    book = W.partitionBy("book_id").orderBy("line_idx")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    follows = strip_right(F.lag(text).over(book)).endswith("-") & strip_left(text).rlike(r"^\p{Ll}") & (F.col("page_number") - F.lag("page_number").over(book)).isin(0, 1)
+    marked = lines.select(_LINE_COLUMNS).withColumn("__new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+    stretches = marked.withColumn("__stretch", F.sum("__new").over(book.rowsBetween(W.unboundedPreceding, 0)))
+    own = [c for c in _LINE_COLUMNS if c != "book_id"]
+    parts = stretches.groupBy("book_id", "__stretch").agg(F.array_sort(F.collect_list(F.struct("line_idx", *[c for c in own if c != "line_idx"]))).alias("parts"))
+    one = F.element_at("parts", 1)
+    # A stretch ends with the lines that are done and the one that may still grow.
+    empty = F.filter("parts", lambda p: F.lit(False))
+    folded = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(empty.alias("done"), one.alias("head")), _take_line, lambda a: F.concat(a["done"], F.array(a["head"])))
+    joined = parts.select("book_id", F.inline(F.when(F.size("parts") == 1, F.col("parts")).otherwise(folded)))
+    return joined.select(_LINE_COLUMNS)
+
+
+def _take_line(state: Column, line: Column) -> Column:
+    """(done, head) after one more line: it continues the head's last word, or begins a head of its own."""
+    head = state["head"]
+    body, second = strip_right(F.coalesce(head["text"], F.lit(""))), strip_left(F.coalesce(line["text"], F.lit("")))
+    first = strip(F.substring(body, F.lit(1), F.length(body) - 1))
+    near = (line["page_number"] - head["page_number"]).isin(0, 1)
+    fits = F.coalesce(body.endswith("-") & second.rlike(r"^\p{Ll}") & near & joins_by_hyphen(first, second), F.lit(False))
+    weight = head["confidence"] * F.length(first) + line["confidence"] * F.length(second)
+    grown = {
+        "text": F.concat(first, second),
+        "confidence": py_round(weight / (F.length(first) + F.length(second)), 4),
+        "x2": F.greatest(head["x2"], line["x2"]),
+        "y2": F.greatest(head["y2"], line["y2"]),
+    }
+    fields = ["line_idx", *[c for c in _LINE_COLUMNS if c not in ("book_id", "line_idx")]]
+    whole = F.struct(*[grown.get(c, head[c]).alias(c) for c in fields])
+    return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(head))).alias("done"), F.when(fits, whole).otherwise(line).alias("head"))
 
 
 def weighted_confidence(confidence: Column, text: Column) -> Column:

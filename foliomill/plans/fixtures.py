@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.functions.text import PREFIXES, SUFFIXES
+
 PAGE_W, PAGE_H, PAGE_LINES = 1700.0, 2200.0, 4
 
 
@@ -98,6 +100,26 @@ clean AS (SELECT r.* EXCLUDE (rel, norm, n_lines) FROM rel r JOIN page_counts p
   WHERE NOT (n_lines >= 5 AND n_pages >= 3 AND (g.book_id IS NOT NULL OR (regexp_matches(r.norm, '^[0-9]{1,5}$') AND (r.rel < 0.10 OR r.rel > 0.88)))))"""
 )
 
+
+
+def hyphen_sql(source: str) -> str:
+    """Lines joined over hyphens, as `unhyphened`: one line of every book at a time takes or joins the head before it."""
+    prefixes, suffixes = (", ".join(f"'{w}'" for w in words) for words in (PREFIXES, SUFFIXES))
+    return rf"""numbered AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY line_idx) AS r FROM {source}),
+joined_lines AS (
+  SELECT book_id, r, r AS head, page_number, line_idx, text, x1, y1, x2, y2, confidence, page_w, page_h FROM numbered WHERE r = 1
+  UNION ALL
+  SELECT book_id, r, CASE WHEN fits THEN head ELSE r END, CASE WHEN fits THEN page_number ELSE page_number2 END, CASE WHEN fits THEN line_idx ELSE line_idx2 END, CASE WHEN fits THEN first || second ELSE text2 END,
+    CASE WHEN fits THEN x1 ELSE x12 END, CASE WHEN fits THEN y1 ELSE y12 END, CASE WHEN fits THEN greatest(x2, x22) ELSE x22 END, CASE WHEN fits THEN greatest(y2, y22) ELSE y22 END,
+    CASE WHEN fits THEN CAST(format('{{:.4f}}', (confidence * length(first) + confidence2 * length(second)) / (length(first) + length(second))) AS DOUBLE) ELSE confidence2 END, page_w, page_h
+  FROM (SELECT *, ends AND regexp_matches(second, '^\p{{Ll}}') AND page_number2 - page_number IN (0, 1) AND length(first) > 2 AND length(second) > 2
+      AND (lower(second) IN ({suffixes}) OR lower(first) IN ({prefixes}) OR (NOT regexp_matches(first, '^\p{{Lu}}') AND length(first) + length(second) >= 6)) AS fits
+    FROM (SELECT h.* EXCLUDE (r), n.r, n.page_number AS page_number2, n.line_idx AS line_idx2, n.text AS text2, n.x1 AS x12, n.y1 AS y12, n.x2 AS x22, n.y2 AS y22, n.confidence AS confidence2,
+        regexp_matches(h.text, '-\s*$') AS ends, regexp_replace(regexp_replace(h.text, '-\s*$', ''), '^\s+|\s+$', '', 'g') AS first, regexp_replace(n.text, '^\s+', '') AS second
+      FROM joined_lines h JOIN numbered n ON n.book_id = h.book_id AND n.r = h.r + 1))),
+unhyphened AS (SELECT book_id, page_number, line_idx, text, x1, y1, x2, y2, confidence, page_w, page_h FROM (SELECT *, row_number() OVER (PARTITION BY book_id, head ORDER BY r DESC) AS nth FROM joined_lines) WHERE nth = 1)"""
+
+
 _CLEAN_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace({}, ' {{2,}}', ' ', 'g'), '\s+([,.:;!?)\]}}>%])', '\1', 'g'), '([\[({{¿¡])\s+', '\1', 'g'))"
 _HEADING = r"""(regexp_matches({0}, '(?i)^(chapter|ch\.?)\s+\d+[\.:]?\s*$') OR regexp_matches({0}, '(?i)^(chapter|ch\.?)\s+(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred)\b')
   OR regexp_matches({0}, '(?i)^(part|pt\.?)\s+\d+[\.:]?\s*$') OR regexp_matches({0}, '(?i)^(introduction|preface|prologue|epilogue|appendix|index|bibliography|foreword|acknowledgements?|about the author|afterword|conclusion|summary|notes|references?)\b')
@@ -122,7 +144,8 @@ flags AS (SELECT *, coalesce((page_number = lag(page_end) OVER w OR page_number
     AND regexp_matches(text, '^\\p{Ll}') AND NOT is_centred, FALSE) AS joins FROM paras WINDOW w AS (PARTITION BY book_id ORDER BY para_idx)),
 merge_ids AS (SELECT *, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY para_idx) - 1 AS INT) AS merge_idx FROM flags),
 merged AS (SELECT book_id, merge_idx AS para_idx, string_agg(text, ' ' ORDER BY para_idx) AS text, first(page_number ORDER BY para_idx) AS page_number, last(page_end ORDER BY para_idx) AS page_end,
-    first(is_centred ORDER BY para_idx) AS is_centred, CAST(count(*) AS INT) AS n_merged FROM merge_ids GROUP BY book_id, merge_idx)"""
+    first(is_centred ORDER BY para_idx) AS is_centred, CAST(count(*) AS INT) AS n_merged,
+    list_reduce(list({'n': CAST(length(text) AS BIGINT), 'c': confidence} ORDER BY para_idx), lambda a, b: {'n': a.n + 1 + b.n, 'c': CASE WHEN a.n + b.n > 0 THEN CAST(format('{:.4f}', (a.c * a.n + b.c * b.n) / (a.n + b.n)) AS DOUBLE) ELSE a.c END}).c AS confidence FROM merge_ids GROUP BY book_id, merge_idx)"""
 
 CHAPTERS_SQL = """,
 heads AS (SELECT *, trim(text) <> '' AND """ + _HEADING.format("trim(text)") + """ AS is_head FROM {source}),

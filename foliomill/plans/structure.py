@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import camel_split, clean_pdf_text, html_escape, is_garbage, joins_by_hyphen, meaningful_ratio, normalise_for_match, replacement_ratio
+from foliomill.functions.text import PREFIXES, SUFFIXES, camel_split, clean_pdf_text, html_escape, is_garbage, joins_by_hyphen, meaningful_ratio, normalise_for_match, replacement_ratio
 from foliomill.operators import lines as L
 from foliomill.operators import paragraphs as P
 from foliomill.operators import quality as Q
@@ -118,7 +118,7 @@ BREAKS = "WITH " + X.BODY_SQL + X.BREAKS_SQL.replace("{source}", "body")
 
 
 def cross_page_merge(spark: SparkSession, d: str) -> DataFrame:
-    return P.merge_across_pages(_paras(spark, d)).select("book_id", "para_idx", "text", "page_number", "page_end", "is_centred", "n_merged")
+    return P.merge_across_pages(_paras(spark, d)).select("book_id", "para_idx", "text", "page_number", "page_end", "is_centred", "n_merged", "confidence")
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -134,11 +134,16 @@ def chapter_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assemble_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    """All stages over lines with headers and footers: chapters with their paragraphs and numbers of fragments."""
+    """All stages over lines with headers and footers: chapters with their paragraphs and numbers of fragments.
+
+    A chapter without paragraphs is one row of paragraph_order -1.
+    """
     chapters, paras, frags = P.assemble(X.page_lines(spark, d))
     per_para = frags.groupBy("book_id", "para_idx").agg(F.count(F.lit(1)).cast("int").alias("n_fragments"))
     joined = paras.join(per_para, ["book_id", "para_idx"], "left")
-    return chapters.join(joined.drop("title"), ["book_id", "chapter_order"], "left").select("book_id", "chapter_order", "title", "paragraph_count", "paragraph_order", "text", "page_number", "page_end", "confidence", "n_fragments")
+    whole = chapters.join(joined.drop("title"), ["book_id", "chapter_order"], "left").withColumn("paragraph_order", F.coalesce("paragraph_order", F.lit(-1)))
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("page_number", "page_end", "confidence", "n_fragments")]
+    return whole.select("book_id", "chapter_order", "title", "paragraph_count", "paragraph_order", "text", *numbers)
 
 
 def clean_text_pdf(spark: SparkSession, d: str) -> DataFrame:
@@ -169,8 +174,8 @@ raw AS (SELECT book_id, page_number, string_agg(text, chr(10) ORDER BY line_idx)
 m AS (SELECT *, {_SPACELESS} AS n, {_MEANING} / {_SPACELESS} AS ratio FROM raw),
 q AS (SELECT *, wc * 0.35 + ratio * 0.30 + least(length(text) / 500.0, 1.0) * 0.25 + least(n_lines / 30.0, 0.3) AS score FROM m)"""
 
-_PREFIX_LIST = ", ".join(f"'{x}'" for x in L.PREFIXES)
-_SUFFIX_LIST = ", ".join(f"'{x}'" for x in L.SUFFIXES)
+_PREFIX_LIST = ", ".join(f"'{x}'" for x in PREFIXES)
+_SUFFIX_LIST = ", ".join(f"'{x}'" for x in SUFFIXES)
 
 ORACLES = {
     "lines_explode": f"WITH {X.LINES_SQL} SELECT book_id, page_number, line_idx, text, {_BOX}, confidence FROM lines",
@@ -192,6 +197,25 @@ w AS (SELECT book_id, page_number, arg_max(c, (nx - c, -c)) AS lo, max(nx - c) A
 s AS (SELECT g.*, CASE WHEN n > 3 AND gap > rt * 0.15 AND c >= (lo + lo + gap) / 2 THEN 1 ELSE 0 END AS col FROM g LEFT JOIN w USING (book_id, page_number))
 SELECT book_id, page_number, line_idx, CAST(row_number() OVER (PARTITION BY book_id, page_number ORDER BY col, y1, x1, line_idx) - 1 AS INT) AS read_idx FROM s""",
     "header_footer_clean": f"WITH {X.CLEAN_SQL} SELECT book_id, page_number, line_idx, text FROM clean",
+    "same_line_merge": rf"""WITH RECURSIVE {X.BODY_SQL},
+boxes AS (SELECT * REPLACE (CASE WHEN line_idx % 2 = 0 THEN y1 - 40 ELSE y1 END AS y1, CASE WHEN line_idx % 2 = 0 THEN y2 - 40 ELSE y2 END AS y2, CASE WHEN line_idx % 2 = 0 THEN x1 + 1400 ELSE x1 END AS x1, CASE WHEN line_idx % 2 = 0 THEN x2 + 1400 ELSE x2 END AS x2) FROM body),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY y1, line_idx) AS r, median(y2 - y1) OVER (PARTITION BY book_id, page_number) * 0.4 AS near FROM boxes),
+walk AS (
+  SELECT book_id, page_number, r, [(y1 + y2) / 2] AS seeds, 1 AS own FROM numbered WHERE r = 1
+  UNION ALL
+  SELECT book_id, page_number, r, CASE WHEN home > 0 THEN seeds ELSE list_append(seeds, centre) END, CAST(CASE WHEN home > 0 THEN home ELSE len(seeds) + 1 END AS INT)
+  FROM (SELECT n.book_id, n.page_number, n.r, w.seeds, (n.y1 + n.y2) / 2 AS centre, coalesce(list_position(list_transform(w.seeds, lambda s: abs((n.y1 + n.y2) / 2 - s) < n.near), TRUE), 0) AS home
+    FROM walk w JOIN numbered n ON n.book_id = w.book_id AND n.page_number = w.page_number AND n.r = w.r + 1)),
+placed AS (SELECT n.*, own, lag(text) OVER o AS pt, lag(x2) OVER o AS px2 FROM numbered n JOIN walk USING (book_id, page_number, r) WINDOW o AS (PARTITION BY n.book_id, n.page_number, own ORDER BY x1, r)),
+spaced AS (SELECT *, CASE WHEN pt <> '' AND text <> '' AND pt NOT LIKE '%-' AND NOT regexp_matches(text, '^[,.:;!?)\]}}%>]') AND x1 - px2 >= greatest((y2 - y1) * 0.5, 4.0) * 0.5 THEN ' ' ELSE '' END || text AS piece FROM placed)
+SELECT book_id, page_number, CAST(own - 1 AS BIGINT) AS line_idx, string_agg(piece, '' ORDER BY x1, r) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2,
+  CASE WHEN sum(length(text)) > 0 THEN CAST(format('{{:.4f}}', sum(confidence * length(text)) / sum(length(text))) AS DOUBLE) ELSE 0.0 END AS confidence, first(page_w) AS page_w, first(page_h) AS page_h
+FROM spaced GROUP BY book_id, page_number, own""",
+    "assemble_end_to_end": f"""WITH RECURSIVE {X.CLEAN_SQL}, {X.hyphen_sql('clean')}{X.BREAKS_SQL.replace("{source}", "unhyphened")}{X.MERGES_SQL}{X.CHAPTERS_SQL.replace("{source}", "merged")}{FRAGMENTS_SQL},
+moved AS (SELECT f.book_id, m.merge_idx AS para_idx, count(*) AS n_fragments FROM frags f JOIN merge_ids m USING (book_id, para_idx) GROUP BY ALL)
+SELECT c.book_id, c.chapter_order, c.title, c.paragraph_count, coalesce(p.paragraph_order, -1) AS paragraph_order, p.text, coalesce(p.page_number, 0) AS page_number, coalesce(p.page_end, 0) AS page_end, coalesce(p.confidence, 0) AS confidence, CAST(coalesce(n_fragments, 0) AS INT) AS n_fragments
+FROM chapters c LEFT JOIN content p ON p.book_id = c.book_id AND p.chapter_order = c.chapter_order LEFT JOIN moved f ON f.book_id = p.book_id AND f.para_idx = p.para_idx""",
+    "hyphen_merge": f"WITH RECURSIVE {X.BODY_SQL}, {X.hyphen_sql('body')} SELECT * FROM unhyphened",
     "hyphen_merge_pairs": f"""WITH {X.BODY_SQL},
 p AS (SELECT book_id, line_idx, text AS b, lag(text) OVER (PARTITION BY book_id ORDER BY line_idx) AS before FROM body),
 q AS (SELECT book_id, line_idx, b, trim(substr(before, 1, length(before) - 1)) AS a FROM p WHERE before LIKE '%-')

@@ -6,12 +6,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from foliomill.functions import text as T
 from foliomill.operators import lines as L
 from foliomill.operators import paragraphs as P
 from foliomill.operators import quality as Q
 from foliomill.operators import slicing as S
 
-SCHEMA = L._LINE_SCHEMA
+SCHEMA = "book_id long, page_number int, line_idx long, text string, x1 double, y1 double, x2 double, y2 double, confidence double, page_w double, page_h double"
 
 
 def line(idx, text, page=1, x1=200.0, y1=None, x2=1500.0, h=24.0, conf=0.5, book=1):
@@ -59,6 +60,53 @@ def test_hyphen_chains(spark):
     assert got == ["the interesting submarine Next", "word-", "less", "Foo-", "bar baz"]
 
 
+def plain_fold(rows):
+    """Lines of one book, one after another: each joins the last one or is added."""
+    out = []
+    for r in sorted(rows, key=lambda r: r[2]):
+        r = list(r)
+        if out:
+            head = out[-1]
+            first, second = head[3].rstrip(), r[3].lstrip()
+            if first.endswith("-") and second[:1].islower() and r[1] - head[1] in (0, 1):
+                first = first[:-1].strip()
+                both = len(first) + len(second)
+                if min(len(first), len(second)) > 2 and (second.lower() in T.SUFFIXES or first.lower() in T.PREFIXES or (not first[0].isupper() and both >= 6)):
+                    head[8] = round((head[8] * len(first) + r[8] * len(second)) / both, 4)
+                    head[3], head[6], head[7] = first + second, max(head[6], r[6]), max(head[7], r[7])
+                    continue
+        out.append(r)
+    return [tuple(r) for r in out]
+
+
+def test_hyphens_equal_a_fold(spark):
+    rnd = random.Random(4)
+    parts = ["coun-", "ter-", "inter-", " esting- ", "Foo-", "bar", "ly", "al-", "word", "Xa-", "ing", "multi-", "-", "", "sub-", "un-", "é-", "pre-part-", "　wide-	"]
+    rows = []
+    for book in range(1, 30):
+        page = 1
+        for k in range(60):
+            page += rnd.random() < 0.15
+            page += rnd.random() < 0.03
+            rows.append(line(k, rnd.choice(parts), page=page, book=book, conf=rnd.randrange(1, 16) / 16, x2=float(rnd.randrange(900, 1500))))
+    want = [r for book in range(1, 30) for r in plain_fold([r for r in rows if r[0] == book])]
+    got = [tuple(r) for r in L.join_hyphenated(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(rows) - 100
+    # A book whose every line goes on from the one before.
+    chain = [line(k, "goes-", page=1 + k // 40) for k in range(400)]
+    assert sorted(tuple(r) for r in L.join_hyphenated(frame(spark, chain)).collect()) == sorted(plain_fold(chain))
+
+
+def test_no_python_groups_in_the_assembly(spark, sf_dir, capsys):
+    from foliomill.plans import structure
+
+    structure.hyphen_merge(spark, sf_dir).explain()
+    structure.same_line_merge(spark, sf_dir).explain()
+    structure.assemble_end_to_end(spark, sf_dir).explain()
+    shown = capsys.readouterr().out
+    assert "Physical Plan" in shown and "Pandas" not in shown and "Python" not in shown and "Arrow" not in shown
+
+
 def test_headers_need_three_pages(spark):
     body = lambda p: [line(p * 10 + k, f"text {p} {k}", page=p, y1=800.0 + 40 * k) for k in range(3)]
     edge = lambda p: [line(p * 10 + 8, "Title", page=p, y1=50.0), line(p * 10 + 9, str(p), page=p, y1=2120.0)]
