@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliomill.operators.enrich import job_status, translate
-from foliomill.operators.store import upsert
+from foliomill.sources.tables import TableSet
 
 TERMINAL = ("completed", "failed", "partial")
 
@@ -54,19 +54,15 @@ def drain_complete(stream: DataFrame, folder: str) -> DataFrame:
     return reader.parquet(f"{folder}/result/e{max(epochs):09d}")
 
 
-def upsert_pages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest result of each page in a table of its own version folders: path/v=N, the highest N is current.
+def upsert_pages(stream: DataFrame, store: TableSet, table: str, checkpoint: str, version: str | None = None) -> StreamingQuery:
+    """Keep the latest result of each key of a stream in a table of a set; each micro-batch is one commit and rewrites only the buckets it touches.
 
-    A batch that is run again writes the same version, so restarts from the checkpoint neither lose nor repeat pages.
+    The commit names the stream's epoch, so a batch that is run again after a failure neither loses nor repeats rows.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = current_pages(spark, path, before=epoch)
-        latest = batch if old is None else upsert(old, batch, ["book_id", "page_number"], "version")
-        if old is None:
-            latest = upsert(batch.limit(0), batch, ["book_id", "page_number"], "version")
-        latest.write.mode("overwrite").parquet(f"{path}/v={epoch:09d}")
+        with store.transaction(stream=checkpoint, epoch=epoch) as tx:
+            tx.upsert(table, batch, version)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -92,15 +88,3 @@ def translate_stream(items: DataFrame, path: str, checkpoint: str, provider, cac
 
 
 _RESULTS = "job_id long, batch_no int, id string, source_hash string, translation string, cached boolean, error string, status string, message string, epoch long"
-
-
-def current_pages(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The latest complete version of such a table (below `before`), None if there is none."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    found = [v for v in found if v.startswith("v=") and (before is None or int(v[2:]) < before)]
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None

@@ -121,16 +121,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, G.job_progress(rows).collect()))
 
 
-def test_page_stream_resumes(spark, tmp_path):
-    schema = "book_id long, page_number int, version int, text string"
-    put = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-    for rows, name in (([(1, 1, 1, "a"), (1, 2, 1, "b")], "x"), ([(1, 2, 2, "c")], "y")):
-        put(rows, name)
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        G.upsert_pages(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert sorted((r.page_number, r.text) for r in G.current_pages(spark, str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c")]
-
-
 def test_translation_stream_resumes_with_its_own_cache(spark, tmp_path):
     schema = "job_id long, id string, paragraph_order int, text string"
     empty = spark.createDataFrame([], "source_hash string, translated_text string, status string")
