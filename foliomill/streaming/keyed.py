@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from datetime import timedelta
 from typing import Any, Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -115,39 +115,43 @@ class _Processor(StatefulProcessor):
         self.handle = handle
         self.progress = handle.getValueState("progress", self.fold.state)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        updates = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        before = self.progress.get() if self.progress.exists() else None
-        after, frames = fold_updates(self.fold, key[0], before, updates.itertuples(index=False))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        updates = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
+        known = self.progress.get() if self.progress.exists() else None
+        before = tuple(known) if known is not None else None
+        after, frames = fold_updates(self.fold, key[0], before, updates)
         if after is not None and after != before:
             self.progress.update(after)
         if after is not None and self.time:
             for due in self.handle.listTimers():
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(int(updates[self.time].max().timestamp() * 1000) + self.timeout_ms)
-        yield pd.DataFrame([(key[0], *(getattr(u, c) for c in self.order), *f) for u, f in frames], columns=self.names)
+            last = max(u[self.time] for u in updates if u[self.time] is not None)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.timeout_ms)
+        for u, f in frames:
+            yield Row(**dict(zip(self.names, (key[0], *(u[c] for c in self.order), *f))))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.progress.clear()
-        yield pd.DataFrame([], columns=self.names)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """A session of its own for streams with keyed state: its state store is a setting of the session.
+def session(spark: SparkSession, stores: int = 16) -> SparkSession:
+    """A session of its own for streams with keyed state: the state store and the number of stores are settings of a session.
 
-    A state store is opened for each shuffle partition, and their number stays with the checkpoint for good.
+    A store is opened for each shuffle partition and stays with the checkpoint for good. A state is some thirty bytes, so a store holds millions of
+    keys, while an empty one takes megabytes of disk: take as many stores as the keys call for, not as many as shuffles have partitions.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
-        own.conf.set(setting, spark.conf.get(setting))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(stores))
     return own
 
 
-def frames(updates: DataFrame, key: str, fold: Fold, order: list[str], time: str | None = None, timeout: str = "1 day", late: str = "1 hour") -> DataFrame:
+def frames(updates: DataFrame, key: str, fold: Fold, order: list[str], time: str | None = None, timeout: timedelta = timedelta(days=1), late: str = "1 hour") -> DataFrame:
     """Frames of a stream of updates: key, the order columns of the update that caused it, frame, terminal.
 
     With `time`, an event-time column among `order`, a state is forgotten when the watermark (`late` behind the newest update) passes its last update by `timeout`;
@@ -158,9 +162,8 @@ def frames(updates: DataFrame, key: str, fold: Fold, order: list[str], time: str
     if time:
         rows = rows.withWatermark(time, late)
     out = StructType([*(StructField(c, rows.schema[c].dataType) for c in (key, *order)), StructField("frame", StringType()), StructField("terminal", rows.selectExpr("true AS t").schema["t"].dataType)])
-    milliseconds = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    processor = _Processor(fold, order, time, milliseconds, out.names)
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime" if time else "None")
+    processor = _Processor(fold, order, time, int(timeout.total_seconds() * 1000), out.names)
+    return rows.groupBy(key).transformWithState(processor, out, "Append", "EventTime" if time else "None")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

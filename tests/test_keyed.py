@@ -41,7 +41,7 @@ def put(spark, folder, name, rows):
 
 
 def stream(spark, folder, **timing):
-    updates = K.session(spark).readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    updates = K.session(spark, 3).readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
     return K.frames(updates, "job_id", K.JobFold(), ["at", "seq"], **timing)
 
 
@@ -72,7 +72,7 @@ def test_restart_and_replay_give_no_second_end(spark, tmp_path):
 
 def test_a_timer_forgets_what_no_update_reaches(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    timing = {"time": "at", "timeout": "1 hour", "late": "1 minute"}
+    timing = {"time": "at", "timeout": timedelta(hours=1), "late": "1 minute"}
     for name, rows in (("a", [row(1, 1, "start")]), ("b", [row(2, 2, "start", hours=5)]), ("c", [row(1, 3, "poll", hours=6), row(2, 4, "completed", hours=6)])):
         put(spark, source, name, rows)
         got = K.drain(stream(spark, source, **timing), out, check)
