@@ -5,21 +5,53 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
 
 from foliomill.functions.text import normalise_for_match
+from foliomill.sources.scratch import saved, shared_folder
 
 ACCEPT, EXACT = 0.75, 0.99
 FEW = 5
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of normalised texts, in this argument order; 1 for two empty texts."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+#: Fixed for the bound: signs counted one by one; all others are counted together.
+SIGNS = " etaoinshrdlucmfwypvbgkqjxz"
+
+
+def sign_counts(text: Column) -> Column:
+    """How often each of SIGNS occurs, and how many other characters there are: an array of fixed width."""
+    own = F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in SIGNS])
+    return F.concat(own, F.array(F.length(text) - F.aggregate(own, F.lit(0), lambda n, c: n + c)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No matching of texts with these counts has a higher ratio: a character matches only its like, and only once."""
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, c: n + c)
+    total = F.aggregate(F.concat(a, b), F.lit(0), lambda n, c: n + c)
+    return F.when(total > 0, 2.0 * common / total).otherwise(1.0)
+
+
+@F.pandas_udf(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("compared", T.IntegerType())]))
+def best_of(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
+    """The most similar of each text's candidates, which come by falling bound; of equal ones the one of lowest rank.
+
+    Ratcliff-Obershelp ratio in this argument order. No candidate is compared whose bound is below the best ratio so far or the threshold.
+    """
+    out = []
+    for text, found in zip(texts, others, strict=True):
+        place, best, rank, compared = -1, 0.0, -1, 0
+        for k, c in enumerate(found):
+            if c["bound"] < max(best, ACCEPT):
+                break
+            ratio = SequenceMatcher(None, text, c["text"]).ratio()
+            compared += 1
+            if ratio > best or (ratio == best and c["rank"] < rank):
+                place, best, rank = k, ratio, c["rank"]
+        out.append((place, best, compared))
+    return pd.DataFrame(out, columns=["place", "similarity", "compared"])
 
 
 def candidates(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -29,27 +61,59 @@ def candidates(new: DataFrame, old: DataFrame) -> DataFrame:
     The band is an equi-join on book and page: each new row looks at the seven pages around its own.
     """
     around = new.withColumn("__page", F.explode(F.sequence(F.greatest(F.lit(1), F.col("page_number") - 3), F.greatest(F.lit(1), F.col("page_number") + 3)))).where(F.col("__page") <= F.col("page_number") + 3)
-    near = old.select("book_id", F.col("page_number").alias("__page"), "old_id", "old_order", "old_text", "translation")
+    near = old.withColumnRenamed("page_number", "__page")
     pairs = around.join(near, ["book_id", "__page"]).withColumn("tier", F.when(F.abs(F.col("__page") - F.col("page_number")) <= 1, 0).otherwise(1))
     close = F.count_if(F.col("tier") == 0).over(W.partitionBy("book_id", "new_id"))
     return pairs.withColumn("__close", close).where((F.col("tier") == 0) | (F.col("__close") < FEW)).drop("__close").withColumnRenamed("__page", "old_page")
 
 
+def prepared_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Candidate pairs without their texts: book_id, new_id, old_id, rank (tier, page and order of the old paragraph), equal, bound.
+
+    Texts are normalised, hashed and counted once a paragraph, before the join, so a pair carries numbers only.
+    """
+
+    def slim(df: DataFrame, text: str, side: str) -> DataFrame:
+        known = df.where(F.col(text) != "").withColumn("__t", normalise_for_match(F.col(text)))
+        return known.withColumns({f"{side}_hash": F.md5("__t"), f"{side}_signs": sign_counts(F.col("__t"))}).drop("__t", text)
+
+    pairs = candidates(slim(new, "text", "new").select("book_id", "new_id", "page_number", "new_hash", "new_signs"), slim(old.drop("translation"), "old_text", "old"))
+    order = W.partitionBy("book_id", "new_id").orderBy("tier", "old_page", "old_order", "old_id")
+    return pairs.select(
+        "book_id", "new_id", "old_id", F.row_number().over(order).alias("rank"), (F.col("new_hash") == F.col("old_hash")).alias("equal"), ratio_bound(F.col("new_signs"), F.col("old_signs")).alias("bound")
+    )
+
+
+def equal_matches(pairs: DataFrame) -> DataFrame:
+    """Of each new paragraph that has candidates of equal text, the first: no other can be more similar."""
+    return pairs.where("equal").groupBy("book_id", "new_id").agg(F.min_by("old_id", "rank").alias("old_id")).withColumn("similarity", F.lit(1.0))
+
+
+def compared_matches(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """The best candidate of each new paragraph that has none of equal text: book_id, new_id, old_id, similarity, compared.
+
+    Only pairs whose bound reaches the threshold fetch their texts. A paragraph's candidates, those of seven pages at most, come as one array.
+    """
+    open_pairs = pairs.withColumn("__solved", F.max("equal").over(W.partitionBy("book_id", "new_id"))).where(~F.col("__solved") & (F.col("bound") >= ACCEPT))
+    texts = old.select("book_id", "old_id", normalise_for_match(F.col("old_text")).alias("text"))
+    entry = F.struct((-F.col("bound")).alias("below"), "rank", "old_id", "bound", "text")
+    found = open_pairs.join(texts, ["book_id", "old_id"]).groupBy("book_id", "new_id").agg(F.array_sort(F.collect_list(entry)).alias("others"))
+    own = new.select("book_id", "new_id", normalise_for_match(F.col("text")).alias("text"))
+    judged = found.join(own, ["book_id", "new_id"]).withColumn("best", best_of("text", F.transform("others", lambda c: F.struct(c["bound"].alias("bound"), c["rank"].alias("rank"), c["text"].alias("text")))))
+    best = judged.select("book_id", "new_id", F.get("others", F.col("best.place"))["old_id"].alias("old_id"), "best.similarity", "best.compared")
+    return best.where(F.col("similarity") >= ACCEPT)
+
+
 def best_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     """Each new paragraph with its best old one: book_id, new_id, old_id, similarity, translation, status.
 
-    new: book_id, new_id, page_number, text; old: book_id, old_id, old_order, page_number, old_text, translation. Of equal
-    similarities the first in page and paragraph order counts. Twice the shorter length over the sum of both bounds
-    the ratio, so pairs that cannot reach the threshold never meet the UDF.
+    new: book_id, new_id, page_number, text; old: book_id, old_id, old_order, page_number, old_text, translation; ids must be unique in their book. Of equal
+    similarities the first in page and paragraph order counts. Equal texts (after normalising, by MD5) need no comparison; of the others only
+    pairs meet the UDF whose upper bound, from counts of characters, reaches the threshold and what was found before.
     """
-    pairs = candidates(new.where("text <> ''"), old.where("old_text <> ''"))
-    pairs = pairs.withColumns({"a": normalise_for_match(F.col("text")), "b": normalise_for_match(F.col("old_text"))})
-    la, lb = F.length("a"), F.length("b")
-    possible = pairs.where(((la == 0) & (lb == 0)) | (2 * F.least(la, lb) >= ACCEPT * (la + lb)))
-    scored = possible.withColumn("similarity", F.when((la == 0) & (lb == 0), 1.0).otherwise(similarity("a", "b"))).where(F.col("similarity") > 0)
-    order = W.partitionBy("book_id", "new_id").orderBy(F.desc("similarity"), "tier", "old_page", "old_order", "old_id")
-    best = scored.withColumn("__r", F.row_number().over(order)).where("__r = 1").where(F.col("similarity") >= ACCEPT)
-    joined = new.select("book_id", "new_id").join(best.select("book_id", "new_id", "old_id", "similarity", "translation"), ["book_id", "new_id"], "left")
+    pairs = saved(prepared_pairs(new, old), shared_folder(new.sparkSession), "pairs")
+    best = equal_matches(pairs).unionByName(compared_matches(pairs, new, old).drop("compared"))
+    joined = new.select("book_id", "new_id").join(best, ["book_id", "new_id"], "left").join(old.select("book_id", "old_id", "translation"), ["book_id", "old_id"], "left")
     text = F.coalesce("translation", F.lit(""))
     return joined.select("book_id", "new_id", "old_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), text.alias("translation"), F.when(text != "", "completed").otherwise("pending").alias("status"))
 

@@ -137,6 +137,13 @@ def match_translation(spark: SparkSession, d: str) -> DataFrame:
     return M.best_matches(*_old_new(spark, d))
 
 
+def match_equal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """New paragraphs with candidates of equal text, and which of them counts."""
+    new, old = _old_new(spark, d)
+    pairs = M.prepared_pairs(new, old)
+    return M.equal_matches(pairs)
+
+
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     return M.match_statistics(M.best_matches(*_old_new(spark, d)))
 
@@ -144,7 +151,7 @@ def match_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "source_hash": source_hash, "cache_lookup": cache_lookup, "batch_numbers": batch_numbers, "cached_attribution": cached_attribution, "translate_batches": translate_batches, "cache_writes": cache_writes,
     "parse_batch_response": parse_batch_response, "translation_status": translation_status, "glossary_prompt": glossary_prompt, "status_counts": status_counts, "job_rollup": job_rollup, "chapter_rollup": chapter_rollup,
-    "match_candidates": match_candidates, "match_translation": match_translation, "match_statistics": match_statistics,
+    "match_candidates": match_candidates, "match_translation": match_translation, "match_equal_texts": match_equal_texts, "match_statistics": match_statistics,
 }
 
 _RESULTS = ITEMS_SQL + """,
@@ -160,6 +167,8 @@ _CANDIDATES = (
 )
 _OLD = X.BODY_SQL.replace("body AS", "body2 AS") + X.BREAKS_SQL.replace("{source}", "body2").replace("gaps", "gaps2").replace("marked", "marked2").replace("paras AS", "paras2 AS")
 
+_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '[-‐‑]', '', 'g'), '[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}\p{{Pc}}\s]', '', 'g'), '^\s+|\s+$', '', 'g')"""
+
 ORACLES = {
     "source_hash": ITEMS_SQL + " SELECT job_id, id, source_hash FROM items",
     "cache_lookup": ITEMS_SQL + " SELECT job_id, id, cached_text FROM hits",
@@ -181,4 +190,10 @@ FROM documents LEFT JOIN t ON doc_id % 7 = t.book_id""",
 pairs AS (SELECT n.book_id, n.para_idx AS new_id, o.para_idx AS old_id, abs(o.page_number - n.page_number) <= 1 AS close FROM new n JOIN paras2 o ON n.book_id = o.book_id AND o.page_number BETWEEN greatest(1, n.page_number - 3) AND n.page_number + 3),
 c AS (SELECT *, count(*) FILTER (close) OVER (PARTITION BY book_id, new_id) AS n_close FROM pairs)
 SELECT book_id, new_id, count(*) AS n_candidates, any_value(n_close) AS n_close, min(old_id) AS first_old, max(old_id) AS last_old FROM c WHERE close OR n_close < 5 GROUP BY book_id, new_id""",
+    "match_equal_texts": _CANDIDATES + ", " + _OLD + """,
+pairs AS (SELECT n.book_id, n.para_idx AS new_id, o.para_idx AS old_id, o.page_number AS old_page, n.text AS a, o.text AS b, abs(o.page_number - n.page_number) <= 1 AS close
+  FROM new n JOIN paras2 o ON n.book_id = o.book_id AND o.page_number BETWEEN greatest(1, n.page_number - 3) AND n.page_number + 3 WHERE n.text <> '' AND o.text <> ''),
+c AS (SELECT *, count(*) FILTER (close) OVER (PARTITION BY book_id, new_id) AS n_close FROM pairs),
+e AS (SELECT *, row_number() OVER (PARTITION BY book_id, new_id ORDER BY NOT close, old_page, old_id) AS r FROM c WHERE (close OR n_close < 5) AND """ + _NORM.format("a") + " = " + _NORM.format("b") + """)
+SELECT book_id, new_id, old_id, 1.0::DOUBLE AS similarity FROM e WHERE r = 1""",
 }
