@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.rounding import py_round
 from foliomill.functions.text import FRONT_MATTER, FULL_TEXT, clean_pdf_text, html_escape, is_heading, starts_lower, strip
-from foliomill.sources.scratch import saved, shared_folder
+from foliomill.sources.scratch import saved_by, shared_folder
 
 def _book():
     return W.partitionBy("book_id")
@@ -197,12 +197,12 @@ def chapters(assigned: DataFrame) -> DataFrame:
 def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chapters, paragraphs and fragments of all books, from the lines of their pages.
 
-    Marked lines and paragraphs are written once, to the shared folder, and read by all three.
+    Marked lines and paragraphs are written once, to the shared folder and by book, and read by all three: lines are shuffled once.
     """
     from foliomill.operators.lines import join_hyphenated, remove_headers_and_footers
 
     folder = shared_folder(lines.sparkSession)
-    marked = saved(mark_breaks(join_hyphenated(remove_headers_and_footers(lines))), folder, "lines")
-    paras = saved(merge_paragraphs(marked), folder, "paragraphs")
+    marked = saved_by(mark_breaks(join_hyphenated(remove_headers_and_footers(lines))), folder, "lines", "book_id")
+    paras = saved_by(merge_paragraphs(marked), folder, "paragraphs", "book_id")
     assigned = assign_chapters(merge_across_pages(paras))
     return chapters(assigned), chapter_paragraphs(assigned), merged_fragments(source_fragments(marked), paras)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import enrich, migrate, paragraphs, reader, store
 from foliomill.sources.pages import from_page_rows
+from foliomill.sources.scratch import saved, shared_folder
 
 
 def parse_books(pages: DataFrame) -> dict[str, DataFrame]:
@@ -24,14 +25,21 @@ def parse_books(pages: DataFrame) -> dict[str, DataFrame]:
     return {"books": books, "chapters": chapters, "paragraphs": paras, "fragments": fragments}
 
 
-def pending_items(paras: DataFrame) -> DataFrame:
-    """Paragraphs that wait for translation, a job for each chapter: paragraphs need paragraph_id, chapter_id, status, text."""
-    return paras.where("status = 'pending'").select(F.col("chapter_id").alias("job_id"), F.col("paragraph_id").alias("id"), "paragraph_order", "text")
+def pending_items(paras: DataFrame, statuses: tuple[str, ...] = ("pending",)) -> DataFrame:
+    """Paragraphs that wait for translation, a job for each chapter: paragraphs need paragraph_id, chapter_id, status, text.
+
+    A reader that opens a chapter takes failed ones too: statuses ("pending", "failed").
+    """
+    return paras.where(F.col("status").isin(*statuses)).select(F.col("chapter_id").alias("job_id"), F.col("paragraph_id").alias("id"), "paragraph_order", "text")
 
 
-def translate_chapters(paras: DataFrame, cache: DataFrame, provider: Callable[[], enrich.Provider], prompt: str = "") -> dict[str, DataFrame]:
-    """Translate what is pending; paragraphs, cache, jobs and chapters as they are afterwards."""
-    results = enrich.translate(pending_items(paras), cache, provider, ["paragraph_order"], prompt)
+def translate_chapters(paras: DataFrame, cache: DataFrame, provider: Callable[[], enrich.Provider], prompt: str = "", statuses: tuple[str, ...] = ("pending",)) -> dict[str, DataFrame]:
+    """Translate what is pending; results, paragraphs, cache, jobs and chapters as they are afterwards.
+
+    Results are written to the shared folder first: all five read the same ones.
+    """
+    asked = enrich.translate(pending_items(paras, statuses), cache, provider, ["paragraph_order"], prompt)
+    results = saved(asked, shared_folder(paras.sparkSession), "results")
     done = results.select(F.col("id").alias("paragraph_id"), F.col("translation").alias("__t"), F.col("status").alias("__s"), F.col("message").alias("__m"))
     joined = paras.join(done, "paragraph_id", "left")
     after = joined.withColumns({"translation": F.coalesce("__t", "translation"), "error_message": F.coalesce("__m", "error_message"), "status": F.coalesce("__s", "status")}).drop("__t", "__s", "__m")

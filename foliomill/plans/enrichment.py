@@ -148,7 +148,42 @@ def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     return M.match_statistics(M.best_matches(*_old_new(spark, d)))
 
 
+class PromptEcho:
+    """Answers every item with the prompt it came with."""
+
+    def one(self, prompt: str, text: str) -> str:
+        return prompt
+
+    def batch(self, prompt: str, items: list[tuple[str, str]]) -> str:
+        return json.dumps([{"id": i, "translation": prompt} for i, _ in items])
+
+
+def book_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A glossary for each language: the first two words of every benchmark text."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    items = X.table(spark, d, "benchmark").select(words.alias("w")).where(F.size("w") > 0)
+    one = items.select(F.get("w", F.lit(0)).alias("term"), F.lit("one").alias("translation"))
+    two = items.where(F.size("w") > 1).select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("term"), F.lit("two").alias("translation"))
+    return one.unionByName(two).distinct().withColumn("kind", F.lit(0))
+
+
+def translate_with_glossary(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt that each item's batch was sent with: the terms in it, and the known translation before it."""
+    done = E.translate(items(spark, d).withColumn("kind", F.lit(0)), cache(spark, d), PromptEcho, ["para_idx"], "Translate.", book_terms(spark, d), "kind")
+    return done.where("NOT cached").select("job_id", "id", "batch_no", "translation", "status")
+
+
+def job_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Events as paragraphs done: sessions of each user with their rates and share of cache hits."""
+    done = X.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.length("props").alias("n_chars"), (F.col("event_type") == "view").alias("cached"))
+    rates = E.throughput(done, "12 hours")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    rounded = [F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("paragraphs_per_second", "chars_per_second", "hit_ratio")]
+    return rates.select("job_id", text("started_at"), text("ended_at"), "paragraphs", "chars", *rounded)
+
+
 QUERIES = {
+    "translate_with_glossary": translate_with_glossary, "job_throughput": job_throughput,
     "source_hash": source_hash, "cache_lookup": cache_lookup, "batch_numbers": batch_numbers, "cached_attribution": cached_attribution, "translate_batches": translate_batches, "cache_writes": cache_writes,
     "parse_batch_response": parse_batch_response, "translation_status": translation_status, "glossary_prompt": glossary_prompt, "status_counts": status_counts, "job_rollup": job_rollup, "chapter_rollup": chapter_rollup,
     "match_candidates": match_candidates, "match_translation": match_translation, "match_equal_texts": match_equal_texts, "match_statistics": match_statistics,
@@ -196,4 +231,19 @@ pairs AS (SELECT n.book_id, n.para_idx AS new_id, o.para_idx AS old_id, o.page_n
 c AS (SELECT *, count(*) FILTER (close) OVER (PARTITION BY book_id, new_id) AS n_close FROM pairs),
 e AS (SELECT *, row_number() OVER (PARTITION BY book_id, new_id ORDER BY NOT close, old_page, old_id) AS r FROM c WHERE (close OR n_close < 5) AND """ + _NORM.format("a") + " = " + _NORM.format("b") + """)
 SELECT book_id, new_id, old_id, 1.0::DOUBLE AS similarity FROM e WHERE r = 1""",
+    "translate_with_glossary": ITEMS_SQL + r""",
+ws AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark),
+terms AS (SELECT DISTINCT w[1] AS term, 'one' AS translation FROM ws WHERE len(w) > 0 UNION SELECT DISTINCT w[1] || ' ' || w[2], 'two' FROM ws WHERE len(w) > 1),
+spoken AS (SELECT job_id, batch_no, para_idx, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM items),
+grams AS (SELECT job_id, batch_no, w[i] AS gram FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM spoken) UNION SELECT job_id, batch_no, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM spoken)),
+lines AS (SELECT job_id, batch_no, string_agg(term || ' → ' || translation, chr(10) ORDER BY term, translation) AS terms FROM grams JOIN terms ON term = gram GROUP BY ALL),
+before AS (SELECT job_id, batch_no, arg_min(prev, para_idx) AS context FROM (SELECT job_id, batch_no, para_idx, coalesce(lag(cached_text) OVER (PARTITION BY job_id ORDER BY para_idx), '') AS prev FROM hits) GROUP BY ALL)
+SELECT h.job_id, h.id, h.batch_no, CASE WHEN h.text = '' THEN '' ELSE 'Translate.' || CASE WHEN terms IS NOT NULL THEN chr(10) || chr(10) || 'Glossary:' || chr(10) || terms ELSE '' END
+  || CASE WHEN context <> '' THEN chr(10) || chr(10) || 'Context:' || chr(10) || substr(context, 1, 500) ELSE '' END END AS translation, CASE WHEN h.text = '' THEN 'failed' ELSE 'completed' END AS status
+FROM hits h LEFT JOIN lines USING (job_id, batch_no) LEFT JOIN before USING (job_id, batch_no) WHERE NOT cached""",
+    "job_throughput": """WITH e AS (SELECT user_id AS job_id, ts, length(props) AS n, event_type = 'view' AS cached, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, TRUE) AS opens FROM events),
+s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts) AS session FROM e),
+g AS (SELECT job_id, session, min(ts) AS a, max(ts) AS b, count(*) AS paragraphs, CAST(sum(n) AS BIGINT) AS chars, count(*) FILTER (cached) AS hits FROM s GROUP BY job_id, session)
+SELECT job_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS started_at, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS ended_at, paragraphs, chars,
+  CASE WHEN b > a THEN round(paragraphs / ((epoch_us(b) - epoch_us(a)) / 1e6), 6) ELSE -1.0 END AS paragraphs_per_second, CASE WHEN b > a THEN round(chars / ((epoch_us(b) - epoch_us(a)) / 1e6), 6) ELSE -1.0 END AS chars_per_second, round(hits / paragraphs, 6) AS hit_ratio FROM g""",
 }

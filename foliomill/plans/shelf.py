@@ -9,7 +9,7 @@ from foliomill.operators import library as Y
 from foliomill.operators import paragraphs as P
 from foliomill.plans import fixtures as X
 from foliomill.plans.live import page_results, stream_of
-from foliomill.sources.scratch import saved, shared_folder
+from foliomill.sources.scratch import saved_by, shared_folder
 from foliomill.sources.tables import TableSet
 from foliomill.streaming import progress as G
 
@@ -24,9 +24,9 @@ def _filled(spark: SparkSession, d: str) -> TableSet:
         tx.upsert("books", docs.select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), F.lit("assembling").alias("parse_status")))
         tx.upsert("pages", pages, "version")
         tx.upsert("assets", pages.where("page_number % 3 = 0").select("book_id", F.concat(F.lit("page-"), F.col("page_number").cast("string"), F.lit(".png")).alias("name")))
-    marked = saved(P.mark_breaks(X.body_lines(spark, d)), folder, "lines")
-    paras = saved(P.merge_paragraphs(marked), folder, "paragraphs")
-    assigned = saved(P.assign_chapters(P.merge_across_pages(paras)), folder, "assigned")
+    marked = saved_by(P.mark_breaks(X.body_lines(spark, d)), folder, "lines", "book_id")
+    paras = saved_by(P.merge_paragraphs(marked), folder, "paragraphs", "book_id")
+    assigned = saved_by(P.assign_chapters(P.merge_across_pages(paras)), folder, "assigned", "book_id")
     with store.transaction() as tx:
         Y.insert_structure(tx, P.chapters(assigned), P.chapter_paragraphs(assigned), P.merged_fragments(P.source_fragments(marked), paras))
     return store
