@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliomill.functions.entities import html_unescape
+
 # Prefixes and suffixes that make a hyphenated word certain.
 PREFIXES = (
     "anti", "auto", "bi", "co", "counter", "de", "dis", "down", "extra", "fore", "hyper", "il", "im", "in", "inter",
@@ -94,6 +96,11 @@ def clean_book_text(x: Column) -> Column:
     return strip(x)
 
 
+def clean_epub_text(x: Column) -> Column:
+    """Clean-up of text from XHTML with its character references still in it."""
+    return clean_book_text(html_unescape(x))
+
+
 def normalise_for_match(x: Column) -> Column:
     """Lower case, single spaces, no hyphens and no punctuation."""
     x = strip(F.lower(x))
