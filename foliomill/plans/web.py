@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import clean_book_text
+from foliomill.functions import entities
+from foliomill.functions.text import clean_book_text, clean_epub_text
 from foliomill.operators import slicing as S
 from foliomill.plans import fixtures as X
+from foliomill.sources import formats
 from foliomill.sources import html_blocks as H
 
 HOST = r"^https?://([^/?#]+)"
@@ -107,11 +109,53 @@ def clean_text_epub_core(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents").select("doc_id", clean_book_text(F.col("text")).alias("clean"))
 
 
+def html_unescape(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's source with its character references resolved; ids in front stand for pages with many kinds of them."""
+    given = F.concat(F.lit("&#"), (F.col("page_id") * 7).cast("string"), F.lit(";&#x"), F.hex("page_id"), F.lit("&notit;&amp;lt;&NotEqualTilde;&copy2&bogus; "), F.col("html"))
+    return X.table(spark, d, "pages").select("page_id", F.md5(entities.html_unescape(given)).alias("text_md5"))
+
+
+def clean_text_epub(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's source cleaned as a text, references first."""
+    return X.table(spark, d, "pages").select("page_id", clean_epub_text(F.col("html")).alias("clean"))
+
+
+def format_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Which parser takes a file of each page's address, and the error where none does; .htm is registered beside those that are there."""
+    known = formats.default_formats().register(".htm", "xhtml", formats.xhtml)
+    named = X.table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, ("", ".TXT", ".xhtml", ".pdf", ".tar.gz", ".htm"))), (F.col("page_id") % 6 + 1).cast("int"))).alias("path"))
+    routed = known.route(named)
+    return routed.select("page_id", "extension", F.coalesce("parser", F.lit("")).alias("parser"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 QUERIES = {
+    "html_unescape": html_unescape, "clean_text_epub": clean_text_epub, "format_routing": format_routing,
     "html_blocks": html_blocks, "html_block_counts": html_block_counts, "toc_file_match": toc_file_match, "cut_dedupe": cut_dedupe, "toc_slices": toc_slices, "heading_slices": heading_slices,
     "fragment_locate": fragment_locate, "image_src_resolve": image_src_resolve, "asset_safe_names": asset_safe_names, "clean_text_epub_core": clean_text_epub_core,
 }
 
+
+
+def unescape_sql(source: str) -> str:
+    """Texts of `source` (id, text) without character references, as `unescaped`: references are rows, names are a table."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'" if t.isprintable() else " || ".join(f"chr({ord(c)})" for c in t)
+    names = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in entities.html5.items())
+    windows = " ".join(f"WHEN {k} THEN {quote(v)}" for k, v in entities.WINDOWS.items())
+    return rf"""names(name, value) AS (VALUES {names}),
+split AS (SELECT id, string_split_regex(text, '&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)') AS parts, regexp_extract_all(text, '&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)', 1) AS refs FROM {source}),
+refs AS (SELECT id, i, refs[i] AS ref FROM (SELECT id, refs, unnest(range(1, len(refs) + 1)) AS i FROM split)),
+kinds AS (SELECT ref, CASE WHEN ref LIKE '#%' THEN coalesce(CASE WHEN ref[2] IN ('x', 'X') THEN TRY_CAST('0x' || regexp_replace(ref, '^#[xX]|;$', '', 'g') AS BIGINT) ELSE TRY_CAST(regexp_replace(ref, '^#|;$', '', 'g') AS BIGINT) END, 1114112) END AS code FROM (SELECT DISTINCT ref FROM refs)),
+shorter AS (SELECT ref, arg_max(value, length(name)) AS value, max(length(name)) AS n FROM kinds JOIN names ON starts_with(ref, name) AND length(name) BETWEEN 2 AND length(ref) - 1 WHERE code IS NULL GROUP BY ref),
+decoded AS (SELECT k.ref, CASE WHEN code IS NULL THEN coalesce(n.value, s.value || substr(k.ref, s.n + 1), '&' || k.ref)
+    WHEN code = 13 THEN chr(13) WHEN code BETWEEN 128 AND 159 THEN CASE code {windows} END WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533)
+    WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN '' ELSE chr(CAST(code AS INT)) END AS value
+  FROM kinds k LEFT JOIN names n ON n.name = k.ref LEFT JOIN shorter s ON s.ref = k.ref),
+values_ AS (SELECT id, list(value ORDER BY i) AS vs FROM refs JOIN decoded USING (ref) GROUP BY id),
+unescaped AS (SELECT s.id, CASE WHEN vs IS NULL THEN parts[1] ELSE array_to_string(list_transform(parts, lambda p, i: p || coalesce(vs[i], '')), '') END AS text FROM split s LEFT JOIN values_ v ON v.id = s.id)"""
+
+
+_CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(173), ''), '[‐‑]', '-', 'g'), '[\s\x0B\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '([a-z])-\s+([a-z])', '\1\2', 'g'), '\s+([,.:;!?)\]}>%])', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+
 _NUMBERED = X.BODY_SQL + """, numbered AS (SELECT book_id, text, CAST(row_number() OVER (PARTITION BY book_id ORDER BY line_idx) - 1 AS INT) AS block_index FROM body),
 raw_cuts AS (SELECT book_id, block_index, block_index % 2 AS depth FROM numbered WHERE block_index % 7 = 3 OR block_index % 5 = 2 UNION SELECT book_id, block_index, 0 FROM numbered WHERE block_index % 7 = 3 OR block_index % 5 = 2)"""
 
@@ -149,4 +193,11 @@ n AS (SELECT book_id, page_id, regexp_replace(string_split(regexp_replace(url, '
 k AS (SELECT *, row_number() OVER (PARTITION BY book_id, name ORDER BY page_id) - 1 AS nth FROM n)
 SELECT book_id, page_id AS asset_idx, CASE WHEN nth = 0 THEN name ELSE regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_' || nth || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 2) END AS safe_name FROM k""",
     "clean_text_epub_core": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(173), ''), '[‐‑]', '-', 'g'), '\s+', ' ', 'g'), '([a-z])-\s+([a-z])', '\1\2', 'g'), '\s+([,.:;!?)\]}>%])', '\1', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents""",
+    "html_unescape": f"""WITH pages_ AS (SELECT page_id AS id, '&#' || page_id * 7 || ';&#x' || printf('%X', page_id) || '&notit;&amp;lt;&NotEqualTilde;&copy2&bogus; ' || html AS text FROM pages), {unescape_sql('pages_')}
+SELECT id AS page_id, md5(text) AS text_md5 FROM unescaped""",
+    "clean_text_epub": f"WITH pages_ AS (SELECT page_id AS id, html AS text FROM pages), {unescape_sql('pages_')} SELECT id AS page_id, {_CLEAN_SQL} AS clean FROM unescaped",
+    "format_routing": r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || ['', '.TXT', '.xhtml', '.pdf', '.tar.gz', '.htm'][page_id % 6 + 1] AS path FROM pages),
+e AS (SELECT page_id, lower(regexp_extract(string_split(path, '/')[-1], '\.[^.]+$')) AS extension FROM p)
+SELECT page_id, extension, CASE extension WHEN '.txt' THEN 'text' WHEN '.html' THEN 'xhtml' WHEN '.htm' THEN 'xhtml' WHEN '.xhtml' THEN 'xhtml' ELSE '' END AS parser,
+  CASE WHEN extension IN ('.txt', '.html', '.htm', '.xhtml') THEN '' ELSE 'unsupported format: ' || extension END AS error FROM e""",
 }

@@ -74,7 +74,7 @@ def settings(spark: SparkSession, folder: str, prefix: str = "spark.foliomill.")
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.conf").text(folder)
     pair = F.regexp_extract("value", r"^\s*([A-Za-z0-9_.-]+)\s*=\s*(.*?)\s*$", 1), F.regexp_extract("value", r"^\s*([A-Za-z0-9_.-]+)\s*=\s*(.*?)\s*$", 2)
     named = lines.select(pair[0].alias("name"), pair[1].alias("value"), F.lit(0).alias("rank")).where("name <> ''")
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(folder)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     prompts = texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), "value", F.lit(1).alias("rank"))
     own = [(k.removeprefix(prefix), v, 2) for k, v in spark.conf.getAll.items() if k.startswith(prefix)]
     session = spark.createDataFrame(own, "name string, value string, rank int")
