@@ -170,7 +170,9 @@ def learn(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text
     # A language's least hashes hold at most train_rows passages of one text, so each text gives no more.
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / passage).cast("int"))
     least = F.slice(F.array_sort(F.transform(numbers, lambda k: F.struct(F.xxhash64("id", k).alias("u"), k.alias("k")))), 1, train_rows)
-    passages = known.select("lang", "text", F.inline(least)).select("lang", "u", F.substring(F.col("text"), F.col("k") * passage + 1, F.lit(passage)).alias("passage"))
+    # Passages are cut before they become rows of their own: no row carries its whole text along.
+    cut = F.transform(least, lambda p: F.struct(p["u"].alias("u"), F.substring(F.col("text"), p["k"] * passage + 1, F.lit(passage)).alias("passage")))
+    passages = known.select("lang", F.inline(cut))
     ranked = passages.withColumn("r", F.dense_rank().over(W.partitionBy("lang").orderBy("u", "passage"))).where(F.col("r") <= train_rows).select("lang", "r", "passage").distinct()
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in ranked.limit(MOST_LANGUAGES * train_rows + 1).collect():
