@@ -112,6 +112,11 @@ class TableSet:
         schema = self.tables[name].schema
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def bucket(self, name: str) -> Column:
+        """The bucket of a row of a table, from its key."""
+        table = self.tables[name]
+        return F.pmod(F.xxhash64(*[F.col(k) for k in table.key]), F.lit(table.buckets)).cast("int")
+
     def transaction(self, stream: str | None = None, epoch: int | None = None) -> Transaction:
         """Changes that become visible together. With a stream's name and epoch, an epoch that is committed already changes nothing."""
         return Transaction(self, stream, epoch)
@@ -144,9 +149,6 @@ class Transaction:
         """Rows as this transaction has left them so far."""
         return self.store.read(name, buckets=buckets, manifest=self.manifest)
 
-    def _bucket(self, table: Table) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in table.key]), F.lit(table.buckets)).cast("int")
-
     def _write(self, table: Table, rows: DataFrame) -> dict[int, str]:
         """Write rows (with __bucket) to folders of their own, by bucket."""
         write = f"data/{table.name}/{uuid.uuid4().hex}"
@@ -177,7 +179,7 @@ class Transaction:
 
         def chosen(df: DataFrame, rank: list[Column]) -> DataFrame:
             """One exchange, by bucket, serves the choice and the files."""
-            dealt = df.withColumn("__bucket", self._bucket(table)).repartition(table.buckets, "__bucket")
+            dealt = df.withColumn("__bucket", self.store.bucket(table.name)).repartition(table.buckets, "__bucket")
             return dealt.withColumn("__r", F.row_number().over(W.partitionBy("__bucket", *table.key).orderBy(*rank))).where("__r = 1")
 
         folders = self._write(table, chosen(new, order))
@@ -200,7 +202,7 @@ class Transaction:
         table = self.store.tables[name]
         on = on or list(table.key)
         wanted = gone.select(*on).distinct()
-        hit = self.read(name).join(wanted, on, "left_semi").withColumn("__bucket", self._bucket(table))
+        hit = self.read(name).join(wanted, on, "left_semi").withColumn("__bucket", self.store.bucket(table.name))
         # Referring rows go first, while the rows that they refer to can still be read.
         for child in self.store.tables.values():
             for column, (parent, target) in child.references.items():
@@ -208,5 +210,5 @@ class Transaction:
                     self.delete(child.name, hit.select(F.col(target).alias(column)), [column], spare)
         touched = [r[0] for r in hit.select("__bucket").distinct().collect()]
         if touched:
-            left = self.read(name, touched).join(wanted, on, "left_anti").withColumn("__bucket", self._bucket(table))
+            left = self.read(name, touched).join(wanted, on, "left_anti").withColumn("__bucket", self.store.bucket(table.name))
             self._replace(table, touched, self._write(table, left.repartition(len(touched), "__bucket")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
-from foliomill.operators.enrich import job_status, translate
-from foliomill.sources.tables import TableSet
+from foliomill.operators.enrich import cache_rows, job_status, translate, with_hash
+from foliomill.operators.store import ingest
+from foliomill.sources.tables import Table, TableSet
 
 TERMINAL = ("completed", "failed", "partial")
 
@@ -67,24 +69,47 @@ def upsert_pages(stream: DataFrame, store: TableSet, table: str, checkpoint: str
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What translate_stream keeps between epochs: one row for each text that was translated.
+CACHE = Table("cache", StructType([StructField(c, StringType()) for c in ("source_hash", "translated_text", "status")]), ("source_hash",), 64)
+
+
 def translate_stream(items: DataFrame, path: str, checkpoint: str, provider, cache: DataFrame, prompt: str = "", rows_order: str = "paragraph_order") -> StreamingQuery:
     """Translate items as they arrive, one micro-batch at a time: results in path/results, one folder for each epoch.
 
     Stopping the query pauses the job, starting it again from its checkpoint resumes it; how much one micro-batch holds is
-    the source's setting. An epoch that is run again overwrites its own folder. Texts that earlier epochs translated are
-    taken from their results.
+    the source's setting. Texts that earlier epochs translated come from a table of their own in path/cache: an epoch reads and rewrites only the
+    buckets that its texts fall into, however many epochs there were. An epoch that is run again overwrites its folder, or, if its texts are in the
+    cache already, changes nothing.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = cache.select("source_hash", "translated_text", "status")
-        if epoch:
-            done = spark.read.option("recursiveFileLookup", "true").schema(_RESULTS).parquet(f"{path}/results").where(f"epoch < {epoch} AND status = 'completed'")
-            known = known.unionByName(done.select("source_hash", F.col("translation").alias("translated_text"), "status"))
-        results = translate(batch, known, provider, [rows_order], prompt).withColumn("epoch", F.lit(epoch).cast("long"))
-        results.write.mode("overwrite").parquet(f"{path}/results/e{epoch:09d}")
+        store = TableSet(batch.sparkSession, f"{path}/cache", [CACHE])
+        with store.transaction(stream=checkpoint, epoch=epoch) as tx:
+            if tx.done:
+                return
+            texts = with_hash(batch).select("source_hash")
+            buckets = [r[0] for r in texts.select(store.bucket("cache").alias("b")).distinct().collect()]  # at most CACHE.buckets
+            known = cache.select("source_hash", "translated_text", "status").unionByName(tx.read("cache", buckets))
+            results = translate(batch, known, provider, [rows_order], prompt).withColumn("epoch", F.lit(epoch).cast("long"))
+            folder = f"{path}/results/e{epoch:09d}"
+            results.write.mode("overwrite").parquet(folder)
+            tx.upsert("cache", cache_rows(batch.sparkSession.read.schema(results.schema).parquet(folder)))
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_RESULTS = "job_id long, batch_no int, id string, source_hash string, translation string, cached boolean, error string, status string, message string, epoch long"
+def ingest_stream(files: DataFrame, store: TableSet, table: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """Books of files as they arrive (path, modificationTime, content): supported formats only, one book for each content.
+
+    A file that comes again within `late` is dropped in the stream; one that comes later finds its book in the table, since a book's id is its content's MD5. The table
+    needs book_id, title, format, file_path, parse_status and uploaded_at.
+    """
+    known = files.withColumn("book_id", F.md5("content")).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["book_id"])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        with store.transaction(stream=checkpoint, epoch=epoch) as tx:
+            if not tx.done:
+                fresh = ingest(batch).drop("book_id").join(batch.select(F.col("path").alias("file_path"), "book_id"), "file_path")
+                tx.upsert(table, fresh.join(tx.read(table).select("book_id"), "book_id", "left_anti"))
+
+    return known.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

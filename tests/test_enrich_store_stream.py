@@ -4,12 +4,14 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliomill.operators import enrich as E
 from foliomill.operators import migrate as M
 from foliomill.operators import reader as R
 from foliomill.operators import store as T
 from foliomill.sources import html_blocks as H
+from foliomill.sources.tables import Table, TableSet
 from foliomill.streaming import progress as G
 
 
@@ -130,3 +132,27 @@ def test_translation_stream_resumes_with_its_own_cache(spark, tmp_path):
         G.translate_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), make_provider(), empty).awaitTermination()
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "results")).orderBy("id").collect()
     assert [(r.id, r.cached, r.status) for r in got] == [("a", False, "completed"), ("b", False, "completed"), ("c", True, "completed"), ("d", False, "completed")]
+    # Later epochs read their buckets only: the cache has one row for each text, and no epoch's results are read again.
+    store = TableSet(spark, str(tmp_path / "out" / "cache"), [G.CACHE])
+    assert sorted(r.translated_text for r in store.read("cache").collect()) == ["<boom>", "<one>", "<two>"] and len(store.versions()) == 2
+
+
+def test_a_file_uploaded_twice_is_one_book(spark, tmp_path):
+    books = Table("books", StructType.fromDDL("book_id string, title string, format string, file_path string, parse_status string, uploaded_at string"), ("book_id",), 2)
+    store, folder = TableSet(spark, str(tmp_path / "set"), [books]), tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder))
+        G.ingest_stream(files.select("path", "modificationTime", "content"), store, "books", str(tmp_path / "check")).awaitTermination()
+
+    for name, text in (("a.epub", "one"), ("b.epub", "one"), ("c.pdf", "two"), ("d.txt", "three")):
+        (folder / name).write_text(text)
+    run()
+    with store.transaction() as tx:
+        tx.upsert("books", store.read("books").withColumn("parse_status", F.lit("completed")))
+    (folder / "e.epub").write_text("one")
+    (folder / "f.epub").write_text("four")
+    run()
+    got = sorted((r.format, r.parse_status) for r in store.read("books").collect())
+    assert got == [("epub", "completed"), ("epub", "pending"), ("pdf", "completed")]
