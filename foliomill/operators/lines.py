@@ -180,6 +180,23 @@ def ocr_lines(raw: DataFrame) -> DataFrame:
     return made.where(~is_garbage(F.col("text"))).select(_LINE_COLUMNS)
 
 
+def rescale(lines: DataFrame, dpi: Column | int, to: int = 200) -> DataFrame:
+    """Boxes that were read at another resolution, in pixels of `to` dots an inch; a null or zero resolution leaves them as they are."""
+    dots = (F.lit(dpi) if isinstance(dpi, int) else dpi).cast("double")
+    factor = F.when(dots > 0, to / dots).otherwise(1.0)
+    return lines.withColumns({c: F.col(c) * factor for c in BOX})
+
+
+def with_page_sizes(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_w and page_h of each line from its page's row (book_id, page_number, width, height), as whole numbers; null for pages without one.
+
+    Stages after this take an unknown height for 1 and skip rules that need an unknown width. Of several rows of a page the largest counts.
+    """
+    whole = lambda c: F.floor(F.max(c)).cast("double")
+    sizes = pages.groupBy("book_id", "page_number").agg(whole("width").alias("page_w"), whole("height").alias("page_h"))
+    return lines.drop("page_w", "page_h").join(sizes, ["book_id", "page_number"], "left").select(*lines.columns)
+
+
 def recognise(pages: DataFrame, engine, image: str = "image") -> DataFrame:
     """Run a recognition engine over page images: engine() gives a function from bytes to (points, text, confidence) entries.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import PREFIXES, SUFFIXES, camel_split, clean_pdf_text, html_escape, is_garbage, joins_by_hyphen, meaningful_ratio, normalise_for_match, replacement_ratio
+from foliomill.functions.text import PREFIXES, PUNCTUATION_ONLY, SUFFIXES, camel_split, clean_pdf_text, html_escape, is_garbage, joins_by_hyphen, meaningful_ratio, normalise_for_match, replacement_ratio
 from foliomill.operators import lines as L
 from foliomill.operators import paragraphs as P
 from foliomill.operators import quality as Q
@@ -158,7 +158,43 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents").select("doc_id", html_escape(F.col("text")).alias("escaped"), camel_split(F.col("text")).alias("split_words"))
 
 
+def native_lines_px(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text blocks in points, as pixels; each line comes as two spans, every block of images is skipped."""
+    lines = X.body_lines(spark, d)
+    cut = F.floor(F.length("text") / 2).cast("int")
+    spans = F.array(F.struct(F.substring("text", F.lit(1), cut).alias("text")), F.struct(F.substring("text", cut + 1, F.length("text")).alias("text")))
+    line = F.struct("line_idx", spans.alias("spans"), F.array("x1", "y1", "x2", "y2").alias("bbox"))
+    pages = lines.groupBy("book_id", "page_number", "page_w", "page_h").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    blocks = F.array(F.struct(F.lit(0).alias("type"), "lines"), F.struct(F.lit(1).alias("type"), F.col("lines").alias("lines")))
+    return L.native_lines(pages.select("book_id", "page_number", "page_w", "page_h", blocks.alias("blocks"))).select("book_id", "page_number", "line_idx", "text", "x1", "y2", "page_w")
+
+
+def ocr_lines_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised boxes as lines; every seventh is garbage, every eleventh has no corners."""
+    at = lambda x, y: F.array(F.col(x), F.col(y))
+    corners = F.when(F.col("line_idx") % 11 == 0, F.expr("cast(array() as array<array<double>>)")).otherwise(F.array(at("x2", "y1"), at("x1", "y1"), at("x1", "y2"), at("x2", "y2")))
+    text = F.when(F.col("line_idx") % 7 == 0, " —· … ").otherwise(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))
+    raw = X.body_lines(spark, d).select("book_id", "page_number", F.col("line_idx").cast("int").alias("seq"), corners.alias("pts"), text.alias("text"), F.col("confidence").alias("conf"), "page_w", "page_h")
+    return L.ocr_lines(raw).select("book_id", "page_number", "line_idx", "text", "x1", "y1", "x2", "y2", "confidence")
+
+
+def dpi_rescale(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read a second time at 260 dots an inch, in pixels of 200."""
+    page = F.col("page_number")
+    dpi = F.when(page % 3 == 0, 260).when(page % 3 == 1, 200)
+    return L.rescale(X.body_lines(spark, d), dpi).select("book_id", "line_idx", "x1", "y1", "x2", "y2")
+
+
+def page_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with the size of their page; every fourth page has no row."""
+    lines = X.body_lines(spark, d)
+    pages = lines.where("page_number % 4 > 0").select("book_id", "page_number", (F.col("page_w") + F.col("page_number") + 0.7).alias("width"), "page_h").withColumnRenamed("page_h", "height").distinct()
+    sized = L.with_page_sizes(lines, pages)
+    return sized.select("book_id", "line_idx", F.coalesce("page_w", F.lit(-1.0)).alias("page_w"), F.coalesce("page_h", F.lit(-1.0)).alias("page_h"))
+
+
 QUERIES = {
+    "native_lines_px": native_lines_px, "ocr_lines_kept": ocr_lines_kept, "dpi_rescale": dpi_rescale, "page_sizes": page_sizes,
     "lines_explode": lines_explode, "pages_completed": pages_completed, "lines_json_roundtrip": lines_json_roundtrip, "native_text_gate": native_text_gate, "garbage_lines": garbage_lines,
     "ocr_quality_score": ocr_quality_score, "ocr_retry_choice": ocr_retry_choice, "reading_order": reading_order, "same_line_merge": same_line_merge, "header_footer_clean": header_footer_clean,
     "hyphen_merge": hyphen_merge, "hyphen_merge_pairs": hyphen_merge_pairs, "paragraph_breaks": paragraph_breaks, "paragraphs": paragraphs, "source_fragments": source_fragments,
@@ -174,6 +210,7 @@ raw AS (SELECT book_id, page_number, string_agg(text, chr(10) ORDER BY line_idx)
 m AS (SELECT *, {_SPACELESS} AS n, {_MEANING} / {_SPACELESS} AS ratio FROM raw),
 q AS (SELECT *, wc * 0.35 + ratio * 0.30 + least(length(text) / 500.0, 1.0) * 0.25 + least(n_lines / 30.0, 0.3) AS score FROM m)"""
 
+_GARBAGE = PUNCTUATION_ONLY.replace("'", "''")
 _PREFIX_LIST = ", ".join(f"'{x}'" for x in PREFIXES)
 _SUFFIX_LIST = ", ".join(f"'{x}'" for x in SUFFIXES)
 
@@ -233,4 +270,9 @@ SELECT book_id, line_idx, length(a) > 2 AND length(b) > 2 AND length(a) + length
     "normalize_text": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '[-‐‑]', '', 'g'), '[^\p{L}\p{N}\p{Mn}\p{Mc}\p{Pc}\s]', '', 'g'), '^\s+|\s+$', '', 'g') AS norm FROM conversations""",
     "html_escape": """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
   regexp_replace(text, '([a-z])([A-Z][a-z])', '\\1 \\2', 'g') AS split_words FROM documents""",
+    "native_lines_px": f"""WITH {X.BODY_SQL} SELECT book_id, page_number, row_number() OVER (PARTITION BY book_id, page_number ORDER BY line_idx) - 1 AS line_idx, t AS text, x1 * (200.0::DOUBLE / 72) AS x1, y2 * (200.0::DOUBLE / 72) AS y2, page_w * (200.0::DOUBLE / 72) AS page_w
+FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM body) WHERE length(t) >= 2""",
+    "ocr_lines_kept": f"WITH {X.BODY_SQL} SELECT book_id, page_number, line_idx, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, x1, y1, x2, y2, confidence FROM body WHERE line_idx % 7 > 0 AND line_idx % 11 > 0 AND NOT regexp_matches(text, '{_GARBAGE}')",
+    "dpi_rescale": f"WITH {X.BODY_SQL}, f AS (SELECT *, CASE WHEN page_number % 3 = 0 THEN 200 / 260.0::DOUBLE ELSE 1.0::DOUBLE END AS f FROM body) SELECT book_id, line_idx, x1 * f AS x1, y1 * f AS y1, x2 * f AS x2, y2 * f AS y2 FROM f",
+    "page_sizes": f"WITH {X.BODY_SQL} SELECT book_id, line_idx, CASE WHEN page_number % 4 > 0 THEN 1700.0 + page_number ELSE -1.0 END::DOUBLE AS page_w, CASE WHEN page_number % 4 > 0 THEN 2200.0 ELSE -1.0 END::DOUBLE AS page_h FROM body",
 }
