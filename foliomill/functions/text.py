@@ -159,9 +159,3 @@ def file_extension(x: Column) -> Column:
 
 def safe_file_name(x: Column) -> Column:
     return F.regexp_replace(x, "[^a-zA-Z0-9._-]", "_")
-
-
-def or_default(x: Column, *fallbacks: Column) -> Column:
-    """The first value that is neither null nor zero nor empty, else the last."""
-    *some, last = (x, *fallbacks)
-    return F.coalesce(*[F.nullif(c, F.lit("")) if i < 0 else F.when(c.cast("string").isin("0", ""), None).otherwise(c) for i, c in enumerate(some)], last)

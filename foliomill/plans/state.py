@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from foliomill.operators import reader as R
 from foliomill.operators import store as T
 from foliomill.plans import fixtures as X
 from foliomill.plans.enrichment import UPDATES_SQL, _updates
@@ -102,7 +103,15 @@ def page_progress(spark: SparkSession, d: str) -> DataFrame:
     return G.page_progress(rows)
 
 
+def job_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every job as the JSON body of its route, under the names that readers know."""
+    jobs = G.job_progress(_updates(spark, d)).withColumnsRenamed({"total": "total_paragraphs", "completed": "completed_paragraphs", "failed": "failed_paragraphs"})
+    fields = R.api_fields(jobs)
+    return fields.select("job_id", F.to_json(F.struct("job_id", "status", "total", "completed", "failed")).alias("body"))
+
+
 QUERIES = {
+    "job_payloads": job_payloads,
     "upsert_pages": upsert_pages, "upsert_cache": upsert_cache, "cascade_delete": cascade_delete, "retry_failed": retry_failed, "crash_recovery": crash_recovery, "schema_evolution": schema_evolution,
     "job_progress": job_progress, "stream_job_progress": stream_job_progress, "stream_windowed_counts": stream_windowed_counts, "progress_frames": progress_frames, "page_progress": page_progress,
 }
@@ -126,4 +135,5 @@ SELECT 'chapters' AS table_name, n AS n_rows FROM c UNION ALL SELECT 'jobs', n F
     "stream_windowed_counts": f"WITH {UPDATES_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, status, count(*) AS n FROM updates GROUP BY ALL",
     "progress_frames": _PROGRESS + """ SELECT job_id, 'data: {"job_id":' || job_id || ',"status":"' || status || '","total":' || total || ',"completed":' || completed || ',"failed":' || failed || '}' || chr(10) || chr(10) AS frame, status <> 'running' AS terminal FROM p""",
     "page_progress": f"WITH {_PAGES_SQL} SELECT book_id, max(page_number) AS parsed_pages, count(*) FILTER (page_number % 5 = 0) AS failed_pages FROM pages_ GROUP BY book_id",
+    "job_payloads": _PROGRESS + """ SELECT job_id, '{"job_id":' || job_id || ',"status":"' || status || '","total":' || total || ',"completed":' || completed || ',"failed":' || failed || '}' AS body FROM p""",
 }
