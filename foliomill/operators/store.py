@@ -13,9 +13,9 @@ FORMATS = (".pdf", ".epub")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
-    """Rows of both, one for each key: the new one wins; among new ones the highest version."""
+    """Rows of both, one for each key: the new one wins; among new ones the highest version, then the one whose columns sort last."""
     rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    order = [F.desc("__new")] + ([F.desc(version)] if version else [])
+    order = [F.desc("__new"), *([F.desc(version)] if version else []), F.desc(F.struct(*rows.columns))]
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__new", "__r")
 
 
