@@ -20,8 +20,8 @@ def global_order(blocks: DataFrame) -> DataFrame:
 
 
 def _endings(path: Column) -> Column:
-    """All endings of a base name."""
-    return F.transform(F.sequence(F.lit(1), F.length(base_name(path))), lambda i: F.substring(base_name(path), i, 1_000_000))
+    """All endings of a base name, the empty one included."""
+    return F.transform(F.sequence(F.lit(1), F.length(base_name(path)) + 1), lambda i: F.substring(base_name(path), i, 1_000_000))
 
 
 def match_files(entries: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,19 +29,24 @@ def match_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     base name, or one path ending with the other; failing all files, the same base name in other case.
 
     Files are looked up by base name; a path ends with one of another base name only if that has no folder, so for
-    those all endings of base names are looked up too.
+    those all endings of base names are looked up too. Of the files of one name only the first is looked up, so an entry meets one row a name,
+    however many files have it.
     """
     key = ["book_id", "toc_index"]
     wanted, have = F.col("toc_file"), F.col("file")
     asked = entries.where("toc_file <> ''").select(*key, "toc_file")
     listed = files.select("book_id", "spine_idx", "file")
-    named = asked.withColumn("__b", F.lower(base_name(wanted))).join(listed.withColumn("__b", F.lower(base_name(have))), ["book_id", "__b"])
-    named = named.withColumn("tier", F.when(base_name(wanted) == base_name(have), 0).otherwise(1)).drop("__b")
+
+    def met(names: DataFrame, own: DataFrame, name: Column, tier: int) -> DataFrame:
+        first = own.select("book_id", name.alias("__e"), F.struct(F.lit(tier).alias("tier"), "spine_idx", "file").alias("__m")).groupBy("book_id", "__e").agg(F.min("__m").alias("__m"))
+        return names.join(first, ["book_id", "__e"]).select(*key, "__m")
+
     bare_files, bare_entries = listed.where(~have.contains("/")), asked.where(~wanted.contains("/"))
-    ends = asked.withColumn("__e", F.explode(_endings(wanted))).join(bare_files.withColumn("__e", have), ["book_id", "__e"]).withColumn("tier", F.lit(0)).drop("__e")
-    ended = bare_entries.withColumn("__e", wanted).join(listed.withColumn("__e", F.explode(_endings(have))), ["book_id", "__e"]).withColumn("tier", F.lit(0)).drop("__e")
-    pairs = named.unionByName(ends).unionByName(ended)
-    best = pairs.groupBy(*key).agg(F.min(F.struct("tier", "spine_idx", "file")).alias("__m"))
+    named = met(asked.withColumn("__e", base_name(wanted)), listed, base_name(have), 0)
+    cased = met(asked.withColumn("__e", F.lower(base_name(wanted))), listed, F.lower(base_name(have)), 1)
+    ends = met(asked.withColumn("__e", F.explode(_endings(wanted))), bare_files, have, 0)
+    ended = met(bare_entries.withColumn("__e", wanted), listed, F.explode(_endings(have)), 0)
+    best = named.unionByName(cased).unionByName(ends).unionByName(ended).groupBy(*key).agg(F.min("__m").alias("__m"))
     return entries.join(best, key, "left").select(*entries.columns, F.col("__m.file").alias("file"), F.col("__m.spine_idx").alias("spine_idx"))
 
 

@@ -170,6 +170,14 @@ def test_file_match_prefers_first_file(spark):
     assert [r.spine_idx for r in got] == [w for _, w in wanted]
 
 
+def test_file_match_of_repeated_names(spark):
+    """Many files of one base name, and a file without a name, which every path ends with."""
+    files = spark.range(1, 301).selectExpr("1L AS book_id", "CAST(id AS INT) AS spine_idx", "concat('d', id, '/') AS file").union(spark.createDataFrame([(2, 0, "a/B"), (2, 1, ""), (2, 2, "a/b")], "book_id long, spine_idx int, file string"))
+    entries = spark.range(1, 301).selectExpr("1L AS book_id", "CAST(id AS INT) AS toc_index", "concat('e', id, '/') AS toc_file").union(spark.createDataFrame([(2, 0, "c/d"), (2, 1, "x/b"), (2, 2, "a/B")], "book_id long, toc_index int, toc_file string"))
+    got = {(r.book_id, r.toc_index): r.spine_idx for r in S.match_files(entries, files).collect()}
+    assert got == {(1, i): 1 for i in range(1, 301)} | {(2, 0): 1, (2, 1): 1, (2, 2): 0}
+
+
 def test_slices(spark):
     blocks = spark.createDataFrame([(1, i, f"t{i}", "paragraph", None) for i in range(5)] + [(2, 0, "h", "heading", 1), (2, 1, "p", "paragraph", None)], "book_id long, block_index int, text string, type string, level int")
     cuts = spark.createDataFrame([(1, 1, "A", 0, 0), (1, 1, "B", 1, 1), (1, 3, "C", 0, 2), (2, 1, "one", 0, 0)], "book_id long, block_index int, title string, depth int, toc_index int")
