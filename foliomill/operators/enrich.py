@@ -159,14 +159,15 @@ def translate(items: DataFrame, cache: DataFrame, provider: Callable[[], Provide
     """Results of a job's items: id, job_id, batch_no, source_hash, translation, cached, error, status, message.
 
     Blank texts go to no provider. A repeat of an earlier batch's text takes that one's translation. With a glossary (group, term, translation) each batch has a
-    prompt of its own. Answers are written to the shared folder at once, so a batch is asked for once however often the results are used.
+    prompt of its own. Items with their hits, and answers, are written to the shared folder at once: items are made once, and a batch is asked for once however often the results are used.
     """
-    known = attribute_hits(lookup(number_batches(with_hash(items), order), cache))
+    folder = shared_folder(items.sparkSession)
+    known = saved(attribute_hits(lookup(number_batches(with_hash(items), order), cache)), folder, "known")
     blank = strip(F.col("text")) == ""
     misses = known.where(~blank & ~F.col("cached")).select("job_id", "batch_no", "id", "text")
     if glossary is not None:
         misses = misses.join(batch_prompts(known, prompt, glossary, order, group), ["job_id", "batch_no"])
-    asked = saved(ask(misses, provider, prompt), shared_folder(items.sparkSession), "answers")
+    asked = saved(ask(misses, provider, prompt), folder, "answers")
     joined = known.join(asked, ["job_id", "batch_no", "id"], "left")
     # One row for each text of a job, by a grouped aggregate: a text that fills a third of a large job is no window.
     earlier = asked.where("error IS NULL").join(known.select("job_id", "batch_no", "id", "source_hash"), ["job_id", "batch_no", "id"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.functions.rounding import py_round
+from foliomill.functions.rounding import py_round, py_round_once
 from foliomill.functions.text import joins_by_hyphen, needs_space, strip, strip_left, strip_right
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -94,7 +94,7 @@ def merge_same_line(blocks: DataFrame) -> DataFrame:
     weight = F.aggregate("m", F.lit(0.0), lambda w, b: w + b["confidence"] * F.length(b["text"]))
     first = F.element_at("m", 1)
     corners = {"x1": F.array_min("m.x1"), "y1": F.array_min("m.y1"), "x2": F.array_max("m.x2"), "y2": F.array_max("m.y2")}
-    made = {"text": F.array_join(spaced, ""), **corners, "confidence": F.when(total > 0, py_round(weight / total, 4)).otherwise(0.0), "page_w": first["page_w"], "page_h": first["page_h"]}
+    made = {"text": F.array_join(spaced, ""), **corners, "confidence": F.when(total > 0, py_round_once(weight / F.when(total > 0, total), 4)).otherwise(0.0), "page_w": first["page_w"], "page_h": first["page_h"]}
     return groups.withColumns(made).select(_LINE_COLUMNS)
 
 

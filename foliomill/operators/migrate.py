@@ -111,7 +111,9 @@ def best_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     similarities the first in page and paragraph order counts. Equal texts (after normalising, by MD5) need no comparison; of the others only
     pairs meet the UDF whose upper bound, from counts of characters, reaches the threshold and what was found before.
     """
-    pairs = saved(prepared_pairs(new, old), shared_folder(new.sparkSession), "pairs")
+    folder = shared_folder(new.sparkSession)
+    new, old = saved(new, folder, "new"), saved(old, folder, "old")
+    pairs = saved(prepared_pairs(new, old), folder, "pairs")
     best = equal_matches(pairs).unionByName(compared_matches(pairs, new, old).drop("compared"))
     joined = new.select("book_id", "new_id").join(best, ["book_id", "new_id"], "left").join(old.select("book_id", "old_id", "translation"), ["book_id", "old_id"], "left")
     text = F.coalesce("translation", F.lit(""))

@@ -11,6 +11,7 @@ from foliomill.operators import enrich as E
 from foliomill.operators import migrate as M
 from foliomill.operators import paragraphs as P
 from foliomill.plans import fixtures as X
+from foliomill.sources.scratch import saved, shared_folder
 
 
 class EchoProvider:
@@ -31,12 +32,22 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return paras.select(F.col("book_id").alias("job_id"), F.concat_ws("-", F.col("book_id").cast("string"), F.col("para_idx").cast("string")).alias("id"), "para_idx", "text")
 
 
-def cache(spark: SparkSession, d: str) -> DataFrame:
+def cache_of(own: DataFrame) -> DataFrame:
     """Texts of every third book are known."""
-    known = E.with_hash(items(spark, d).where("job_id % 3 = 0")).select("source_hash", "text").distinct()
+    known = E.with_hash(own.where("job_id % 3 = 0")).select("source_hash", "text").distinct()
     return known.select("source_hash", F.concat(F.lit("old:"), F.col("text")).alias("translated_text"), F.lit("completed").alias("status"))
 
 
+def cache(spark: SparkSession, d: str) -> DataFrame:
+    return cache_of(items(spark, d))
+
+
+def job(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Items, assembled once, and the cache."""
+    own = saved(items(spark, d), shared_folder(spark), "items")
+    return own, cache_of(own)
+
+
 ITEMS_SQL = "WITH " + X.BODY_SQL + X.BREAKS_SQL.replace("{source}", "body") + """,
 items AS (SELECT book_id AS job_id, concat_ws('-', CAST(book_id AS VARCHAR), CAST(para_idx AS VARCHAR)) AS id, para_idx, text, md5(text) AS source_hash, CAST(floor((row_number() OVER (PARTITION BY book_id ORDER BY para_idx) - 1) / 8) AS INT) AS batch_no FROM paras),
 known AS (SELECT source_hash, min('old:' || text) AS cached_text FROM items WHERE job_id % 3 = 0 GROUP BY source_hash),
@@ -61,12 +72,12 @@ def cached_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translate_batches(spark: SparkSession, d: str) -> DataFrame:
-    done = E.translate(items(spark, d), cache(spark, d), EchoProvider, ["para_idx"])
+    done = E.translate(*job(spark, d), EchoProvider, ["para_idx"])
     return done.select("job_id", "id", "batch_no", "cached", "translation", "error", "status", "message")
 
 
 def cache_writes(spark: SparkSession, d: str) -> DataFrame:
-    return E.cache_rows(E.translate(items(spark, d), cache(spark, d), EchoProvider, ["para_idx"])).select("id", "source_hash", "translated_text")
+    return E.cache_rows(E.translate(*job(spark, d), EchoProvider, ["para_idx"])).select("id", "source_hash", "translated_text")
 
 
 def parse_batch_response(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +180,8 @@ def book_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def translate_with_glossary(spark: SparkSession, d: str) -> DataFrame:
     """The prompt that each item's batch was sent with: the terms in it, and the known translation before it."""
-    done = E.translate(items(spark, d).withColumn("kind", F.lit(0)), cache(spark, d), PromptEcho, ["para_idx"], "Translate.", book_terms(spark, d), "kind")
+    own, known = job(spark, d)
+    done = E.translate(own.withColumn("kind", F.lit(0)), known, PromptEcho, ["para_idx"], "Translate.", book_terms(spark, d), "kind")
     return done.where("NOT cached").select("job_id", "id", "batch_no", "translation", "status")
 
 

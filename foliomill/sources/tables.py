@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foliomill.sources.scratch import saved
+
 
 class Conflict(Exception):
     """Another writer has committed since the transaction began."""
@@ -208,7 +210,12 @@ class Transaction:
             for column, (parent, target) in child.references.items():
                 if parent == name and child.name not in spare:
                     self.delete(child.name, hit.select(F.col(target).alias(column)), [column], spare)
-        touched = [r[0] for r in hit.select("__bucket").distinct().collect()]
+        # Only keys are joined; whole rows are exchanged once, by bucket, beside the keys that go.
+        own = list(dict.fromkeys(table.key))
+        keys = saved(hit.select("__bucket", *own), f"{self.store.path}/gone", uuid.uuid4().hex)
+        touched = [r[0] for r in keys.select("__bucket").distinct().collect()]
         if touched:
-            left = self.read(name, touched).join(wanted, on, "left_anti").withColumn("__bucket", self.store.bucket(table.name))
-            self._replace(table, touched, self._write(table, left.repartition(len(touched), "__bucket")))
+            rows = self.read(name, touched).withColumns({"__bucket": self.store.bucket(table.name), "__gone": F.lit(0)})
+            dealt = rows.unionByName(keys.withColumn("__gone", F.lit(1)), allowMissingColumns=True).repartition(len(touched), "__bucket")
+            left = dealt.withColumn("__gone", F.max("__gone").over(W.partitionBy("__bucket", *own))).where("__gone = 0")
+            self._replace(table, touched, self._write(table, left))
