@@ -92,14 +92,13 @@ def equal_matches(pairs: DataFrame) -> DataFrame:
 def compared_matches(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     """The best candidate of each new paragraph that has none of equal text: book_id, new_id, old_id, similarity, compared.
 
-    Only pairs whose bound reaches the threshold fetch their texts. A paragraph's candidates, those of seven pages at most, come as one array.
+    Only pairs whose bound reaches the threshold fetch their texts, and only these texts are normalised again. A paragraph's candidates, those of seven pages at most, come as one array.
     """
     open_pairs = pairs.withColumn("__solved", F.max("equal").over(W.partitionBy("book_id", "new_id"))).where(~F.col("__solved") & (F.col("bound") >= ACCEPT))
-    texts = old.select("book_id", "old_id", normalise_for_match(F.col("old_text")).alias("text"))
+    texts = old.select("book_id", "old_id", "old_text")
     entry = F.struct((-F.col("bound")).alias("below"), "rank", "old_id", "bound", "text")
-    found = open_pairs.join(texts, ["book_id", "old_id"]).groupBy("book_id", "new_id").agg(F.array_sort(F.collect_list(entry)).alias("others"))
-    own = new.select("book_id", "new_id", normalise_for_match(F.col("text")).alias("text"))
-    judged = found.join(own, ["book_id", "new_id"]).withColumn("best", best_of("text", F.transform("others", lambda c: F.struct(c["bound"].alias("bound"), c["rank"].alias("rank"), c["text"].alias("text")))))
+    found = open_pairs.join(texts, ["book_id", "old_id"]).withColumn("text", normalise_for_match(F.col("old_text"))).groupBy("book_id", "new_id").agg(F.array_sort(F.collect_list(entry)).alias("others"))
+    judged = found.join(new.select("book_id", "new_id", "text"), ["book_id", "new_id"]).withColumn("text", normalise_for_match(F.col("text"))).withColumn("best", best_of("text", F.transform("others", lambda c: F.struct(c["bound"].alias("bound"), c["rank"].alias("rank"), c["text"].alias("text")))))
     best = judged.select("book_id", "new_id", F.get("others", F.col("best.place"))["old_id"].alias("old_id"), "best.similarity", "best.compared")
     return best.where(F.col("similarity") >= ACCEPT)
 
