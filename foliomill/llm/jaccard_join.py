@@ -28,9 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import textbytes as tb
-from foliomill.llm.common import lower_ascii, saved, scratch_dir
+from foliomill.llm.common import dropped, lower_ascii, saved, saved_by, scratch_dir
 from foliomill.llm.graph import connected_components
 
 BAND_RATIO = 1.5
 #: Heads with more members are replaced by the centre of about so many of them.
 LARGE, SAMPLED = 64, 24
+#: Index entries are met in so many shares by signature, one after another. Heads with their members are taken in rounds of about so many pairs, or
+#: entries, for each document. So what lies in shuffle files at once grows with the documents only.
+SHARES = 4
+PAIRS_PER_ROUND, ENTRIES_PER_ROUND = 0.5, 24
 GONE = 1 << 62
 U = np.uint64
 
@@ -208,6 +212,23 @@ def _index(k: int, percent: int, docs_in_band: dict[int, int]):
     return run
 
 
+def _in_shares(index):
+    """The batches of `index` with each list cut by signature: (node, exact_0, gone_0, exact_1, gone_1, ...). A share is then read without the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in index(batches):
+            n, columns, names = batch.num_rows, [batch.column(0)], ["node"]
+            lists = {c: (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(c).value_lengths().to_numpy(zero_copy_only=False)) for c in ("exact", "gone")}
+            lists = {c: (np.repeat(np.arange(n), lengths), values, values % U(SHARES)) for c, (values, lengths) in lists.items()}
+            for share in range(SHARES):
+                for c, (rows, values, shares) in lists.items():
+                    columns.append(_lists(rows[shares == share], values[shares == share], n))
+                    names.append(f"{c}_{share}")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of x are in `known`, which is sorted."""
     if not len(known):
@@ -396,34 +417,48 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     band = F.size(F.filter(F.array(*[F.lit(h).cast("long") for h in _HIGHS.tolist()]), lambda h: h < F.col("n_shingles")))
     in_band = {r["band"]: r["docs"] for r in slim.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # a few dozen bands
 
-    index = saved(docs.select(F.col(text).alias("text")).mapInArrow(_index(k, percent, in_band), "node binary, exact array<long>, gone array<long>"), folder, "index")
+    columns = ", ".join(f"exact_{i} array<long>, gone_{i} array<long>" for i in range(SHARES))
+    index = saved(docs.select(F.col(text).alias("text")).mapInArrow(_in_shares(_index(k, percent, in_band)), f"node binary, {columns}"), folder, "index")
     # Entries carry their node's hash only, above 2**62 if a shingle is gone. Heads are aggregated within tasks first, and met in a
     # join: a bucket of very many members can be split. Nodes of equal hashes would only make more pairs to compare.
     code = F.shiftrightunsigned(F.xxhash64("node"), 2)
-    kinds = F.concat(F.transform("exact", lambda x: F.struct(x.alias("sig"), F.lit(0).cast("long").alias("gone"))), F.transform("gone", lambda x: F.struct(x.alias("sig"), F.lit(GONE).alias("gone"))))
-    entries = index.select(code.alias("code"), F.inline(kinds)).select("sig", (F.col("code") + F.col("gone")).alias("code"))
-    heads = entries.groupBy("sig").agg(F.min("code").alias("head"), F.max("code").alias("last")).where((F.col("head") < GONE) & (F.col("head") != F.col("last")))
     member = F.col("code").bitwiseAND(F.lit(GONE - 1))
-    met = entries.join(heads, "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
-    named = index.where("size(exact) > 0").select("node", code.alias("code")).distinct()
+
+    def met_in(i: int) -> DataFrame:
+        kinds = F.concat(F.transform(f"exact_{i}", lambda x: F.struct(x.alias("sig"), F.lit(0).cast("long").alias("gone"))), F.transform(f"gone_{i}", lambda x: F.struct(x.alias("sig"), F.lit(GONE).alias("gone"))))
+        entries = index.select(code.alias("code"), F.inline(kinds)).select("sig", (F.col("code") + F.col("gone")).alias("code"))
+        heads = entries.groupBy("sig").agg(F.min("code").alias("head"), F.max("code").alias("last")).where((F.col("head") < GONE) & (F.col("head") != F.col("last")))
+        return entries.join(heads, "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
+
+    met = reduce(DataFrame.union, [saved(met_in(i), folder, f"met-{i}") for i in range(SHARES)]).distinct()
+    named = index.where(" OR ".join(f"size(exact_{i}) > 0" for i in range(SHARES))).select("node", code.alias("code")).distinct()
     for side in ("a", "b"):
         met = met.join(named.select(F.col("node").alias(side), F.col("code").alias(f"code_{side}")), f"code_{side}")
     pairs = saved(met.select("a", "b"), folder, "pairs")
+    dropped(spark, folder, "index")
 
     # Texts of all nodes that share a bucket with another one, once each.
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     packed = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(_pack, "node binary, text binary")
     once = packed.groupBy("node").agg(F.first("text").alias("text"))
-    texts = saved(once.join(touched, "node", "left_semi"), folder, "texts")
+    texts = saved_by(once.join(touched, "node", "left_semi"), folder, "texts", "node")
 
     centres = saved(_centres(pairs, texts, k, large), folder, "centres")
-    compared = saved(_compared(pairs, texts, k, percent, centres), folder, "compared")
-    links = _links(compared, percent)
+    n_docs = sum(in_band.values())
+    rounds = max(1, math.ceil(pairs.count() / (PAIRS_PER_ROUND * max(n_docs, 1))))
+    compared = _in_rounds(lambda some: _compared(pairs.where(some), texts, k, percent, centres), "a", rounds, folder, "compared")
+    links = saved(_links(compared, percent), folder, "links-1")
     parts = connected_components(links, folder, "parts-1")
-    more_pairs = saved(_across(compared, parts, touched, percent), folder, "pairs-2")
+    apart = saved(_members_apart(compared, parts, percent), folder, "apart")
+    for r in range(rounds):
+        dropped(spark, folder, f"compared-{r}")
+    entries = apart.agg(F.sum((F.size("far") + F.size("added") + F.size("lacked")).cast("long"))).first()[0] or 0
+    more_pairs = saved(_across(apart, touched, percent, max(1, math.ceil(entries / (ENTRIES_PER_ROUND * max(n_docs, 1)))), folder), folder, "pairs-2")
+    dropped(spark, folder, "apart")
     more_links = saved(_links(_compared(more_pairs, texts, k, percent), percent), folder, "links-2")
     if not more_links.isEmpty():
         parts = connected_components(links.union(more_links), folder, "parts-2")
+    dropped(spark, folder, "texts")
 
     # Ids: the smallest of each node, then of each component.
     of_node = slim.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least_id"))
@@ -435,7 +470,24 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     )
 
 
-def _across(compared: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _in_rounds(made: Callable[[Column], DataFrame], head: str, rounds: int, folder: str, name: str) -> DataFrame:
+    """The rows of `made` for each share of the heads; a share is written, and its shuffle files can go, before the next one begins."""
+    some = [F.pmod(F.xxhash64(head), F.lit(rounds)) == r if rounds > 1 else F.lit(True) for r in range(rounds)]
+    return reduce(DataFrame.union, [saved(made(share), folder, f"{name}-{r}") for r, share in enumerate(some)])
+
+
+def _members_apart(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Members of heads whose members are in several components: what `_across` needs of them."""
+    alpha, beta = 100 + percent, 100 - percent
+    roots = parts.select("node", "root")
+    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far").join(roots, "node", "left")
+    rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "h": F.xxhash64("node"), "u": alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")}).drop("node")
+    least = F.min(F.when(F.col("near"), F.struct("u", F.col("h").alias("node"), "root")))
+    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0")).where("r0 <> r1").select("head", "m0")
+    return rows.join(several, "head").withColumn("joined", F.coalesce(F.col("near") & (F.col("u") + F.col("m0.u") <= 0), F.lit(False)))
+
+
+def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folder: str) -> DataFrame:
     """Pairs (a, b) of members of one head that are in different components and may still be linked.
 
     A member m of a head differs from the centre c by what it adds and what it lacks. 1 - similarity is a metric, so the
@@ -452,14 +504,8 @@ def _across(compared: DataFrame, parts: DataFrame, nodes: DataFrame, percent: in
     Prefixes start with what few members have, so what a whole group shares comes last. The first shared shingle leaves
     room for the others on both sides, which cuts off nearly all chance agreements in the join itself.
     """
-    alpha, beta = 100 + percent, 100 - percent
-    roots = parts.select("node", "root")
-    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far").join(roots, "node", "left")
-    rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "u": alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")})
-    least = F.min(F.when(F.col("near"), F.struct("u", F.xxhash64("node").alias("node"), "root")))
-    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0")).where("r0 <> r1").select("head", "m0")
-    rows = rows.join(several, "head").withColumns({"h": F.xxhash64("node"), "joined": F.coalesce(F.col("near") & (F.col("u") + F.col("m0.u") <= 0), F.lit(False))})
-    with_least = rows.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
+    alpha = 100 + percent
+    with_least = apart.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
 
     entry = lambda kind, length, need, beside: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), need.alias("need"), beside.cast("int").alias("beside"))
     entries = F.concat(
@@ -467,10 +513,15 @@ def _across(compared: DataFrame, parts: DataFrame, nodes: DataFrame, percent: in
         F.transform("added", entry(1, F.col("adds"), F.col("u"), F.col("lacks"))),
         F.transform("lacked", entry(2, F.col("lacks"), F.col("u"), F.lit(0))),
     )
-    keyed = rows.select("head", "h", "root", "joined", F.inline(entries)).select(F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside")
-    one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside")])
+    columns = [F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside"]
     fits = f"root <> root_1 AND (joined OR node_1 < node) AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1) + least(beside, beside_1))"
-    found = one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).union(with_least).distinct()
+
+    def found_in(share: Column) -> DataFrame:
+        keyed = apart.where(share).select("head", "h", "root", "joined", F.inline(entries)).select(columns)
+        one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside")])
+        return one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
+
+    found = _in_rounds(found_in, "head", rounds, folder, "found").union(with_least).distinct()
     named = nodes.select("node", F.xxhash64("node").alias("h"))
     for k in (1, 2):
         found = found.join(named.select(F.col("node").alias(f"n{k}"), F.col("h").alias(f"node_{k}")), f"node_{k}")
