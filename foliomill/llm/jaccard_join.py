@@ -50,6 +50,8 @@ LARGE, SAMPLED = 64, 24
 #: entries, for each document. So what lies in shuffle files at once grows with the documents only.
 SHARES = 4
 PAIRS_PER_ROUND, ENTRIES_PER_ROUND = 0.5, 24
+#: 64-bit words of a set's sketch.
+SKETCH = 4
 GONE = 1 << 62
 U = np.uint64
 
@@ -280,6 +282,14 @@ def _differences(k: int):
     return run
 
 
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, the parity of how many of its shingles fall on each bit. Two sketches differ in no more bits than the sets in shingles."""
+    bits, owner = 64 * SKETCH, np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = (tb.mix(np.concatenate([np.zeros(0, np.uint64), *sets])) % U(bits)).astype(np.int64)
+    odd = np.bincount(owner * bits + at, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH)
+
+
 @dataclass(frozen=True)
 class _Apart:
     """How a member differs from the centre c of its head's members: what it adds, what it lacks, and the prefixes to index."""
@@ -318,6 +328,9 @@ def _apart(head: np.ndarray, member: np.ndarray, gain: np.ndarray, drop: np.ndar
     return _Apart(adds, lacks, near, added[: room + 1] if near else none, lacked, whole)
 
 
+_SKETCHES = [f"sketch_{i}" for i in range(SKETCH)]
+
+
 def _overlaps(k: int, percent: int, prefixes: bool):
     """Batches of (a, b, text_a, text_b) to (a, b, shared, size_a, size_b). With prefixes, the batches also hold the centre
     of the head a by (gain, drop, common), and what `_across` explains follows."""
@@ -339,7 +352,8 @@ def _overlaps(k: int, percent: int, prefixes: bool):
                     short = lambda x: x.astype(np.uint32).view(np.int32)  # noqa: E731  equal shingles stay equal
                     columns += [pa.array([f.adds for f in found], pa.int32()), pa.array([f.lacks for f in found], pa.int32()), pa.array([f.near for f in found], pa.bool_())]
                     columns += [pa.array([short(x) for x in xs], pa.list_(pa.int32())) for xs in ([f.added for f in found], [f.lacked for f in found], [f.far for f in found])]
-                    names += ["adds", "lacks", "near", "added", "lacked", "far"]
+                    columns += [pa.array(x) for x in _sketches(sets[1::2]).T.copy()]
+                    names += ["adds", "lacks", "near", "added", "lacked", "far", *_SKETCHES]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -376,7 +390,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, centres:
     more, columns = "", ["a", "b", "text_a", "text_b"]
     if centres is not None:
         pairs = pairs.join(centres.withColumnRenamed("head", "a"), "a", "left")
-        more, columns = ", adds int, lacks int, near boolean, added array<int>, lacked array<int>, far array<int>", [*columns, "gain", "drop", "common"]
+        more, columns = ", adds int, lacks int, near boolean, added array<int>, lacked array<int>, far array<int>" + "".join(f", {c} long" for c in _SKETCHES), [*columns, "gain", "drop", "common"]
     return _with_texts(pairs, texts).select(columns).mapInArrow(_overlaps(k, percent, centres is not None), f"a binary, b binary, shared long, size_a long, size_b long{more}")
 
 
@@ -480,7 +494,7 @@ def _members_apart(compared: DataFrame, parts: DataFrame, percent: int) -> DataF
     """Members of heads whose members are in several components: what `_across` needs of them."""
     alpha, beta = 100 + percent, 100 - percent
     roots = parts.select("node", "root")
-    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far").join(roots, "node", "left")
+    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far", *_SKETCHES).join(roots, "node", "left")
     rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "h": F.xxhash64("node"), "u": alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")}).drop("node")
     least = F.min(F.when(F.col("near"), F.struct("u", F.col("h").alias("node"), "root")))
     several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0")).where("r0 <> r1").select("head", "m0")
@@ -502,9 +516,11 @@ def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folde
     * Far members are linked if they share p (|a| + |b|) / (100 + p) shingles; a prefix of each must share one.
 
     Prefixes start with what few members have, so what a whole group shares comes last. The first shared shingle leaves
-    room for the others on both sides, which cuts off nearly all chance agreements in the join itself.
+    room for the others on both sides, which cuts off nearly all chance agreements in the join itself. So do sketches: linked
+    sets differ in (100 - p) (|a| + |b|) / (100 + p) shingles at most, and their sketches in no more bits. So the pairs of a large
+    group that share some shingles but too few are not even made, as long as that bound is below the bits that a sketch can differ in.
     """
-    alpha = 100 + percent
+    alpha, beta = 100 + percent, 100 - percent
     with_least = apart.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
 
     entry = lambda kind, length, need, beside: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), need.alias("need"), beside.cast("int").alias("beside"))
@@ -513,12 +529,13 @@ def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folde
         F.transform("added", entry(1, F.col("adds"), F.col("u"), F.col("lacks"))),
         F.transform("lacked", entry(2, F.col("lacks"), F.col("u"), F.lit(0))),
     )
-    columns = [F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside"]
-    fits = f"root <> root_1 AND (joined OR node_1 < node) AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1) + least(beside, beside_1))"
+    columns = [F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside", F.col("size_b").cast("int").alias("size"), *_SKETCHES]
+    differ = " + ".join(f"bit_count({c} ^ {c}_1)" for c in _SKETCHES)
+    fits = f"{alpha} * CAST({differ} AS BIGINT) <= {beta} * (CAST(size AS BIGINT) + size_1) AND root <> root_1 AND (joined OR node_1 < node) AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1) + least(beside, beside_1))"
 
     def found_in(share: Column) -> DataFrame:
-        keyed = apart.where(share).select("head", "h", "root", "joined", F.inline(entries)).select(columns)
-        one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside")])
+        keyed = apart.where(share).select("head", "h", "root", "joined", "size_b", *_SKETCHES, F.inline(entries)).select(columns)
+        one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside", "size", *_SKETCHES)])
         return one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
 
     found = _in_rounds(found_in, "head", rounds, folder, "found").union(with_least).distinct()

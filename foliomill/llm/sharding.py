@@ -6,10 +6,11 @@ sorted by that fraction, form one sequence in which each stretch holds the strat
 the whole table. Cutting the sequence into equal runs gives shards that all match the mixture and whose
 row counts differ by one at most.
 
-Ranks over any number of rows come from two shuffles, without a single-task sort: rows are dealt by
-(stratum, leading hash bits) and later by the leading part of the fraction. Both keys are uniform by
+Ranks over any number of rows come without a single-task sort: keys alone are dealt by
+(stratum, leading hash bits) and later by the leading part of the fraction. Both are uniform by
 construction, so a stratum with a third of all rows is spread over `BUCKETS` groups, and small prefix-sum
-tables turn ranks within a group into ranks over all.
+tables turn ranks within a group into ranks over all. Rows of one stratum and id are neighbours in the stratum's order,
+so their places are found for the key first; whole rows are exchanged once, by that key, and take their key's places in turn.
 
 Defined results: a null stratum is a stratum of its own; a null id hashes as empty text; repeated rows are
 separate rows (equal rows are interchangeable); an empty table gives no rows; columns already named
@@ -41,27 +42,28 @@ def interleave_shards(rows: DataFrame, n_shards: int, stratum: str = "source", i
         raise ValueError("n_shards must be at least 1")
     rows = rows.drop("shard", "slot")
     own = rows.columns
-    keyed = rows.select(
-        "*",
-        F.when(F.col(stratum).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(stratum).cast("string"))).alias("__stratum"),
-        unit_hash(seed, F.col(id_col), bits=52).alias("__u"),
-    ).withColumn("__bucket", F.shiftright("__u", 42).cast("int"))
+    named = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    keys = {"__stratum": named(stratum), "__key": named(id_col)}
+    groups = rows.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.min(id_col).alias("__id"), F.count(F.lit(1)).alias("__rows"))
+    keyed = groups.withColumn("__u", unit_hash(seed, F.col("__id"), bits=52)).withColumn("__bucket", F.shiftright("__u", 42).cast("int"))
 
-    # Rank within the stratum: rows of earlier buckets, plus the rank within the bucket.
+    # Rank of an id's first row within the stratum: rows of earlier buckets, plus those of earlier ids in the bucket.
     in_stratum = W.partitionBy("__stratum")
-    counts = keyed.groupBy("__stratum", "__bucket").agg(F.count(F.lit(1)).alias("__n_bucket"))
+    counts = keyed.groupBy("__stratum", "__bucket").agg(F.sum("__rows").alias("__n_bucket"))
     before = counts.select(
         "__stratum",
         "__bucket",
         F.coalesce(F.sum("__n_bucket").over(in_stratum.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__n_bucket").over(in_stratum).alias("__n"),
     )
-    in_bucket = W.partitionBy("__stratum", "__bucket").orderBy("__u", id_col, *ties)
-    ranked = keyed.withColumn("__r", F.row_number().over(in_bucket).cast("long")).join(before, ["__stratum", "__bucket"])
+    in_bucket = W.partitionBy("__stratum", "__bucket").orderBy("__u", "__id", "__key")
+    earlier = F.coalesce(F.sum("__rows").over(in_bucket.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = keyed.withColumn("__earlier", earlier).join(before, ["__stratum", "__bucket"])
 
-    # The fraction as numerator over PHASES * n; its leading part deals rows out for the global rank.
+    # One line for each row. The fraction as numerator over PHASES * n; its leading part deals rows out for the global rank.
     phase = unit_hash(seed, "phase", F.col("__stratum"), bits=52) % PHASES
-    placed = ranked.withColumn("__num", (F.col("__r") - 1 + F.col("__before")) * PHASES + phase).withColumn("__part", F.expr(f"(__num * {BUCKETS}) div (__n * {PHASES})").cast("int"))
+    each = ranked.select("__stratum", "__key", "__n", (F.col("__earlier") + F.col("__before")).alias("__first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1)).alias("__i"))
+    placed = each.withColumn("__num", (F.col("__first") + F.col("__i")) * PHASES + phase).withColumn("__part", F.expr(f"(__num * {BUCKETS}) div (__n * {PHASES})").cast("int"))
     part_counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n_part"))
     everything = W.partitionBy(F.lit(0))  # over at most BUCKETS rows
     part_before = part_counts.select(
@@ -72,7 +74,12 @@ def interleave_shards(rows: DataFrame, n_shards: int, stratum: str = "source", i
     in_part = W.partitionBy("__part").orderBy(F.col("__num") / F.col("__n"), "__stratum", "__num")
     position = (F.row_number().over(in_part) - 1).cast("long")
     cut = placed.withColumn("__p", position).join(part_before, "__part").withColumn("__p", F.col("__p") + F.col("__p_before"))
-    return cut.select(
+    places = cut.groupBy("__stratum", "__key").agg(F.array_sort(F.collect_list("__p")).alias("__places"), F.max("__all").alias("__all"))
+
+    # Whole rows are exchanged here only, by the key that the places have too.
+    in_key = W.partitionBy(*keys).orderBy(id_col, *ties)
+    taken = rows.withColumns(keys).withColumn("__r", F.row_number().over(in_key)).join(places, list(keys)).withColumn("__p", F.element_at("__places", F.col("__r")))
+    return taken.select(
         *[f"`{c}`" for c in own],
         F.expr(f"__p * {n_shards} div __all").cast("int").alias("shard"),
         F.expr(f"__p - ((__p * {n_shards} div __all) * __all + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"),

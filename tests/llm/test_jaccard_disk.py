@@ -48,3 +48,20 @@ def test_near_duplicates_exchange_texts_once(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sum("Exchange" in line and "doc_id" in line and "text" in line for line in plan.split("\n")) == 0
+
+def test_members_that_share_too_little_are_not_paired(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # each copy shares two of its changes with a few others, which is too little for a link
+        text = list(words)
+        for at in rng.sample(range(0, 120, 4), 4):
+            text[at] = f"own{i}-{at}"
+        for at in rng.sample(range(2, 120, 12), 2):
+            text[at] = f"shared{at}-{rng.randrange(2)}"
+        rows.append((i, " ".join(text)))
+    rows.append((60, " ".join(words)))
+    folder = str(tmp_path / "scratch")
+    found = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, folder=folder, large=16)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, m.jaccard_groups(rows, 3, 85)[0]))
+    assert spark.read.parquet(f"{folder}/pairs-2").count() < 100

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -55,6 +58,19 @@ def test_shards_are_reproducible_and_take_edge_rows(spark):
     assert sharding.interleave_shards(frame.limit(0), 3).count() == 0
 
 
+def test_shards_exchange_texts_once_and_take_rows_of_an_id_in_order(spark):
+    rows = [(i % 40 if i % 9 else None, f"text {i * 7 % 120:03d}", "en", "ab"[i % 2], 1) for i in range(120)]
+    cut = sharding.interleave_shards(spark.createDataFrame(rows, DOCS), 1, ties=("text",))
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        cut.explain("formatted")
+    assert sum("text#" in columns for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan.getvalue())) == 1
+    got = sorted(cut.collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(120)) and sorted((r.doc_id or -1, r.text) for r in got) == sorted((r[0] or -1, r[1]) for r in rows)
+    for key in {(r.source, r.doc_id) for r in got}:
+        own = [r.text for r in got if (r.source, r.doc_id) == key]
+        assert own == sorted(own)
+
+
 def test_many_single_strata_spread(spark):
     rows = [(i, "t", "en", f"s{i}", 1) for i in range(300)]
     assert max(Counter(r.shard for r in sharding.interleave_shards(docs(spark, rows), 5).collect()).values()) == 60
