@@ -231,8 +231,11 @@ def _gradients(shared):
 
 def plant(vocabulary: DataFrame, n_all: int, n_types: int) -> Tree:
     """The tree of (token, n) with the frequencies of its nodes."""
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
-    tokens, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    # Written first: a limit that is collected sends so many rows of each task to the driver
+    top = saved(vocabulary.orderBy(F.desc("n"), "token").limit(HEAD), scratch_dir(vocabulary.sparkSession), "top").toArrow()
+    tokens, n = top.column(0).to_numpy(), top.column(1).to_numpy().astype(np.int64)
+    order = np.lexsort((tokens, -n))
+    tokens, n = tokens[order].view(np.uint64), n[order]
     bits = lambda x: int(np.ceil(np.log2(max(x, 2))))
     lengths = np.ceil(np.log2(n_all / np.maximum(n, 1))).astype(np.int64) if len(n) else n
     starts = np.cumsum(n) - n
@@ -276,6 +279,24 @@ def _leaves(shared):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()]) for c in batch.columns], names=batch.schema.names)
+
+
+def _held(vocabulary: DataFrame, n_all: int, n_types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, counts and shares of all tokens. They are sorted by tasks, and come to the driver one partition at a time into arrays of the final size."""
+    out = np.empty(n_types, np.uint64), np.empty(n_types, np.int32 if n_all < 1 << 31 else np.int64), np.empty(n_types, np.float32)
+    first = 0
+    in_order = vocabulary.select("token", "n", "share").orderBy(F.col("token") < 0, "token")  # as unsigned numbers
+    for row in in_order.mapInArrow(_packed, "token binary, n binary, share binary").toLocalIterator():
+        for x, packed, kind in zip(out, row, (np.uint64, np.int64, np.float32), strict=True):
+            part = np.frombuffer(packed, kind)
+            x[first : first + len(part)] = part
+        first += len(part)
+    return out
+
+
 def _score(shared_tree, shared_counts, text_at: int):
     """Adds n_tokens; with counts also log_c, known and tree_log, else key and distinct tokens."""
 
@@ -333,9 +354,11 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: tup
     plain = saved(training.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), folder, "plain")
     n_all, n_types = plain.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tree = plant(plain, n_all, n_types) if n_all else Tree.bare()
-    leaves = plain.mapInArrow(_leaves(spark.sparkContext.broadcast(tree)), "token long, n long, leaf long")
+    planted = spark.sparkContext.broadcast(tree)
+    leaves = plain.mapInArrow(_leaves(planted), "token long, n long, leaf long")
     on_leaf = leaves.groupBy("leaf").agg(F.sum("n").alias("n_leaf"))
     vocabulary = saved(leaves.join(on_leaf, "leaf").select("token", "n", F.log10(F.col("n") / F.col("n_leaf")).cast("float").alias("share")), folder, "vocabulary")
+    planted.destroy()
     if n_all:
         tree = train(training, tree, rounds)
     base_room = float(np.log10(n_all + 0.5 * (n_types + 1)))
@@ -347,12 +370,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text", rounds: tup
     made = lambda names: ", ".join([kept, *(f"{n} {_KINDS.get(n, 'long')}" for n in names)])
     shared = spark.sparkContext.broadcast(tree)
     if n_types <= broadcast_tokens:
-        held = vocabulary.toArrow()
-        hashes, counts, shares = (held.column(i).to_numpy() for i in range(3))
-        hashes = hashes.view(np.uint64)
-        order = np.argsort(hashes)
-        del held
-        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast((hashes[order], counts[order], shares[order])), at), made(_COUNTED))
+        counted = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast(_held(vocabulary, n_all, n_types)), at), made(_COUNTED))
     else:
         keyed = saved(docs.mapInArrow(_score(shared, None, at), made(_KEYED)), folder, "keyed")
         flat = keyed.select("key", F.inline("distinct")).join(vocabulary, "token", "left")

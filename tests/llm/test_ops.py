@@ -690,6 +690,18 @@ def test_tree_sums_to_one(spark):
     assert np.exp(lm_score._walk(tree, tokens, np.arange(len(tokens) + 1))).sum() <= 1 + 1e-4
 
 
+def test_language_model_vocabulary_is_not_collected_at_once(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"word{i} word{i + 1} the of {'the ' * (i % 5)}") for i in range(300)], "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 1
+    whole = {r.doc_id: r for r in lm_score.score_texts(frame, train, broadcast_tokens=10).collect()}
+    got, to_arrow = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: got.append(to_arrow(self)) or got[-1])
+    monkeypatch.setattr(lm_score, "HEAD", 301)
+    held = {r.doc_id: r for r in lm_score.score_texts(frame, train).collect()}
+    assert [x.num_rows for x in got] == [301]  # the head alone, of 304 types
+    assert all(held[i][c] == whole[i][c] for i in whole for c in ("doc_id", "n_tokens", "n_known", "train_tokens")) and all(held[i].base_score == pytest.approx(whole[i].base_score) for i in whole)
+
+
 def test_lm_without_training_rows(spark):
     frame = docs(spark, [(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm_score.score_texts(frame, F.lit(False)).collect()
