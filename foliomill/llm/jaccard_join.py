@@ -518,7 +518,7 @@ def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folde
     Prefixes start with what few members have, so what a whole group shares comes last. The first shared shingle leaves
     room for the others on both sides, which cuts off nearly all chance agreements in the join itself. So do sketches: linked
     sets differ in (100 - p) (|a| + |b|) / (100 + p) shingles at most, and their sketches in no more bits. So the pairs of a large
-    group that share some shingles but too few are not even made, as long as that bound is below the bits that a sketch can differ in.
+    group that share some shingles but too few are mostly not even made, as long as that bound is below half of a sketch's bits; beyond, they are compared.
     """
     alpha, beta = 100 + percent, 100 - percent
     with_least = apart.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
