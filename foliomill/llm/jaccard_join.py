@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import textbytes as tb
-from foliomill.llm.common import dropped, lower_ascii, saved, saved_by, scratch_dir
+from foliomill.llm.common import dropped, exploded, lower_ascii, saved, saved_by, scratch_dir
 from foliomill.llm.graph import connected_components
 
 BAND_RATIO = 1.5
@@ -442,7 +442,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         kinds = F.concat(F.transform(f"exact_{i}", lambda x: F.struct(x.alias("sig"), F.lit(0).cast("long").alias("gone"))), F.transform(f"gone_{i}", lambda x: F.struct(x.alias("sig"), F.lit(GONE).alias("gone"))))
         entries = index.select(code.alias("code"), F.inline(kinds)).select("sig", (F.col("code") + F.col("gone")).alias("code"))
         heads = entries.groupBy("sig").agg(F.min("code").alias("head"), F.max("code").alias("last")).where((F.col("head") < GONE) & (F.col("head") != F.col("last")))
-        return entries.join(heads, "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
+        return exploded(entries).join(exploded(heads), "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
 
     met = reduce(DataFrame.union, [saved(met_in(i), folder, f"met-{i}") for i in range(SHARES)]).distinct()
     named = index.where(" OR ".join(f"size(exact_{i}) > 0" for i in range(SHARES))).select("node", code.alias("code")).distinct()
@@ -536,7 +536,7 @@ def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folde
     def found_in(share: Column) -> DataFrame:
         keyed = apart.where(share).select("head", "h", "root", "joined", "size_b", *_SKETCHES, F.inline(entries)).select(columns)
         one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside", "size", *_SKETCHES)])
-        return one.join(keyed, "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
+        return exploded(one).join(exploded(keyed), "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
 
     found = _in_rounds(found_in, "head", rounds, folder, "found").union(with_least).distinct()
     named = nodes.select("node", F.xxhash64("node").alias("h"))
