@@ -46,13 +46,16 @@ from foliomill.llm.graph import connected_components
 BAND_RATIO = 1.5
 #: Heads with more members are replaced by the centre of about so many of them.
 LARGE, SAMPLED = 64, 24
-#: Index entries are met in so many shares by signature, one after another. Heads with their members are taken in rounds of about so many pairs, or
-#: entries, for each document. So what lies in shuffle files at once grows with the documents only.
-SHARES = 4
+#: Index entries are met in so many shares by signature, one after another, each in tasks of about so many entries. Heads with their members are taken
+#: in rounds of about so many pairs, or entries, for each document. So what lies in shuffle files at once grows with the documents only.
+SHARES, ENTRIES_PER_TASK = 2, 1 << 20
 PAIRS_PER_ROUND, ENTRIES_PER_ROUND = 0.5, 24
 #: 64-bit words of a set's sketch.
 SKETCH = 4
-GONE = 1 << 62
+#: Heads with more members than this are cut into about the root of (members / this) lots by shingle: both the copies of a member and the share of a task then grow with that root.
+LOT = 64
+#: Nodes are known by 47 bits of their MD5 in index entries; above these, a mark that a shingle is gone. Of signatures 48 bits are kept, besides those that deal them out.
+GONE = 1 << 47
 U = np.uint64
 
 
@@ -214,23 +217,75 @@ def _index(k: int, percent: int, docs_in_band: dict[int, int]):
     return run
 
 
-def _in_shares(index):
-    """The batches of `index` with each list cut by signature: (node, exact_0, gone_0, exact_1, gone_1, ...). A share is then read without the others."""
+def _six(x: np.ndarray) -> bytes:
+    """The lower 48 bits of each number."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(x: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(x), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :6] = packed
+    return out.view("<u8").ravel()
+
+
+def _dealt(index, share: int, tasks: int):
+    """Batches of texts to one share of their index entries, packed: (task, signatures, codes). An entry takes 12 bytes, less once compressed."""
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        signatures, codes = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = (signatures // U(SHARES) % U(tasks)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(tasks + 1))
+        signatures, codes = _six(signatures[order] >> U(16)), _six(codes[order])
+        some = np.flatnonzero(np.diff(bounds))
+        cut = lambda x: pa.array([x[6 * bounds[t] : 6 * bounds[t + 1]] for t in some], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(signatures), cut(codes)], names=["task", "signatures", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in index(batches):
-            n, columns, names = batch.num_rows, [batch.column(0)], ["node"]
-            lists = {c: (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(c).value_lengths().to_numpy(zero_copy_only=False)) for c in ("exact", "gone")}
-            lists = {c: (np.repeat(np.arange(n), lengths), values, values % U(SHARES)) for c, (values, lengths) in lists.items()}
-            for share in range(SHARES):
-                for c, (rows, values, shares) in lists.items():
-                    columns.append(_lists(rows[shares == share], values[shares == share], n))
-                    names.append(f"{c}_{share}")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            nodes = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8")[::2].astype(np.uint64) >> U(17)
+            for column, mark in ((batch.column(1), 0), (batch.column(2), GONE)):
+                signatures = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                codes = np.repeat(nodes, column.value_lengths().to_numpy(zero_copy_only=False)) + U(mark)
+                own = signatures % U(SHARES) == share
+                found.append((signatures[own], codes[own]))
+                held += len(found[-1][0])
+            if held > 2 * ENTRIES_PER_TASK:
+                yield packed(found)
+                found, held = [], 0
+        if held:
+            yield packed(found)
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed entries of a task to distinct pairs (code_a, code_b): the head of a signature, its smallest whole entry, with each other member."""
+    signatures, codes = [], []
+    for batch in batches:
+        signatures += batch.column(0).to_pylist()
+        codes += batch.column(1).to_pylist()
+    if not signatures:
+        return
+    signatures, codes = _from_six(signatures), _from_six(codes)
+    order = np.argsort(signatures, kind="stable")
+    same = signatures[order][1:] == signatures[order][:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # most signatures occur once
+    order = order[np.lexsort((codes[order], signatures[order]))]
+    signatures, codes = signatures[order], codes[order]
+    first = np.concatenate([np.ones(min(len(order), 1), bool), signatures[1:] != signatures[:-1]])
+    heads = codes[np.flatnonzero(first)][np.cumsum(first) - 1]
+    members = codes & U(GONE - 1)
+    some = (heads < GONE) & (heads != members)
+    heads, members = heads[some], members[some]
+    order = np.lexsort((members, heads))
+    heads, members = heads[order], members[order]
+    new = np.concatenate([np.ones(min(len(order), 1), bool), (heads[1:] != heads[:-1]) | (members[1:] != members[:-1])])
+    yield pa.RecordBatch.from_arrays([pa.array(heads[new].view(np.int64)), pa.array(members[new].view(np.int64))], names=["code_a", "code_b"])
+
+
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of x are in `known`, which is sorted."""
     if not len(known):
@@ -379,8 +434,8 @@ def _node(text: Column) -> Column:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds text_a and text_b to pairs (a, b)."""
-    for side in ("a", "b"):
+    """Adds text_a and text_b to pairs (a, b); rows end up where their a is."""
+    for side in ("b", "a"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return pairs
 
@@ -388,10 +443,11 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, centres: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes with the sizes of their sets and of the intersection; with centres, what `_across` needs too."""
     more, columns = "", ["a", "b", "text_a", "text_b"]
+    pairs = _with_texts(pairs, texts)
     if centres is not None:
         pairs = pairs.join(centres.withColumnRenamed("head", "a"), "a", "left")
         more, columns = ", adds int, lacks int, near boolean, added array<int>, lacked array<int>, far array<int>" + "".join(f", {c} long" for c in _SKETCHES), [*columns, "gain", "drop", "common"]
-    return _with_texts(pairs, texts).select(columns).mapInArrow(_overlaps(k, percent, centres is not None), f"a binary, b binary, shared long, size_a long, size_b long{more}")
+    return pairs.select(columns).mapInArrow(_overlaps(k, percent, centres is not None), f"a binary, b binary, shared long, size_a long, size_b long{more}")
 
 
 def _centres(pairs: DataFrame, texts: DataFrame, k: int, large: int) -> DataFrame:
@@ -404,8 +460,8 @@ def _centres(pairs: DataFrame, texts: DataFrame, k: int, large: int) -> DataFram
     per_head = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > large)
     some = pairs.join(per_head, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < SAMPLED).select("a", "b")
     found = _with_texts(some, texts).select("a", "text_a", "text_b").mapInArrow(_differences(k), "head binary, added array<long>, lost array<long>")
-    flat = lambda kind: found.select("head", F.lit(kind).alias("kind"), F.explode(kind).alias("token"))
-    counted = flat("added").union(flat("lost")).groupBy("head", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
+    flat = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token")))
+    counted = found.select("head", F.inline(F.concat(flat("added"), flat("lost")))).groupBy("head", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
     sampled = some.groupBy(F.col("a").alias("head")).agg(F.count(F.lit(1)).alias("sampled"))
     often = counted.where("n > 2").join(sampled, "head").where("8 * n >= sampled")
     most = F.col("n") * 2 > F.col("sampled") + 1  # the head counts too
@@ -431,25 +487,19 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     band = F.size(F.filter(F.array(*[F.lit(h).cast("long") for h in _HIGHS.tolist()]), lambda h: h < F.col("n_shingles")))
     in_band = {r["band"]: r["docs"] for r in slim.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs")).collect()}  # a few dozen bands
 
-    columns = ", ".join(f"exact_{i} array<long>, gone_{i} array<long>" for i in range(SHARES))
-    index = saved(docs.select(F.col(text).alias("text")).mapInArrow(_in_shares(_index(k, percent, in_band)), f"node binary, {columns}"), folder, "index")
-    # Entries carry their node's hash only, above 2**62 if a shingle is gone. Heads are aggregated within tasks first, and met in a
-    # join: a bucket of very many members can be split. Nodes of equal hashes would only make more pairs to compare.
-    code = F.shiftrightunsigned(F.xxhash64("node"), 2)
-    member = F.col("code").bitwiseAND(F.lit(GONE - 1))
+    # Entries are made anew for each share and carry their node's hash only. Nodes of equal hashes would only make more pairs to compare.
+    code = F.shiftrightunsigned(F.conv(F.hex(F.substring("node", 1, 6)), 16, 10).cast("long"), 1)
+    tasks = max(1, math.ceil(_expected_entries(in_band, percent) / SHARES / ENTRIES_PER_TASK))
 
-    def met_in(i: int) -> DataFrame:
-        kinds = F.concat(F.transform(f"exact_{i}", lambda x: F.struct(x.alias("sig"), F.lit(0).cast("long").alias("gone"))), F.transform(f"gone_{i}", lambda x: F.struct(x.alias("sig"), F.lit(GONE).alias("gone"))))
-        entries = index.select(code.alias("code"), F.inline(kinds)).select("sig", (F.col("code") + F.col("gone")).alias("code"))
-        heads = entries.groupBy("sig").agg(F.min("code").alias("head"), F.max("code").alias("last")).where((F.col("head") < GONE) & (F.col("head") != F.col("last")))
-        return exploded(entries).join(exploded(heads), "sig").select(F.col("head").alias("code_a"), member.alias("code_b")).where("code_a <> code_b").distinct()
+    def met_in(share: int) -> DataFrame:
+        dealt = docs.select(F.col(text).alias("text")).mapInArrow(_dealt(_index(k, percent, in_band), share, tasks), "task int, signatures binary, codes binary")
+        return dealt.repartitionById(tasks, F.col("task")).select("signatures", "codes").mapInArrow(_met, "code_a long, code_b long")
 
     met = reduce(DataFrame.union, [saved(met_in(i), folder, f"met-{i}") for i in range(SHARES)]).distinct()
-    named = index.where(" OR ".join(f"size(exact_{i}) > 0" for i in range(SHARES))).select("node", code.alias("code")).distinct()
+    named = slim.where("n_shingles > 0").select("node", code.alias("code")).distinct()
     for side in ("a", "b"):
         met = met.join(named.select(F.col("node").alias(side), F.col("code").alias(f"code_{side}")), f"code_{side}")
     pairs = saved(met.select("a", "b"), folder, "pairs")
-    dropped(spark, folder, "index")
 
     # Texts of all nodes that share a bucket with another one, once each.
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -464,11 +514,10 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     links = saved(_links(compared, percent), folder, "links-1")
     parts = connected_components(links, folder, "parts-1")
     apart = saved(_members_apart(compared, parts, percent), folder, "apart")
-    for r in range(rounds):
-        dropped(spark, folder, f"compared-{r}")
-    entries = apart.agg(F.sum((F.size("far") + F.size("added") + F.size("lacked")).cast("long"))).first()[0] or 0
-    more_pairs = saved(_across(apart, touched, percent, max(1, math.ceil(entries / (ENTRIES_PER_ROUND * max(n_docs, 1)))), folder), folder, "pairs-2")
-    dropped(spark, folder, "apart")
+    entries = apart.agg(F.sum("entries")).first()[0] or 0
+    more_pairs = saved(_across(compared, apart, touched, percent, max(1, math.ceil(entries / (ENTRIES_PER_ROUND * max(n_docs, 1)))), folder), folder, "pairs-2")
+    for name in ("apart", *(f"compared-{r}" for r in range(rounds))):
+        dropped(spark, folder, name)
     more_links = saved(_links(_compared(more_pairs, texts, k, percent), percent), folder, "links-2")
     if not more_links.isEmpty():
         parts = connected_components(links.union(more_links), folder, "parts-2")
@@ -484,6 +533,12 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     )
 
 
+def _expected_entries(in_band: dict[int, int], percent: int) -> float:
+    """About how many index entries there are: it decides how many tasks they are dealt over, not what is found."""
+    schemes = [(docs, scheme_for(band, *_LIMITS[band], docs, percent)) for band, docs in in_band.items()]
+    return 1.5 * sum(docs * (s.segments + s.double * (s.low + s.high) / 2 / s.segments) for docs, s in schemes)
+
+
 def _in_rounds(made: Callable[[Column], DataFrame], head: str, rounds: int, folder: str, name: str) -> DataFrame:
     """The rows of `made` for each share of the heads; a share is written, and its shuffle files can go, before the next one begins."""
     some = [F.pmod(F.xxhash64(head), F.lit(rounds)) == r if rounds > 1 else F.lit(True) for r in range(rounds)]
@@ -491,17 +546,19 @@ def _in_rounds(made: Callable[[Column], DataFrame], head: str, rounds: int, fold
 
 
 def _members_apart(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Members of heads whose members are in several components: what `_across` needs of them."""
+    """Members of heads whose members are in several components: (head, node), and of what `_across` needs all but their long columns."""
     alpha, beta = 100 + percent, 100 - percent
     roots = parts.select("node", "root")
-    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", "near", "added", "lacked", "far", *_SKETCHES).join(roots, "node", "left")
-    rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "h": F.xxhash64("node"), "u": alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")}).drop("node")
+    entries = (F.size("far") + F.size("added") + F.size("lacked")).cast("long")
+    rows = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "near", (alpha * (F.col("adds") + F.col("lacks")) - beta * F.col("size_b")).alias("u"), entries.alias("entries")).join(roots, "node", "left")
+    rows = rows.withColumns({"root": F.xxhash64(F.coalesce("root", "node")), "h": F.xxhash64("node")})
     least = F.min(F.when(F.col("near"), F.struct("u", F.col("h").alias("node"), "root")))
-    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0")).where("r0 <> r1").select("head", "m0")
+    lots = F.ceil(F.sqrt(F.count(F.lit(1)) / LOT)).cast("int")
+    several = rows.groupBy("head").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), least.alias("m0"), lots.alias("lots")).where("r0 <> r1").select("head", "m0", "lots")
     return rows.join(several, "head").withColumn("joined", F.coalesce(F.col("near") & (F.col("u") + F.col("m0.u") <= 0), F.lit(False)))
 
 
-def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folder: str) -> DataFrame:
+def _across(compared: DataFrame, apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folder: str) -> DataFrame:
     """Pairs (a, b) of members of one head that are in different components and may still be linked.
 
     A member m of a head differs from the centre c by what it adds and what it lacks. 1 - similarity is a metric, so the
@@ -519,24 +576,35 @@ def _across(apart: DataFrame, nodes: DataFrame, percent: int, rounds: int, folde
     room for the others on both sides, which cuts off nearly all chance agreements in the join itself. So do sketches: linked
     sets differ in (100 - p) (|a| + |b|) / (100 + p) shingles at most, and their sketches in no more bits. So the pairs of a large
     group that share some shingles but too few are mostly not even made, as long as that bound is below half of a sketch's bits; beyond, they are compared.
+
+    Members are dealt by head, those of large heads in lots by shingle, and their prefixes are exploded where they then are: what is exchanged
+    are members, not the dozens of entries of each.
     """
     alpha, beta = 100 + percent, 100 - percent
     with_least = apart.where("joined AND root <> m0.root").select(F.col("m0.node").alias("node_1"), F.col("h").alias("node_2"))
 
-    entry = lambda kind, length, need, beside: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("token"), (length - i - 1).cast("int").alias("left"), need.alias("need"), beside.cast("int").alias("beside"))
-    entries = F.concat(
-        F.transform("far", entry(0, F.col("size_b"), 2 * percent * F.col("size_b"), F.lit(0))),
-        F.transform("added", entry(1, F.col("adds"), F.col("u"), F.col("lacks"))),
-        F.transform("lacked", entry(2, F.col("lacks"), F.col("u"), F.lit(0))),
-    )
-    columns = [F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & (F.col("kind") > 0)).alias("joined"), "left", "need", "beside", F.col("size_b").cast("int").alias("size"), *_SKETCHES]
+    # A shingle of a prefix and how many follow it, in one long.
+    placed = lambda name, length: F.transform(name, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR((length - i - 1).cast("long"))).alias(name)
+    in_lot = lambda name: F.filter(name, lambda x: F.pmod(F.hash(F.shiftright(x, 32)), "lots") == F.col("lot")).alias(name)
+    numbers = ["h", "root", "joined", "u", F.col("size_b").cast("int").alias("size"), "lacks", *_SKETCHES]
+    entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.shiftright(x, 32).alias("token"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("left"))
+    entries = F.concat(*[F.transform(name, entry(kind)) for kind, name in enumerate(("far", "added", "lacked"))])
+    far = F.col("kind") == 0
+    columns = [
+        "part", F.xxhash64("head", "kind", "token").alias("key"), F.col("h").alias("node"), "root", (F.col("joined") & ~far).alias("joined"), "left", F.when(far, 2 * percent * F.col("size")).otherwise(F.col("u")).alias("need"),
+        F.when(F.col("kind") == 1, F.col("lacks")).otherwise(0).alias("beside"), "size", *_SKETCHES,
+    ]
     differ = " + ".join(f"bit_count({c} ^ {c}_1)" for c in _SKETCHES)
     fits = f"{alpha} * CAST({differ} AS BIGINT) <= {beta} * (CAST(size AS BIGINT) + size_1) AND root <> root_1 AND (joined OR node_1 < node) AND need + need_1 <= {2 * alpha} * (1 + least(left, left_1) + least(beside, beside_1))"
+    n = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), "size_b", "adds", "lacks", *_SKETCHES, placed("far", F.col("size_b")), placed("added", F.col("adds")), placed("lacked", F.col("lacks")))
 
     def found_in(share: Column) -> DataFrame:
-        keyed = apart.where(share).select("head", "h", "root", "joined", "size_b", *_SKETCHES, F.inline(entries)).select(columns)
-        one = keyed.where("NOT joined").select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside", "size", *_SKETCHES)])
-        return exploded(one).join(exploded(keyed), "key").where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
+        members = whole.where(share).join(exploded(apart.where(share).select("head", "node", "h", "root", "joined", "u", "lots")), ["head", "node"])
+        lots = members.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select(F.xxhash64("head", "lot").alias("part"), "head", *numbers, in_lot("far"), in_lot("added"), in_lot("lacked"))
+        keyed = lots.repartition(n, "part").select("part", "head", "h", "root", "joined", "u", "size", "lacks", *_SKETCHES, F.inline(entries)).select(columns)
+        one = keyed.where("NOT joined").select("part", "key", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "left", "need", "beside", "size", *_SKETCHES)])
+        return exploded(one).join(exploded(keyed), ["part", "key"]).where(fits).select("node_1", F.col("node").alias("node_2")).distinct()
 
     found = _in_rounds(found_in, "head", rounds, folder, "found").union(with_least).distinct()
     named = nodes.select("node", F.xxhash64("node").alias("h"))
