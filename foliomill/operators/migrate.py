@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.functions.text import normalise_for_match
-from foliomill.sources.scratch import saved, shared_folder
+from foliomill.sources.scratch import dropped, frugal, saved, saved_by, shared_folder
 
 ACCEPT, EXACT = 0.75, 0.99
 FEW = 5
@@ -103,20 +103,49 @@ def compared_matches(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFr
     return best.where(F.col("similarity") >= ACCEPT)
 
 
+def _found(new: DataFrame, old: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """new and old in buckets of books, and the best pairs: book_id, new_id, old_id, similarity.
+
+    A book's paragraphs lie together from here on, so nothing is exchanged, and a pair is written only if its bound reaches the threshold.
+    """
+    new, old = saved_by(new, folder, "new", "book_id"), saved_by(old, folder, "old", "book_id")
+    pairs = saved_by(prepared_pairs(new, old).where(F.col("bound") >= ACCEPT), folder, "pairs", "book_id")
+    return new, old, saved_by(equal_matches(pairs).unionByName(compared_matches(pairs, new, old).drop("compared")), folder, "best", "book_id")
+
+
+_PARTS = ("new", "old", "pairs", "best")
+
+
 def best_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     """Each new paragraph with its best old one: book_id, new_id, old_id, similarity, translation, status.
 
     new: book_id, new_id, page_number, text; old: book_id, old_id, old_order, page_number, old_text, translation; ids must be unique in their book. Of equal
     similarities the first in page and paragraph order counts. Equal texts (after normalising, by MD5) need no comparison; of the others only
-    pairs meet the UDF whose upper bound, from counts of characters, reaches the threshold and what was found before.
+    pairs meet the UDF whose upper bound, from counts of characters, reaches the threshold and what was found before. Books are bounded: a task holds whole ones.
     """
-    folder = shared_folder(new.sparkSession)
-    new, old = saved(new, folder, "new"), saved(old, folder, "old")
-    pairs = saved(prepared_pairs(new, old), folder, "pairs")
-    best = equal_matches(pairs).unionByName(compared_matches(pairs, new, old).drop("compared"))
-    joined = new.select("book_id", "new_id").join(best, ["book_id", "new_id"], "left").join(old.select("book_id", "old_id", "translation"), ["book_id", "old_id"], "left")
-    text = F.coalesce("translation", F.lit(""))
-    return joined.select("book_id", "new_id", "old_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), text.alias("translation"), F.when(text != "", "completed").otherwise("pending").alias("status"))
+    spark = new.sparkSession
+    folder, text = shared_folder(spark), F.coalesce("translation", F.lit(""))
+    with frugal(spark):
+        new, old, best = _found(new, old, folder)
+        joined = new.select("book_id", "new_id").join(best, ["book_id", "new_id"], "left").join(old.select("book_id", "old_id", "translation"), ["book_id", "old_id"], "left")
+        rows = joined.select("book_id", "new_id", "old_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), text.alias("translation"), F.when(text != "", "completed").otherwise("pending").alias("status"))
+        matches = saved(rows, folder, "matches")
+    for name in _PARTS:
+        dropped(spark, folder, name)
+    return matches
+
+
+def best_similarities(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Of `best_matches` book_id, new_id and similarity only; no translation is kept."""
+    spark = new.sparkSession
+    folder = shared_folder(spark)
+    with frugal(spark):
+        new, _, best = _found(new, old.withColumn("translation", F.lit("")), folder)
+        rows = new.select("book_id", "new_id").join(best, ["book_id", "new_id"], "left").select("book_id", "new_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+        matches = saved(rows, folder, "matches")
+    for name in _PARTS:
+        dropped(spark, folder, name)
+    return matches
 
 
 def match_statistics(matches: DataFrame) -> DataFrame:

@@ -134,8 +134,8 @@ def chapter_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """New paragraphs from pages of four lines, old ones from pages of five; every second old one is translated."""
-    new = P.merge_paragraphs(P.mark_breaks(X.body_lines(spark, d, 5))).select("book_id", F.col("para_idx").alias("new_id"), "page_number", "text")
-    old = P.merge_paragraphs(P.mark_breaks(X.body_lines(spark, d))).select("book_id", F.col("para_idx").alias("old_id"), F.col("para_idx").alias("old_order"), "page_number", F.col("text").alias("old_text"), F.when(F.col("para_idx") % 2 == 0, F.concat(F.lit("zh:"), F.col("text"))).otherwise("").alias("translation"))
+    new = P.merge_paragraphs(P.mark_breaks(X.body_lines(spark, d, 5, dealt=True))).select("book_id", F.col("para_idx").alias("new_id"), "page_number", "text")
+    old = P.merge_paragraphs(P.mark_breaks(X.body_lines(spark, d, dealt=True))).select("book_id", F.col("para_idx").alias("old_id"), F.col("para_idx").alias("old_order"), "page_number", F.col("text").alias("old_text"), F.when(F.col("para_idx") % 2 == 0, F.concat(F.lit("zh:"), F.col("text"))).otherwise("").alias("translation"))
     return new, old
 
 
