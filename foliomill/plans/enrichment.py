@@ -156,7 +156,7 @@ def match_equal_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return M.match_statistics(M.best_matches(*_old_new(spark, d)))
+    return M.match_statistics(M.best_similarities(*_old_new(spark, d)))
 
 
 class PromptEcho:
